@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import media, sharding
+from . import media, mixing, sharding
 
-MODULES = (media, sharding)
+MODULES = (mixing, media, sharding)
 
 
 def queries() -> dict:
