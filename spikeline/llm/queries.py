@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import media, mixing, sharding
+from . import media, mixing, quality, sharding
 
-MODULES = (mixing, media, sharding)
+MODULES = (quality, mixing, media, sharding)
 
 
 def queries() -> dict:
