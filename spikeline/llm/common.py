@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +95,84 @@ def range_of(key: str, starts: list[int]) -> Column:
         return F.when(F.col(key) >= F.lit(starts[mid - 1]), tree(mid, hi)).otherwise(tree(lo, mid - 1))
 
     return tree(0, len(starts)).cast("int")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows that agree in `keys`, from batches sorted by them; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        changed = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            changed[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(changed).tolist()]
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+MIX = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 30, 27, 31))  # fixed values of a 64-bit finalizer
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """uint64 values, spread evenly; one-to-one."""
+    x = (x ^ (x >> MIX[2])) * MIX[0]
+    x = (x ^ (x >> MIX[3])) * MIX[1]
+    return x ^ (x >> MIX[4])
+
+
+class Vocabulary(dict):
+    """Words to numbers, with two 64-bit hashes for each; forgets all beyond `most` words."""
+
+    def __init__(self, most: int = 500_000):
+        self.most, self.a, self.b = most, np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        n = len(self)
+        if n == len(self.a):
+            self.a, self.b = np.concatenate([self.a, self.a]), np.concatenate([self.b, self.b])
+        h = xxhash.xxh3_128_intdigest(word)
+        self.a[n], self.b[n] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
+        self[word] = n
+        return n
+
+    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > self.most:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.a[at], self.b[at]
+
+
+def words_of(text: str | bytes | None) -> list[bytes]:
+    """The words of a text in UTF-8: bytes.split() cuts at exactly the six characters that WORD leaves out."""
+    return (text.encode() if isinstance(text, str) else bytes(text or b"")).split()
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, of the whole text where it has fewer (but some)."""
+    if not words.size:
+        return words
+    n = min(n, words.size)
+    out = np.full(words.size - n + 1, n, np.uint64)
+    for k in range(n):
+        out = mixed(out) + words[k : words.size - n + 1 + k]
+    return mixed(out)
+
+
+def sliding(x: np.ndarray, n: int, f=np.minimum) -> np.ndarray:
+    """f (minimum or maximum) over every n consecutive values, by doubling."""
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        x = f(x[:-step], x[step:])
+        done += step
+    return x

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import media, mixing, quality, sharding
+from . import fingerprint, media, mixing, near, packing, quality, sharding, substring, suffixes, warc
 
-MODULES = (quality, mixing, media, sharding)
+MODULES = (quality, suffixes, near, fingerprint, mixing, media, sharding, substring, warc, packing)
 
 
 def queries() -> dict:
