@@ -199,7 +199,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, r
     hits = materialize(hits, "hits")
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), utf8().alias("text"))
     pairs = hits.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "band", "k1", "rep", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    filled = pairs.join(texts, "rep")
+    filled = pairs.hint("merge").join(texts, "rep")  # neither side has a bound, so neither is broadcast
     grouped = filled.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = materialize(grouped.mapInArrow(_linked(threshold, n, bands, rows), "rep long, links long, root long"), "links")
     labels = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
