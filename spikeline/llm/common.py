@@ -157,14 +157,17 @@ def words_of(text: str | bytes | None) -> list[bytes]:
     return (text.encode() if isinstance(text, str) else bytes(text or b"")).split()
 
 
+ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed value: an odd multiplier
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words, of the whole text where it has fewer (but some)."""
     if not words.size:
         return words
     n = min(n, words.size)
-    out = np.full(words.size - n + 1, n, np.uint64)
-    for k in range(n):
-        out = mixed(out) + words[k : words.size - n + 1 + k]
+    out = words[: words.size - n + 1] + np.uint64(n)
+    for k in range(1, n):
+        out = out * ODD + words[k : words.size - n + 1 + k]
     return mixed(out)
 
 

@@ -4,8 +4,8 @@ Every task counts its documents' keys in DEPTH rows of `width` cells, each
 document once a cell, and hands on the cells it has touched, as sorted distances.
 Cells are merged by ranges of CHUNK, counts ending at 2: only "more than one
 document?" is asked. What the driver gathers and broadcasts is that one bit a
-cell, DEPTH * width / 8 bytes at most (64 MiB by default) whatever the input's
-size. Estimates are never below the truth; beyond some hundred million keys they
+cell, compressed: DEPTH * width / 8 bytes (64 MiB by default) at most whatever the
+input's size. Estimates are never below the truth; beyond some hundred million keys they
 overestimate more, so that the exact pass has more to do but loses nothing.
 """
 
@@ -93,12 +93,27 @@ def repeated(docs: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iter
 
     spark = docs.sparkSession
     touched = docs.mapInArrow(partial, "chunk int, cells binary").repartition(partitions(spark), "chunk").sortWithinPartitions("chunk")
+    chunks = [(row.chunk, bytes(row.bits)) for row in touched.mapInArrow(merged, "chunk int, bits binary").toLocalIterator()]
+    return spark.sparkContext.broadcast((width, chunks))
+
+
+_READ: dict[int, tuple[list, np.ndarray]] = {}  # with the chunks, so that their id stays theirs
+
+
+def unpacked(sketch: Broadcast) -> np.ndarray:
+    """The bits by row, unpacked once in a process."""
+    width, chunks = sketch.value
+    known = _READ.get(id(chunks))
+    if known is not None:
+        return known[1]
     bits = np.zeros((DEPTH, max(1, width // 8)), np.uint8)
-    for row in touched.mapInArrow(merged, "chunk int, bits binary").toLocalIterator():
-        d, chunk = divmod(row.chunk, width // CHUNK + 1)
-        part = np.frombuffer(zlib.decompress(row.bits), np.uint8)
+    for number, packed in chunks:
+        d, chunk = divmod(number, width // CHUNK + 1)
+        part = np.frombuffer(zlib.decompress(packed), np.uint8)
         bits[d, chunk * (CHUNK // 8) : chunk * (CHUNK // 8) + part.size] = part
-    return spark.sparkContext.broadcast(bits)
+    _READ.clear()
+    _READ[id(chunks)] = chunks, bits
+    return bits
 
 
 def estimated_repeated(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -4,8 +4,9 @@ A count-min prefilter estimates in how many documents a window occurs. Windows
 are counted under their key, the least hash of the runs of GRAM words inside:
 equal windows have equal keys, so an estimate by key is never below the truth,
 and neighbouring windows share keys, which makes the sketch a fifth as full. The
-second pass hashes only windows estimated repeated, to 128 bits, and groups them
-exactly; the first document of each group keeps its words, the others lose them.
+second pass hashes only windows estimated repeated, to 128 bits with their key, and
+groups them exactly, in runs of neighbours; the first document of each group keeps
+its words, the others lose them.
 
 Nulls: a null text has no words; rows without doc_id neither lose words nor
 cause others to. Texts of fewer than 13 words have no windows. Rows that repeat a
@@ -23,72 +24,108 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, gram_hashes, materialize, read, sliding, utf8, words_of
-from .sketch import WIDTH, estimated_repeated, repeated
+from .common import ODD, Vocabulary, gram_hashes, materialize, mixed, read, sliding, utf8, words_of
+from .groups import MOST, covered, losses
+from .sketch import WIDTH, estimated_repeated, repeated, unpacked
 
 WINDOW = 13
 GRAM = 6
+WORDS = 100_000  # that a task hashes at once
+
+
+def _texts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes]]]:
+    """(batch, rows, ends, words): about WORDS words of whole texts (column 0) at a time, where each text ends."""
+    for batch in batches:
+        rows, ends, words = [], [], []
+        for row, text in enumerate(batch.column(0)):
+            own = words_of(text.as_py())
+            if len(own) >= window:
+                words += own
+                rows.append(row)
+                ends.append(len(words))
+                if len(words) >= WORDS:
+                    yield batch, np.array(rows), np.array(ends), words
+                    rows, ends, words = [], [], []
+        if rows:
+            yield batch, np.array(rows), np.array(ends), words
+
+
+def _windows(ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows start that stay within a text, and the number of that text."""
+    sizes = np.diff(ends, prepend=0) - window + 1
+    of = np.repeat(np.arange(ends.size), sizes)
+    return np.arange(of.size) + of * (window - 1), of
 
 
 def _keyed(words: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """For every window the least hash of its runs of `gram` words."""
+    """For every run of `window` words the least hash of its runs of `gram` words."""
     return sliding(gram_hashes(words, gram), window - gram + 1)
 
 
 def _window_keys(window: int, gram: int):
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         vocabulary = Vocabulary()
-        for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                if len(words) >= window:
-                    keys = np.unique(_keyed(vocabulary.hashes(words)[0], window, gram))
-                    yield np.zeros(keys.size, np.uint64), keys
+        for _, _, ends, words in _texts(batches, window):
+            at, of = _windows(ends, window)
+            keys = _keyed(vocabulary.hashes(words)[0], window, gram)[at]
+            new = np.append(True, (np.diff(keys) != 0) | (np.diff(of) != 0))  # neighbours mostly share their key
+            yield of[new], keys[new]
 
     return keys_of
 
 
+def _solve(keys: np.ndarray, hashes: list[list[int]], first: np.ndarray) -> list[list[int]]:
+    """The first document of every window: windows are equal if key and hash are."""
+    sizes = [len(x) for x in hashes]
+    h = np.concatenate([np.array(x, np.int64) for x in hashes])
+    k = np.repeat(keys, sizes)
+    order = np.lexsort((h, k))
+    begin = np.flatnonzero(np.append(True, (np.diff(k[order]) != 0) | (np.diff(h[order]) != 0)))
+    out = np.empty(h.size, np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(np.repeat(first, sizes)[order], begin), np.diff(np.append(begin, h.size)))
+    return [x.tolist() for x in np.split(out, np.cumsum(sizes)[:-1])]
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH) -> DataFrame:
-    """doc_id, row (64 bits of the text) and at, an array: where windows start that a smaller doc_id holds too."""
+    """doc_id, row (64 bits of the text) and found: the runs of windows that a smaller doc_id holds too."""
     gram = min(gram, window)
     rows = docs.where(F.col("doc_id").isNotNull()).select(utf8().alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))
     bits = repeated(rows.select("text"), _window_keys(window, gram), width)
-    names = ["doc_id", "row", "at", "h1", "h2"]
+    kinds = pa.schema([("key", pa.int64()), ("hashes", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int64())])
 
     def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
-        sketch = bits.value
-        for batch in batches:
-            for text, doc_id, row in zip(*batch.columns):
-                words = words_of(text.as_py())
-                if len(words) < window:
-                    continue
-                a, b = vocabulary.hashes(words)
-                at = np.flatnonzero(estimated_repeated(sketch, _keyed(a, window, gram)))
-                if at.size:
-                    both = [gram_hashes(x, window)[at].view(np.int64) for x in (a, b)]
-                    same = [np.full(at.size, x.as_py(), np.int64) for x in (doc_id, row)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, [*same, at, *both])], names=names)
-
-    found = materialize(rows.mapInArrow(estimated, ", ".join(f"{x} long" for x in names)), "windows")
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return found.join(first, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id", "row").agg(F.collect_set("at").alias("at"))
-
-
-def covered(at: list[int] | np.ndarray | None, size: int, window: int) -> np.ndarray:
-    """Which of `size` places lie in a window that starts at one of `at`."""
-    change = np.zeros(size + 1, np.int64)
-    if at is not None and len(at):
-        at = np.asarray(at, np.int64)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + window, -1)
-    return np.cumsum(change)[:size] > 0
+        sketch = unpacked(bits)
+        for batch, rows_in, ends, words in _texts(batches, window):
+            a, b = vocabulary.hashes(words)
+            at, of = _windows(ends, window)
+            keys = _keyed(a, window, gram)[at]
+            some = np.flatnonzero(estimated_repeated(sketch, keys))
+            if not some.size:
+                continue
+            at, of, keys = at[some], of[some], keys[some]
+            hashes = b[at].copy()
+            for k in range(1, window):
+                hashes = hashes * ODD + b[at + k]
+            # runs of neighbours with one key, MOST at most
+            new = np.append(True, (np.diff(at) != 1) | (np.diff(keys) != 0) | (np.diff(of) != 0))
+            start = np.flatnonzero(new)
+            place = np.arange(at.size) - np.repeat(start, np.diff(np.append(start, at.size)))
+            start = np.flatnonzero(new | (place % MOST == 0))
+            runs_of = pa.ListArray.from_arrays(pa.array(np.append(start, at.size), pa.int32()), pa.array(mixed(hashes).view(np.int64)))
+            source = rows_in[of[start]]
+            own = at[start] - np.append(0, ends)[of[start]]
+            which = pa.array(source)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[start].view(np.int64)), runs_of, batch.column(1).take(which), batch.column(2).take(which), pa.array(own)], schema=kinds)
+
+    found = rows.mapInArrow(estimated, "key long, hashes array<long>, doc_id long, row long, at long")
+    return losses(materialize(found, "windows"), "hashes", F.size("hashes"), _solve)
 
 
 def with_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with column at of repeated_windows()."""
+    """docs with column _found of repeated_windows()."""
     keyed = docs.withColumn("_row", F.xxhash64("text"))
-    marks = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_hash"), F.col("at").alias("_at"))
+    marks = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_hash"), F.col("found").alias("_found"))
     return keyed.join(marks, (F.col("doc_id") == F.col("_id")) & (F.col("_row") == F.col("_hash")), "left").drop("_id", "_hash", "_row")
 
 
@@ -99,18 +136,18 @@ def cut_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, kept = [], []
-            for text, at in zip(batch.column("text"), batch.column("_at")):
-                text, at = text.as_py(), at.as_py()
-                if at:
+            for text, found in zip(batch.column("text"), batch.column("_found")):
+                text, found = text.as_py(), found.as_py()
+                if found:
                     words = words_of(text)
-                    gone = covered(at, len(words), window)
+                    gone = covered(len(words), found, window)
                     text = b" ".join([w for w, g in zip(words, gone) if not g]).decode()
                     kept.append(bool(text))
                 else:
                     kept.append(True)
                 texts.append(text)
             batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
-            yield batch.drop_columns(["_at"]).filter(pa.array(kept, pa.bool_()))
+            yield batch.drop_columns(["_found"]).filter(pa.array(kept, pa.bool_()))
 
     marked = with_windows(docs, repeated_windows(docs, window))
     out = marked.mapInArrow(cut, docs.schema)
@@ -124,11 +161,11 @@ def _digests(window: int):
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, at in zip(batch.column("doc_id"), batch.column("text"), batch.column("_at")):
+            for doc_id, text, found in zip(batch.column("doc_id"), batch.column("text"), batch.column("_found")):
                 words = words_of(text.as_py())
                 kept = words
-                if at := at.as_py():
-                    gone = covered(at, len(words), window)
+                if found := found.as_py():
+                    gone = covered(len(words), found, window)
                     kept = [w for w, g in zip(words, gone) if not g]
                 out.append((doc_id.as_py(), len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             if out:
@@ -142,7 +179,7 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: words, words removed, and the SHA-256 of what is kept."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     marked = with_windows(docs, repeated_windows(docs))
-    return marked.select("doc_id", utf8().alias("text"), "_at").mapInArrow(_digests(WINDOW), SCHEMA)
+    return marked.select("doc_id", utf8().alias("text"), "_found").mapInArrow(_digests(WINDOW), SCHEMA)
 
 
 QUERIES = {"op8_substring": op8_substring}

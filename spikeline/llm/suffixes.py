@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mixed, partitions, read, sliding, utf8
-from .sketch import WIDTH, estimated_repeated, repeated
+from .common import materialize, mixed, read, sliding, utf8
+from .groups import covered, losses
+from .sketch import WIDTH, estimated_repeated, repeated, unpacked
 
 LENGTH = 50
 GRAM = 16
 SHALLOW = 16
 PIECE = 1 << 20  # bytes that a task hashes at once
-CONTEXTS = 20_000  # that are sorted at once, at least; a key's contexts stay together
 
 
 # -- sorting ------------------------------------------------------------------
@@ -218,7 +218,7 @@ def contexts(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataF
     names = ["key", "context", "doc_id", "row", "at"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = bits.value
+        sketch = unpacked(bits)
         for batch, spans, data in _pieces(batches, length):
             ends = np.cumsum([e - s for _, s, e in spans])
             at, keys = anchors(data, ends, length)
@@ -243,88 +243,29 @@ def contexts(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataF
 
 
 def _solved(length: int):
-    """Of rows key, context, first (a context's first document), sorted by key: code,
-    the context's hash, and the first document of each of its strings (one if all have the same)."""
-
     def solve(keys: np.ndarray, texts: list[bytes], first: np.ndarray) -> list[list[int]]:
+        """The first document of each string of each context."""
         sizes = np.array([len(x) for x in texts])
         n = sizes - length + 1
-        out: list[list[int]] = [[int(f)] for f in first]
-        edges = np.flatnonzero(np.diff(keys)) + 1
-        lone = np.zeros(keys.size, bool)
-        bounds = [0, *edges.tolist(), keys.size]
-        for a, b in zip(bounds, bounds[1:]):
-            lone[a] = b - a == 1
-        many = np.flatnonzero(~lone)
-        if not many.size:
-            return out
-        text = np.frombuffer(b"".join([texts[i] for i in many]) + bytes(length), np.uint8)
-        begin = np.cumsum(sizes[many]) - sizes[many]
-        of = np.repeat(np.arange(many.size), n[many])
-        suffixes = np.repeat(begin, n[many]) + np.arange(of.size) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
+        text = np.frombuffer(b"".join(texts) + bytes(length), np.uint8)
+        begin = np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(sizes.size), n)
+        suffixes = np.repeat(begin, n) + np.arange(of.size) - np.repeat(np.cumsum(n) - n, n)
         place = np.full(text.size, -1, np.int64)
         place[suffixes] = np.arange(suffixes.size)
         order, begins = deep_shallow(text, suffixes, length)
-        which = place[order]
-        least = np.minimum.reduceat(first[many][of[which]], np.flatnonzero(begins))
+        which, begins = place[order], np.flatnonzero(begins)
         result = np.empty(suffixes.size, np.int64)
-        result[which] = np.repeat(least, np.diff(np.append(np.flatnonzero(begins), order.size)))
-        for i, x in zip(many.tolist(), np.split(result, np.cumsum(n[many])[:-1])):
-            out[i] = x.tolist() if (x != x[0]).any() else [int(x[0])]
-        return out
-
-    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            keys, first = t.column("key").to_numpy(), t.column("first").to_numpy()
-            firsts = solve(keys, t.column("context").to_pylist(), first)
-            return pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), t.column("code").combine_chunks(), pa.array(firsts, pa.list_(pa.int64()))], names=["key", "code", "firsts"])
-
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column("key").to_numpy()
-            if rows >= CONTEXTS:  # cut where a key ends
-                edges = np.flatnonzero(np.diff(np.append(held[-1].column("key")[-1].as_py(), keys)))
-                if edges.size:
-                    held.append(batch.slice(0, int(edges[0])))
-                    yield done(held)
-                    batch, held, rows = batch.slice(int(edges[0])), [], 0
-            held.append(batch)
-            rows += batch.num_rows
-        if held:
-            yield done(held)
+        result[which] = np.repeat(np.minimum.reduceat(first[of[which]], begins), np.diff(np.append(begins, order.size)))
+        return [x.tolist() for x in np.split(result, np.cumsum(n)[:-1])]
 
-    return solved
+    return solve
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataFrame:
-    """doc_id, row and found: where contexts start, how many strings they hold, and a
-    mask of those that a smaller doc_id holds too (-1: all). docs: text (binary), doc_id, row."""
-    spark = docs.sparkSession
-    found = materialize(contexts(docs, length, width).withColumn("code", F.xxhash64("context")), "contexts")
-    distinct = found.groupBy("key", "code", "context").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    sorted_ = distinct.select("key", "code", "context", "first").repartition(partitions(spark), "key").sortWithinPartitions("key", "context")
-    firsts = sorted_.mapInArrow(_solved(length), "key long, code long, firsts array<long>")
-    joined = found.select("key", "code", "doc_id", "row", "at", (F.length("context") - (length - 1)).alias("n")).join(firsts, ["key", "code"])
-    bits = F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    mask = F.when(F.size("firsts") == 1, F.when(F.get("firsts", F.lit(0)) < F.col("doc_id"), F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long"))).otherwise(F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
-    marked = joined.select("doc_id", "row", "at", F.col("n").cast("int").alias("n"), mask.alias("mask")).where("mask <> 0")
-    return marked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "n", "mask")).alias("found"))
-
-
-def removed_bytes(size: int, found: list[dict] | None, length: int = LENGTH) -> np.ndarray:
-    """Which of a text's bytes go."""
-    change = np.zeros(size + 1, np.int64)
-    if found:
-        at, n, mask = (np.array([x[k] for x in found], np.int64) for k in ("at", "n", "mask"))
-        for i in range(int(n.max())):
-            s = at[(n > i) & ((mask == -1) | (mask >> np.int64(i) & 1 == 1))] + i
-            np.add.at(change, s, 1)
-            np.add.at(change, s + length, -1)
-    return np.cumsum(change)[:size] > 0
+    """doc_id, row and found: the runs of strings that a smaller doc_id holds too. docs: text (binary), doc_id, row."""
+    found = materialize(contexts(docs, length, width), "contexts")
+    return losses(found, "context", F.length("context") - (length - 1), _solved(length))
 
 
 def _digests(length: int):
@@ -335,7 +276,7 @@ def _digests(length: int):
                 data = kept = text.as_py()
                 n = spans = 0
                 if found := found.as_py():
-                    gone = removed_bytes(len(data), found, length)
+                    gone = covered(len(data), found, length)
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                     n, spans = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                 out.append((doc_id.as_py(), len(data), n, spans, hashlib.sha256(kept).hexdigest()))

@@ -66,7 +66,7 @@ def test_components_of_a_long_chain(spark):
 def test_windows_match_brute_force(spark, rows):
     for width in (1 << 24, 1 << 8):  # a sketch that is all but full loses nothing
         marked = substring.with_windows(frame(spark, rows).select("doc_id", "text"), substring.repeated_windows(frame(spark, rows), width=width))
-        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in marked.select("doc_id", substring.utf8().alias("text"), "_at").mapInArrow(substring._digests(13), substring.SCHEMA).collect()}
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in marked.select("doc_id", substring.utf8().alias("text"), "_found").mapInArrow(substring._digests(13), substring.SCHEMA).collect()}
         assert got == brute.window_removal([r[:2] for r in rows])
 
 
@@ -129,7 +129,7 @@ def test_sketch_never_underestimates(spark):
                 mine = keys[k * 300 : k * 300 + 400]
                 yield np.zeros(mine.size, np.uint64), mine
 
-    bits = sketch.repeated(docs, keys_of, 1 << 16).value
+    bits = sketch.unpacked(sketch.repeated(docs, keys_of, 1 << 16))
     found = sketch.estimated_repeated(bits, keys)
     assert found[300:400].all() and found[600:700].all()
     assert found[:300].mean() < 0.1
