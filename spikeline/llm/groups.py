@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import discard, materialize, partitions
 
 CONTEXTS = 20_000  # that are solved at once, at least; a key's contexts stay together
 MOST = 48  # strings in a context
@@ -60,7 +60,7 @@ def losses(found: DataFrame, payload: str, size, solve: Callable[[np.ndarray, li
     """doc_id, row and found, an array: where contexts start, how many strings they
     hold, and a mask of those that a smaller doc_id holds too (-1: all).
 
-    found: key, payload, doc_id, row, at, of a written table. size: how many strings a payload
+    found: key, payload, doc_id, row, at, of a table that materialize() wrote; it is deleted. size: how many strings a payload
     holds, MOST at most. solve: from keys, payloads and first documents, each string's first."""
     coded = found.withColumn("code", F.xxhash64(payload))
     distinct = coded.groupBy("key", "code", F.col(payload).alias("payload")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
@@ -73,7 +73,9 @@ def losses(found: DataFrame, payload: str, size, solve: Callable[[np.ndarray, li
     every = F.when(F.get("firsts", F.lit(0)) < F.col("doc_id"), F.lit(-1).cast("long")).otherwise(none)
     mask = F.when(F.size("firsts") == 1, every).otherwise(F.aggregate(bits, none, lambda a, b: a.bitwiseOR(b)))
     marked = joined.select("doc_id", "row", "at", "n", mask.alias("mask")).where("mask <> 0")
-    return marked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "n", "mask")).alias("found"))
+    out = materialize(marked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "n", "mask")).alias("found")), "losses")
+    discard(found)
+    return out
 
 
 def covered(size: int, found: list[dict] | None, length: int) -> np.ndarray:

@@ -9,7 +9,7 @@ under their key. Equal contexts are one row with their first document.
 
 Contexts are then sorted as suffixes by deep-shallow sorting: multikey quicksort
 over eight-byte characters down to SHALLOW bytes, and blind tries for the groups
-that still agree there. Neighbours with a common prefix of LENGTH bytes are equal
+that agree there and differ further on. Neighbours with a common prefix of LENGTH bytes are equal
 strings; the least document of each such group is its first. Every context
 returns to its occurrences with the first documents of its strings.
 
@@ -34,7 +34,7 @@ from .sketch import WIDTH, estimated_repeated, repeated, unpacked
 
 LENGTH = 50
 GRAM = 16
-SHALLOW = 16
+SHALLOW = 32
 PIECE = 1 << 20  # bytes that a task hashes at once
 
 
@@ -46,29 +46,27 @@ def _characters(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return text[at[:, None] + np.arange(8)].view(">u8")[:, 0].astype(np.uint64)
 
 
-def multikey_quicksort(text: np.ndarray, suffixes: np.ndarray, shallow: int) -> list[np.ndarray]:
-    """Groups of suffixes in order; the members of a group agree in `shallow` bytes.
+def multikey_quicksort(text: np.ndarray, suffixes: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first `shallow` bytes, and where groups that agree in them begin.
 
-    Three-way partitions by a pivot character of eight bytes; the middle part goes
-    on with the next character. text must go on for `shallow` bytes after each suffix.
+    Characters have eight bytes. All groups of one depth are parted at once by their
+    members' next character; those with a single member stay as they are. text must
+    go on for `shallow` bytes after each suffix.
     """
-    out: list[np.ndarray] = []
-    todo = [(suffixes, 0)]
-    while todo:
-        group, depth = todo.pop()
-        if group.size < 2 or depth >= shallow:
-            out.append(group)
-            continue
-        c = _characters(text, group + depth)
-        if group.size <= 4096:  # small ones by all their characters at once
-            order = np.argsort(c, kind="stable")
-            edges = np.flatnonzero(np.diff(c[order])) + 1
-            todo += [(x, depth + 8) for x in reversed(np.split(group[order], edges))]
-            continue
-        pivot = np.sort(c[:: c.size // 63])[32]
-        parts = [(group[c < pivot], depth), (group[c == pivot], depth + 8), (group[c > pivot], depth)]
-        todo += [x for x in reversed(parts) if x[0].size]
-    return out
+    order = suffixes.copy()
+    begins = np.zeros(order.size, bool)
+    begins[:1] = True
+    for depth in range(0, shallow, 8):
+        many = np.flatnonzero(~(begins & np.append(begins[1:], True)))
+        if not many.size:
+            break
+        group = np.cumsum(begins)[many]
+        c = _characters(text, order[many] + depth)
+        sorted_ = np.lexsort((c, group))
+        order[many] = order[many[sorted_]]
+        c, group = c[sorted_], group[sorted_]
+        begins[many] = np.append(True, (np.diff(group) != 0) | (c[1:] != c[:-1]))
+    return order, begins
 
 
 class BlindTrie:
@@ -127,23 +125,33 @@ class BlindTrie:
 def deep_shallow(text: np.ndarray, suffixes: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes in the order of their first `length` bytes, and for each whether
     it begins a group of equal ones. text: uint8, with `length` bytes after each suffix."""
+    shallow = min(shallow, length // 8 * 8)
+    order, begins = multikey_quicksort(text, suffixes, shallow)
+    edges = np.append(np.flatnonzero(begins), order.size)
+    sizes = np.diff(edges)
+    many = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    if not many.size:
+        return order, begins
+    # groups that agree to the end would be tries of one leaf
+    head = np.repeat(order[edges[:-1]], sizes)
+    rest = np.arange(shallow, length)
+    differs = np.zeros(order.size, bool)
+    for part in np.array_split(many, many.size // 20_000 + 1):
+        differs[part] = (text[order[part, None] + rest] != text[head[part, None] + rest]).any(axis=1)
     data = text.tobytes()
-    order: list[np.ndarray] = []
-    begins: list[np.ndarray] = []
-    for group in multikey_quicksort(text, suffixes, min(shallow, length // 8 * 8)):
-        if group.size == 1:
-            order.append(group)
-            begins.append(np.ones(1, bool))
-            continue
+    for g in np.flatnonzero(np.logical_or.reduceat(differs, edges[:-1])):
+        a, b = edges[g], edges[g + 1]
+        group = order[a:b].copy()
         trie = BlindTrie()
         for i, s in enumerate(group.tolist()):
-            trie.insert(data[s : s + length], i)
+            trie.insert(data[s + shallow : s + length], i)
+        at = a
         for same in trie.groups():
-            order.append(group[same])
-            begins.append(np.arange(len(same)) == 0)
-    if not order:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    return np.concatenate(order), np.concatenate(begins)
+            order[at : at + len(same)] = group[same]
+            begins[at : at + len(same)] = False
+            begins[at] = True
+            at += len(same)
+    return order, begins
 
 
 # -- keys ---------------------------------------------------------------------
