@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def alias_list(aliases: str = "aliases") -> Column:
     """The names between the bars, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(F.col(aliases), F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(F.col(aliases), F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def query_string(name: str = "company_name", aliases: str = "aliases", suffix: str = "sourcecountry:IN") -> Column:
