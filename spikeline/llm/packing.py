@@ -33,7 +33,7 @@ from .common import materialize, read, utf8
 CAPACITY = 4096
 END = 1
 GROUP = 20_000
-WORDS = 300_000  # that a task remembers the ids of
+WORDS = 1_500_000  # that a Python worker remembers the ids of, some 300 MB; beyond, it starts anew
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -46,7 +46,8 @@ class WordIds(dict):
     """Words to their ids, as bytes of little-endian unsigned 32-bit numbers.
 
     The vocabulary's pre-tokenizer never joins what white space parts, so a text's
-    ids are those of its words, one after another.
+    ids are those of its words, one after another. Words not yet known are encoded
+    together, each by itself.
     """
 
     def __init__(self, path: str):
@@ -54,15 +55,28 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
-
-    def ids(self, text: bytes) -> bytes:
-        if len(self) > WORDS:
+    def learn(self, words: set[bytes]) -> None:
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > WORDS:
             self.clear()
-        return b"".join(map(self.__getitem__, text.split())) + np.array([END], "<u4").tobytes()
+            new = list(words)
+        if not new:
+            return
+        encoded = self.tokenizer.encode([w.decode() for w in new], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4").tobytes()
+        ends = np.searchsorted(np.array(encoded.word_ids, np.int64), np.arange(len(new)), "right") * 4
+        for w, a, b in zip(new, [0, *ends[:-1].tolist()], ends.tolist()):
+            self[w] = ids[a:b]
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        split = [x.split() for x in texts]
+        self.learn({w for words in split for w in words})
+        end = np.array([END], "<u4").tobytes()
+        for words in split:
+            yield b"".join(map(self.__getitem__, words)) + end
+
+
+_KNOWN: dict[str, WordIds] = {}  # by vocabulary; tasks that share a worker share it
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -75,15 +89,17 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        if path not in _KNOWN:
+            _KNOWN[path] = WordIds(path)
+        words = _KNOWN[path]
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.ids(text.as_py())
-                for k in range(0, len(ids), 4 * capacity):
-                    part = ids[k : k + 4 * capacity]
-                    out.append((doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
-            if out:
+            for at in range(0, batch.num_rows, 256):
+                doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                out = []
+                for doc_id, ids in zip(doc_ids, words.ids(texts)):
+                    for k in range(0, len(ids), 4 * capacity):
+                        part = ids[k : k + 4 * capacity]
+                        out.append((doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(cut, PIECE)
