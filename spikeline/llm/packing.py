@@ -76,7 +76,14 @@ class WordIds(dict):
             yield b"".join(map(self.__getitem__, words)) + end
 
 
-_KNOWN: dict[str, WordIds] = {}  # by vocabulary; tasks that share a worker share it
+_KNOWN: dict[str, WordIds] = {}  # by vocabulary
+
+
+def known_words(path: str) -> WordIds:
+    """One for each worker: found by name there, not sent along with each task."""
+    if path not in _KNOWN:
+        _KNOWN[path] = WordIds(path)
+    return _KNOWN[path]
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -89,9 +96,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _KNOWN:
-            _KNOWN[path] = WordIds(path)
-        words = _KNOWN[path]
+        words = known_words(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
