@@ -1,11 +1,11 @@
 """Suffix-array dedup: bytes in 50-byte strings that an earlier document holds.
 
 Which suffixes are worth sorting: a string of LENGTH bytes is known by its key,
-the least hash of the GRAM-byte runs inside. Equal strings have equal keys at the
-same place, so a string can only repeat across documents if its key does. The
-count-min sketch of sketch.py passes over keys seen in one document; the others
-bring their context, the bytes of all strings around them, and contexts meet
-under their key. Equal contexts are one row with their first document.
+the least hash of the GRAM-byte runs inside. Equal strings have equal keys,
+so a string can only repeat across documents if its key does. The count-min
+sketch of sketch.py passes over keys seen in one document; the others bring
+their contexts, the bytes of neighbouring strings with that key, and contexts meet
+under it. Equal contexts are one row with their first document.
 
 Contexts are then sorted as suffixes by deep-shallow sorting: multikey quicksort
 over eight-byte characters down to SHALLOW bytes, and blind tries for the groups
@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, mixed, read, sliding, utf8
-from .groups import covered, losses
+from .groups import MOST, covered, losses
 from .sketch import WIDTH, estimated_repeated, repeated, unpacked
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24  # a multiple of 8
 SHALLOW = 32
 PIECE = 1 << 20  # bytes that a task hashes at once
 
@@ -158,31 +158,36 @@ def deep_shallow(text: np.ndarray, suffixes: np.ndarray, length: int = LENGTH, s
 
 
 def gram_values(data: np.ndarray) -> np.ndarray:
-    """A hash of the 16 bytes from each place on where there are as many."""
+    """A hash of the GRAM bytes from each place on where there are as many."""
     size = data.size - GRAM + 1
     words = np.empty(data.size - 7, np.uint64)
     raw = data.tobytes()
     for k in range(8):
         n = (data.size - k) // 8
         words[k::8] = np.frombuffer(raw, "<u8", n, k)[: words[k::8].size]
-    return mixed(mixed(words[:size]) + words[8 : size + 8])
+    out = mixed(words[:size])
+    for k in range(8, GRAM, 8):
+        out = mixed(out + words[k : size + k])
+    return out
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(place, key) of every key in data, which holds texts that end at `ends`."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def string_runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, strings, key) of the runs of neighbouring strings with one key, MOST strings
+    at most, in data, which holds texts of `length` bytes or more that end at `ends`."""
     if data.size < length:
-        return none
-    h = gram_values(data)
-    width = length - GRAM + 1
-    least = sliding(h, width)
-    starts = np.append(0, ends[:-1])
-    # strings that reach beyond their text aren't there
-    bad = np.concatenate([np.arange(max(s, e - length + 1), e) for s, e in zip(starts, ends)])
-    least[bad[bad < least.size]] = 0
-    most = sliding(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
-    at = np.flatnonzero(most == h)
-    return at, h[at]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    least = sliding(gram_values(data), length - GRAM + 1)
+    there = np.ones(data.size, bool)  # strings that reach beyond their text aren't
+    for e in ends.tolist():
+        there[e - length + 1 : e] = False
+    there = there[: least.size]
+    begin = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (there[1:] != there[:-1])))
+    size = np.diff(np.append(begin, least.size))
+    begin, size = begin[there[begin]], size[there[begin]]
+    parts = -(-size // MOST)
+    step = MOST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    at = np.repeat(begin, parts) + step
+    return at, np.minimum(np.repeat(size, parts) - step, MOST), least[at]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, int]], np.ndarray]]:
@@ -213,7 +218,7 @@ def _string_keys(length: int):
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for _, spans, data in _pieces(batches, length):
             ends = np.cumsum([e - s for _, s, e in spans])
-            at, keys = anchors(data, ends, length)
+            at, _, keys = string_runs(data, ends, length)
             yield np.array([r for r, _, _ in spans])[np.searchsorted(ends, at, "right")], keys
 
     return keys_of
@@ -229,19 +234,18 @@ def contexts(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataF
         sketch = unpacked(bits)
         for batch, spans, data in _pieces(batches, length):
             ends = np.cumsum([e - s for _, s, e in spans])
-            at, keys = anchors(data, ends, length)
+            at, n, keys = string_runs(data, ends, length)
             some = estimated_repeated(sketch, keys)
-            at, keys = at[some], keys[some]
+            at, n, keys = at[some], n[some], keys[some]
             if not at.size:
                 continue
             which = np.searchsorted(ends, at, "right")
             begin = np.append(0, ends[:-1])[which]
-            first = np.maximum(begin, at - (length - GRAM))
-            last = np.minimum(ends[which], at + length)
+            last = at + n + length - 1
             raw = data.tobytes()
             rows = np.array([r for r, _, _ in spans])[which]
-            place = first - begin + np.array([s for _, s, _ in spans])[which]
-            texts = pa.array([raw[a:b] for a, b in zip(first.tolist(), last.tolist())], pa.binary())
+            place = at - begin + np.array([s for _, s, _ in spans])[which]
+            texts = pa.array([raw[a:b] for a, b in zip(at.tolist(), last.tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), texts, batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), pa.array(place)], names=names)
 
     return docs.mapInArrow(found, "key long, context binary, doc_id long, row long, at long")
