@@ -19,6 +19,9 @@ are packed each; extra columns don't matter; no rows give no sequences.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -42,38 +45,71 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: How PLAIN words become pieces; holds for vocabularies whose own steps are these.
+STEPS = {
+    "normalizers": ["NFC", "Replace", "Lowercase"],
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}  # fixed values
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")  # signs that are composed already and have one lower-case form
+LETTERS = "a-zß-öø-ÿ"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^0-9{LETTERS}]+")
+_SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}  # bytes that stand for themselves
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+
+def _has_steps(path: str) -> bool:
+    with open(path) as f:
+        config = json.load(f)
+    parts = (config["normalizer"] or {}).get("normalizers", [])
+    cuts = (config["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        [x["type"] for x in parts] == STEPS["normalizers"]
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"] == {"Regex": STEPS["split"]}
+        and not cuts[1]["add_prefix_space"]
+        and not cuts[1]["use_regex"]
+    )
+
+
 class WordIds(dict):
     """Words to their ids, as bytes of little-endian unsigned 32-bit numbers.
 
     The vocabulary's pre-tokenizer never joins what white space parts, so a text's
-    ids are those of its words, one after another. Words not yet known are encoded
-    together, each by itself.
+    ids are those of its words, one after another. PLAIN words are cut into pieces
+    here, and pieces' ids kept as well; others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > WORDS:
+        self.model = self.tokenizer.model
+        self.plain = _has_steps(path)
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES)
+            found = [x.id for x in self.model.tokenize(signs)]
+            ids = self.pieces[piece] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= WORDS:
             self.clear()
-            new = list(words)
-        if not new:
-            return
-        encoded = self.tokenizer.encode([w.decode() for w in new], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(encoded.ids, "<u4").tobytes()
-        ends = np.searchsorted(np.array(encoded.word_ids, np.int64), np.arange(len(new)), "right") * 4
-        for w, a, b in zip(new, [0, *ends[:-1].tolist()], ends.tolist()):
-            self[w] = ids[a:b]
-
-    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [x.split() for x in texts]
-        self.learn({w for words in split for w in words})
-        end = np.array([END], "<u4").tobytes()
-        for words in split:
-            yield b"".join(map(self.__getitem__, words)) + end
+            self.pieces.clear()
+        text = word.decode()
+        if self.plain and PLAIN.fullmatch(text) and "<|" not in text:  # which begins special tokens
+            ids = b"".join(map(self.piece, PIECES.findall(text.lower())))
+        else:
+            found = self.tokenizer.encode([text], is_pretokenized=True, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self[word] = ids
+        return ids
+
+    def ids(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split())) + struct.pack("<I", END)
 
 
 _KNOWN: dict[str, WordIds] = {}  # by vocabulary
@@ -101,7 +137,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
             for at in range(0, batch.num_rows, 256):
                 doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
                 out = []
-                for doc_id, ids in zip(doc_ids, words.ids(texts)):
+                for doc_id, ids in zip(doc_ids, map(words.ids, texts)):
                     for k in range(0, len(ids), 4 * capacity):
                         part = ids[k : k + 4 * capacity]
                         out.append((doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))

@@ -193,3 +193,16 @@ def test_no_rows(spark):
     assert packing.pack_documents(none).count() == 0
     assert mixing.mix(none.select("doc_id", "source", mixing.word_count().alias("size")), "doc_id").count() == 0
     assert sharding.shuffle_shards(none.select("doc_id", "text"), ["doc_id", "text"]).count() == 0
+
+
+def test_word_ids_of_plain_words_are_the_tokenizers():
+    import random
+
+    rnd = random.Random(5)
+    signs = "aAzZéÉßÿÀ'’sStTrReEvmlLdD09-.,;<|>×÷ªº́İΣK\u0085\x1c\x01~"
+    words = {w for _ in range(5000) for w in "".join(rnd.choices(signs, k=rnd.randint(1, 9))).encode().split()}
+    words |= {b"<|endoftext|>", b"x<|startoftext|>y", b"<|ENDOFTEXT|>", "µ".encode(), b"It's", b"WE'LL!?"}
+    fast, whole = (packing.WordIds(packing.tokenizer_path()) for _ in range(2))
+    assert fast.plain
+    whole.plain = False
+    assert [w for w in words if fast[w] != whole[w]] == []
