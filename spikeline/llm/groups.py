@@ -2,7 +2,9 @@
 
 A context is a run of neighbouring strings (windows) that share a key. Equal
 contexts are one row with their first and last document; contexts with one key
-are solved together, exactly; the answers return to the contexts' occurrences.
+are solved together, exactly; the answers return to the contexts' occurrences. A key that
+occurs more than HEAVY times is not solved in one piece: its contexts are split
+into their single strings, and each string is grouped by itself.
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, partitions
 
-CONTEXTS = 20_000  # that are solved at once, at least; a key's contexts stay together
+CONTEXTS = 20_000  # that are solved at once, at least; a key's contexts stay together, HEAVY at most
+HEAVY = 4096  # occurrences of a key, contexts of a string: with more, they aren't brought to one task
+NEVER = (1 << 63) - 1  # no document is less
 MOST = 48  # strings in a context
 
 
@@ -56,16 +60,39 @@ def _answers(solve: Callable[[np.ndarray, list, np.ndarray], list[list[int]]]):
     return answered
 
 
-def losses(found: DataFrame, payload: str, size, solve: Callable[[np.ndarray, list, np.ndarray], list[list[int]]]) -> DataFrame:
+def _by_string(contexts: DataFrame, strings: Callable[[Column], Column]) -> DataFrame:
+    """key, code and firsts of the contexts (key, code, payload, first, last) of heavy keys.
+
+    Strings are counted on the map side before they meet. Those in more than HEAVY contexts,
+    of which there can't be many, are broadcast to their contexts; the others are joined."""
+    single = contexts.select("key", "code", "last", F.posexplode(strings(F.col("payload"))).alias("i", "string"), "first")
+    seen = single.groupBy("key", "string").agg(F.min("first").alias("least"), F.max("last").alias("most"), F.count(F.lit(1)).alias("n"))
+    known = materialize(seen.where("least < most").select("key", "string", "least", "n"), "strings")
+    hot = F.broadcast(known.where(F.col("n") > HEAVY).drop("n"))
+    single = single.drop("first")
+    met = single.join(hot, ["key", "string"]).unionByName(single.join(hot, ["key", "string"], "left_anti").join(known.where(F.col("n") <= HEAVY).drop("n").hint("merge"), ["key", "string"], "left"))
+    every = met.groupBy("key", "code").agg(F.max("last").alias("last"), F.array_sort(F.collect_list(F.struct("i", F.coalesce("least", F.lit(NEVER)).alias("least")))).alias("found"))
+    return every.select("key", "code", F.col("found.least").alias("firsts"), "last").where(F.exists("firsts", lambda x: x < F.col("last"))).drop("last")
+
+
+def losses(found: DataFrame, payload: str, size, strings: Callable[[Column], Column], solve: Callable[[np.ndarray, list, np.ndarray], list[list[int]]]) -> DataFrame:
     """doc_id, row and found, an array: where contexts start, how many strings they
     hold, and a mask of those that a smaller doc_id holds too (-1: all).
 
     found: key, payload, doc_id, row, at, of a table that materialize() wrote; it is deleted. size: how many strings a payload
-    holds, MOST at most. solve: from keys, payloads and first documents, each string's first."""
+    holds, MOST at most. strings: a payload's strings as an array. solve: from keys, payloads and first documents, each string's first."""
     coded = found.withColumn("code", F.xxhash64(payload))
-    distinct = coded.groupBy("key", "code", F.col(payload).alias("payload")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    ordered = distinct.repartition(partitions(found.sparkSession), "key").sortWithinPartitions("key", "code")
+    heavy = materialize(found.groupBy("key").count().where(F.col("count") > HEAVY).select("key"), "heavy")
+    some = not heavy.isEmpty()
+
+    def distinct(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key", "code", F.col(payload).alias("payload")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+    light = coded.join(F.broadcast(heavy), "key", "left_anti") if some else coded
+    ordered = distinct(light).repartition(partitions(found.sparkSession), "key").sortWithinPartitions("key", "code")
     firsts = ordered.mapInArrow(_answers(solve), "key long, code long, firsts array<long>")
+    if some:
+        firsts = firsts.unionByName(_by_string(materialize(distinct(coded.join(F.broadcast(heavy), "key", "left_semi")), "heavy-contexts"), strings))
     joined = coded.select("key", "code", "doc_id", "row", "at", size.cast("int").alias("n")).join(firsts.hint("merge"), ["key", "code"])
     one = F.lit(1).cast("long")
     none = F.lit(0).cast("long")

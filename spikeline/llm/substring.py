@@ -119,7 +119,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wi
             yield pa.RecordBatch.from_arrays([pa.array(keys[start].view(np.int64)), runs_of, batch.column(1).take(which), batch.column(2).take(which), pa.array(own)], schema=kinds)
 
     found = rows.mapInArrow(estimated, "key long, hashes array<long>, doc_id long, row long, at long")
-    return losses(materialize(found, "windows"), "hashes", F.size("hashes"), _solve)
+    return losses(materialize(found, "windows"), "hashes", F.size("hashes"), lambda hashes: hashes, _solve)
 
 
 def with_windows(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -277,7 +277,8 @@ def _solved(length: int):
 def repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataFrame:
     """doc_id, row and found: the runs of strings that a smaller doc_id holds too. docs: text (binary), doc_id, row."""
     found = materialize(contexts(docs, length, width), "contexts")
-    return losses(found, "context", F.length("context") - (length - 1), _solved(length))
+    strings = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (length - 1)), lambda i: F.substring(x, i, F.lit(length)))
+    return losses(found, "context", F.length("context") - (length - 1), strings, _solved(length))
 
 
 def _digests(length: int):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spikeline.llm import near, sketch, substring, suffixes
+from spikeline.llm import groups, near, sketch, substring, suffixes
 
 from . import brute
 from .tables import documents, frame
@@ -100,6 +100,37 @@ def test_bytes_of_repetitive_and_long_texts(spark, monkeypatch):
     assert got == brute.byte_removal([x[:2] for x in rows])
 
 
+def _bounded(solve, most):
+    """solve, but no key may bring more than `most` contexts to one task."""
+
+    def checked(keys, payloads, first):
+        assert np.unique(keys, return_counts=True)[1].max() <= most, "one key in one task"
+        return solve(keys, payloads, first)
+
+    return checked
+
+
+def test_keys_with_many_contexts_are_split(spark, monkeypatch):
+    """A passage with other text around it in each document: one key, a context a document."""
+    monkeypatch.setattr(groups, "HEAVY", 20, raising=False)
+    solve, solved = substring._solve, suffixes._solved
+    monkeypatch.setattr(substring, "_solve", _bounded(solve, 20))
+    monkeypatch.setattr(suffixes, "_solved", lambda length: _bounded(solved(length), 20))
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    prose = lambda k: " ".join(word() for _ in range(k))
+    passages = [prose(k) for k in (5, 8, 14)]
+    rows = [(i, f"{prose(20)} {passages[i % 3]} {r.choice(['left', 'right', word()])} {prose(20)}", None, None) for i in range(240)]
+    rows += [(500 + i, rows[i * 7][1][r.randrange(60) :], None, None) for i in range(30)] + [(600 + i, passages[2], None, None) for i in range(40)]
+    r.shuffle(rows)
+    docs = frame(spark, rows)
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffixes.remove_repeats(docs).collect()}
+    assert got == brute.byte_removal([x[:2] for x in rows])
+    marked = substring.with_windows(docs.select("doc_id", "text"), substring.repeated_windows(docs))
+    got = {x["doc_id"]: tuple(x)[1:] for x in marked.select("doc_id", substring.utf8().alias("text"), "_found").mapInArrow(substring._digests(13), substring.SCHEMA).collect()}
+    assert got == brute.window_removal([x[:2] for x in rows])
+
+
 def test_deep_shallow_orders_suffixes():
     r = np.random.default_rng(4)
     base = r.integers(97, 99, 400).astype(np.uint8)
