@@ -180,6 +180,26 @@ def test_shards_are_even_and_repeatable(spark, rows):
     assert sorted(map(str, got)) == sorted(map(str, place(docs.repartition(7))))
 
 
+def test_written_shards_hold_whole_long_records(spark, tmp_path):
+    rows = [(i, f"{i} " * (60_000 if i % 5 == 0 else 3), "en", None) for i in range(40)] + [(7, "7 7 7 ", "en", None), (None, None, None, "s1")]
+    docs = frame(spark, rows)
+    out = sharding.write_shards(docs, str(tmp_path / "out"), 4, bucket_bytes=200_000)
+    got = out.collect()
+    assert Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in got) == Counter(rows)
+    assert sorted((r["shard"], r["slot"]) for r in got) == sorted((i % 4, i // 4) for i in range(len(rows)))
+    assert sharding.write_shards(docs.limit(0), str(tmp_path / "none"), 4).count() == 0
+
+
+def test_op7_writes_the_shards_it_reports(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(sharding, "shared_dir", lambda _: str(tmp_path), raising=False)
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in sharding.op7_sharding(spark, str(tmp_path)).collect()}
+    (path,) = tmp_path.glob("shards-*")
+    texts = {(r["doc_id"], (r["text"] or "").encode(), r["shard"]) for r in spark.read.parquet(str(path)).collect()}
+    assert {(d, t) for d, t, _ in texts} == {(r[0], (r[1] or "").encode()) for r in rows}
+    assert got == {(d, len(t) + 1, zlib.crc32(t), s) for d, t, s in texts}
+
+
 def test_quality_learns_a_rule(spark):
     rows = [(i, "good words here. " * 20 if i % 2 else "!!! ### $$$ " * 20, None, None) for i in range(200)]
     rows += [(1000, None, None, None), (1001, "", None, None)]
