@@ -90,3 +90,18 @@ def verdict(p: DataFrame, q: float = 0.10, alpha: float = 0.05) -> DataFrame:
     primary = p.where("name = 'T5'").agg(F.max("p").alias("primary_p"))
     both = primary.crossJoin(secondary)  # a row each
     return both.withColumn("verdict", F.when((F.col("primary_p") < alpha) | (F.col("survivors") > 0), "SIGNAL").otherwise("NULL"))
+
+
+def lock(statistic: DataFrame, path: str) -> None:
+    """Stores a one-row statistic (column `locked`) for later runs; replaces what is stored."""
+    statistic.select(F.col("locked").cast("double").alias("locked")).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def against_locked(recomputed: DataFrame, locked: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """recomputed, locked, stale, of one row each; raises where they differ, or where only one is known."""
+    apart = F.coalesce(F.abs(F.col("recomputed") - F.col("locked")) >= tolerance, F.col("recomputed").isNull() != F.col("locked").isNull())
+    both = recomputed.crossJoin(locked).withColumn("stale", apart)  # a row each
+    rows = both.collect()
+    if len(rows) != 1 or rows[0]["stale"]:
+        raise ValueError(f"the recomputed T5 statistic doesn't match the locked one: {rows}")
+    return both

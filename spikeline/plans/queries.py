@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -416,9 +418,30 @@ def standard_errors(spark, d):
     return rounded(null.agg(F.stddev_samp("T5").alias("empirical_se")).crossJoin(c.agg((F.stddev_samp(x) / F.sqrt(F.count(x))).alias("parametric_se"))))  # a row each
 
 
+def locked_path(spark: SparkSession, d: str) -> str:
+    """Where the T5 statistic of these tables is stored: under spark.spikeline.locked, else in the warehouse."""
+    base = spark.conf.get("spark.spikeline.locked", None) or spark.conf.get("spark.sql.warehouse.dir") + "/locked-statistics"
+    return f"{base.rstrip('/')}/{hashlib.md5(d.rstrip('/').encode()).hexdigest()}"
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+def fresh_statistic(spark: SparkSession, d: str) -> DataFrame:
+    """recomputed, locked and stale of the T5 statistic; raises if an earlier run stored another. The first run over the tables stores it."""
+    recomputed = cars(spark, d).agg(F.avg(F.col("direction") * F.col("CAR_t5")).alias("recomputed")).cache()
+    path = locked_path(spark, d)
+    if not stored(spark, path):
+        inference.lock(recomputed.withColumnRenamed("recomputed", "locked"), path)
+    return inference.against_locked(recomputed, spark.read.schema("locked double").parquet(path))
+
+
 @query("power_analysis")
 def _(spark, d):
     """Least detectable effects and achieved power of the empirical standard error: three scalars through the driver."""
+    fresh_statistic(spark, d)
     se = standard_errors(spark, d).first()["empirical_se"]
     rows = [("mde", x, normal.mde(se, x)) for x in (0.5, 0.8, 0.9)] + [("power", x, normal.achieved_power(x, se)) for x in (0.0, 0.005, 0.01)] if se else []
     return spark.createDataFrame(rows, "kind string, at double, value double")
@@ -426,10 +449,7 @@ def _(spark, d):
 
 @query("staleness_check", "cars", select="SELECT round(avg(direction * CAR_t5), 6) AS recomputed, round(avg(direction * CAR_t5), 6) AS locked, FALSE AS stale FROM cars")
 def _(spark, d):
-    c = cars(spark, d).cache()
-    x = F.avg(F.col("direction") * F.col("CAR_t5"))
-    both = c.agg(x.alias("recomputed")).crossJoin(c.agg(x.alias("locked")))  # a row each
-    return rounded(both.withColumn("stale", F.abs(F.col("recomputed") - F.col("locked")) >= 1e-9))
+    return rounded(fresh_statistic(spark, d))
 
 
 @query("tercile_reference", "reference", select="SELECT tercile_label, " + _round_sql("e1 e2 tercile_mean_car5") + ", tercile_n FROM reference")

@@ -68,6 +68,23 @@ def test_power_identities():
     assert normal.achieved_power(0.0, 1.0) == pytest.approx(0.05)
 
 
+def test_locked_statistic_matches_or_raises(spark, tmp_path, monkeypatch):
+    from spikeline.plans import queries
+
+    events = lambda car: spark.createDataFrame([(1.0, car), (-1.0, 0.5)], "direction double, CAR_t5 double")
+    spark.conf.set("spark.spikeline.locked", str(tmp_path))
+    try:
+        monkeypatch.setattr(queries, "cars", lambda *_: events(0.25))
+        for _ in range(2):  # the first stores, the second compares
+            assert tuple(queries.QUERIES["staleness_check"](spark, "/tables").first()) == (-0.125, -0.125, False)
+        monkeypatch.setattr(queries, "cars", lambda *_: events(0.25 + 1e-8))
+        for name in ("staleness_check", "power_analysis"):
+            with pytest.raises(ValueError, match="locked"):
+                queries.QUERIES[name](spark, "/tables")
+    finally:
+        spark.conf.unset("spark.spikeline.locked")
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
