@@ -28,3 +28,9 @@ def price_integrity(prices: DataFrame, symbols: DataFrame, benchmark: str, slack
     status = F.when(F.col("rows").isNull(), "DROPPED-no-data").when(late | (F.col("missing") > most_missing) | (F.col("nonpositive_close") > 0), "DROPPED-insufficient-coverage").otherwise("OK")
     joined = symbols.join(per, "ticker", "left").join(F.broadcast(bench), how="left").withColumn("missing", missing)  # one row
     return joined.select("ticker", F.coalesce("rows", F.lit(0)).alias("rows"), "first_date", "last_date", F.round("missing", 4).alias("missing_pct"), F.coalesce("nonpositive_close", F.lit(0)).alias("nonpositive_close"), F.coalesce("extreme_moves", F.lit(0)).alias("extreme_moves"), status.alias("status"))
+
+
+def sound_prices(prices: DataFrame, benchmark: str) -> DataFrame:
+    """The prices of symbols whose integrity status is OK."""
+    report = price_integrity(prices, prices.select("ticker").distinct(), benchmark)
+    return prices.join(F.broadcast(report.where("status = 'OK'").select("ticker")), "ticker", "left_semi")  # a row a symbol

@@ -130,12 +130,17 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return signals.gated_events(scored(spark, d))
 
 
+def prices(spark: SparkSession, d: str) -> DataFrame:
+    """The price panel of symbols that pass price_integrity."""
+    return audits.sound_prices(tables.price_panel(spark, d), tables.BENCHMARK)
+
+
 def rets(spark: SparkSession, d: str) -> DataFrame:
-    return eventstudy.returns(tables.price_panel(spark, d), tables.BENCHMARK)
+    return eventstudy.returns(prices(spark, d), tables.BENCHMARK)
 
 
 def entered(spark: SparkSession, d: str) -> DataFrame:
-    return eventstudy.entries(events(spark, d), eventstudy.calendar(tables.price_panel(spark, d), tables.BENCHMARK))
+    return eventstudy.entries(events(spark, d), eventstudy.calendar(prices(spark, d), tables.BENCHMARK))
 
 
 def cars(spark: SparkSession, d: str) -> DataFrame:
@@ -303,14 +308,14 @@ def _(spark, d):
         (SELECT min(date) AS f, max(date) AS l FROM prices WHERE ticker = '^ALL')""",
 )
 def _(spark, d):
-    prices = tables.price_panel(spark, d)
-    symbols = prices.select("ticker").distinct().unionByName(spark.createDataFrame([("ABSENT",)], "ticker string"))
-    return audits.price_integrity(prices, symbols, tables.BENCHMARK)
+    panel = tables.price_panel(spark, d)
+    symbols = panel.select("ticker").distinct().unionByName(spark.createDataFrame([("ABSENT",)], "ticker string"))
+    return audits.price_integrity(panel, symbols, tables.BENCHMARK)
 
 
 @query("calendar", "cal", select="SELECT date, idx FROM cal")
 def _(spark, d):
-    return eventstudy.calendar(tables.price_panel(spark, d), tables.BENCHMARK)
+    return eventstudy.calendar(prices(spark, d), tables.BENCHMARK)
 
 
 @query("log_returns_calendar", "rets", select="SELECT ticker, idx, date, " + _round_sql("r m") + " FROM rets")

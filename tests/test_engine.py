@@ -85,6 +85,18 @@ def test_locked_statistic_matches_or_raises(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.spikeline.locked")
 
 
+def test_dropped_symbols_dont_enter_returns(spark, monkeypatch):
+    from spikeline.plans import queries
+
+    days = [DAY + dt.timedelta(i) for i in range(100)]
+    kept = {"^ALL": days, "GOOD": days[:-2], "THIN": days[::2], "LATE": days[40:], "ZERO": days}
+    rows = [(t, x, 0.0 if t == "ZERO" and i == 50 else 10.0 + i % 7) for t, own in kept.items() for i, x in enumerate(own)]
+    panel = spark.createDataFrame(rows, "ticker string, date date, close double")
+    monkeypatch.setattr(queries.tables, "price_panel", lambda *_: panel)
+    assert {r[0] for r in queries.rets(spark, "").select("ticker").distinct().collect()} == {"GOOD"}
+    assert {r[0] for r in queries.prices(spark, "").select("ticker").distinct().collect()} == {"GOOD", "^ALL"}
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
