@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,34 +23,67 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go when these end: nothing reads them again."""
+    before = spark.conf.get(SHUFFLES)
+    spark.conf.set(SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: what follows
     starts from files that outlive any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Deletes what materialize() wrote, once all that was made of it is written itself."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._written_at)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+TASK_BYTES = 64 << 20  # of input files, that a task after an exchange gets at most about
+
+
+def partitions(df: DataFrame) -> int:
+    """Tasks for an exchange of df: spark.sql.shuffle.partitions, more where the files it comes from are large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # more stands for "unknown"
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, min(size // TASK_BYTES, 200_000))
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def utf8(col: str | Column = "text") -> Column:
@@ -62,48 +97,78 @@ def word_count(col: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def range_starts(df: DataFrame, key: str, n: int, cells: int = 8192) -> list[int]:
-    """Where ranges 1, 2, ... of an integer key start, about n with as many rows
-    each: always the same for the same rows, however these are dealt out.
+def text_hashes(col: str | Column = "text") -> tuple[Column, Column]:
+    """128 bits of a text, as two numbers."""
+    data = utf8(col)
+    return F.xxhash64(F.lit(1), data), F.xxhash64(F.lit(2), data)
 
-    Counts equal-width cells; while a cell holds over two shares and spans more
-    than one key it is cut again. The driver sees at most `cells` counts a round
-    for every such cell, whatever the input's size.
+
+def distinct_texts(docs: DataFrame, least: int) -> DataFrame:
+    """text (binary), doc_id (the least that has it), h1, h2, n_bytes and row (a number of its own) of
+    every text of `least` bytes or more with a doc_id. docs: doc_id, text. Copies are collapsed before the shuffle."""
+    h1, h2 = text_hashes()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"), h1.alias("h1"), h2.alias("h2")).where(F.col("doc_id").isNotNull() & (F.length("text") >= least))
+    one = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    return materialize(one.select("text", "doc_id", "h1", "h2", F.length("text").cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row")), "texts")
+
+
+CELLS = 8192  # counts that the driver sees at once
+
+
+class Ranges:
+    """Ranges of (key, tie) with about as much weight each, in the same places however rows are dealt out.
+
+    key: an integer column, tie: a 64-bit number that parts rows of one key (null keys, or one that
+    many rows have). The driver sees CELLS sums a round for every cell of over two shares.
     """
-    df = df.where(F.col(key).isNotNull())
-    lo, hi, total = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    if not total or n < 2 or lo == hi:
-        return []
-    share, done, todo = total / n, [], [(int(lo), int(hi))]
-    while todo:
-        a, b = todo.pop()
-        width = (b - a) // cells + 1
-        cell = F.expr(f"cast(({key} - {a}L) div {width}L as bigint)")
-        for c, count in df.where(F.col(key).between(a, b)).groupBy(cell.alias("c")).count().collect():
-            first, last = a + c * width, min(b, a + (c + 1) * width - 1)
-            if count > 2 * share and width > 1:
-                todo.append((first, last))
-            else:
-                done.append((first, count))
-    starts, held = [], 0.0
-    for first, count in sorted(done):
-        if held >= share:
-            starts.append(first)
-            held = 0.0
-        held += count
-    return starts
-
-
-def range_of(key: str, starts: list[int]) -> Column:
-    """The number of the range a key is in: a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(F.col(key) >= F.lit(starts[mid - 1]), tree(mid, hi)).otherwise(tree(lo, mid - 1))
-
-    return tree(0, len(starts)).cast("int")
+
+    def __init__(self, df: DataFrame, key: str, tie: Column, n: int, weight: Column):
+        some = F.col(key).isNotNull()
+        lo, hi, total, null = df.agg(F.min(key), F.max(key), F.sum(weight), F.sum(F.when(~some, weight))).first()
+        self.key, self.tie = key, tie
+        share = max(1.0, (total or 0) / max(1, n))
+        pieces = lambda w: max(1, min(n, round(w / share)))
+        done, todo = [], [] if lo is None else [(int(lo), int(hi))]
+        while todo:
+            a, b = todo.pop()
+            width = (b - a) // CELLS + 1
+            cell = F.expr(f"cast((cast({key} as decimal(20)) - {a}) div {width} as bigint)")
+            for c, w in df.where(F.col(key).between(a, b)).groupBy(cell.alias("c")).agg(F.sum(weight)).collect():
+                first, last = a + c * width, min(b, a + (c + 1) * width - 1)
+                if w > 2 * share and width > 1:
+                    todo.append((first, last))
+                else:
+                    done.append((first, w, width == 1))
+        #: where ranges start, and how many parts by tie the keys from there on have
+        self.starts: list[int] = []
+        self.parts: list[int] = []
+        held = share  # the first cell opens a range
+        for first, w, single in sorted(done):
+            hot = single and w > 2 * share
+            if held >= share or hot:
+                self.starts.append(first)
+                self.parts.append(pieces(w) if hot else 1)
+                held = 0.0
+            held += share if hot else w
+        self.nulls = pieces(null) if null else 1
+        self.before = [self.nulls + sum(self.parts[:i]) for i in range(len(self.parts))]
+        self.count = self.nulls + sum(self.parts)
+
+    def _part(self, n: int) -> Column:
+        """A number below n, in the order of tie."""
+        return F.floor((self.tie / 2.0**64 + 0.5) * n).cast("int") if n > 1 else F.lit(0)
+
+    def number(self) -> Column:
+        """The range a row is in: a balanced tree of comparisons. Null keys come first."""
+
+        def tree(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(self.before[lo]) + F.least(self._part(self.parts[lo]), F.lit(self.parts[lo] - 1))
+            mid = (lo + hi + 1) // 2
+            return F.when(F.col(self.key) >= F.lit(self.starts[mid]), tree(mid, hi)).otherwise(tree(lo, mid - 1))
+
+        null = F.least(self._part(self.nulls), F.lit(self.nulls - 1))
+        return (F.when(F.col(self.key).isNull(), null).otherwise(tree(0, len(self.starts) - 1)) if self.starts else null).cast("int")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

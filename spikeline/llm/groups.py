@@ -60,8 +60,8 @@ def _answers(solve: Callable[[np.ndarray, list, np.ndarray], list[list[int]]]):
     return answered
 
 
-def _by_string(contexts: DataFrame, strings: Callable[[Column], Column]) -> DataFrame:
-    """key, code and firsts of the contexts (key, code, payload, first, last) of heavy keys.
+def _by_string(contexts: DataFrame, strings: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """key, code and firsts of the contexts (key, code, payload, first, last) of heavy keys; the written table that this reads.
 
     Strings are counted on the map side before they meet. Those in more than HEAVY contexts,
     of which there can't be many, are broadcast to their contexts; the others are joined."""
@@ -72,39 +72,53 @@ def _by_string(contexts: DataFrame, strings: Callable[[Column], Column]) -> Data
     single = single.drop("first")
     met = single.join(hot, ["key", "string"]).unionByName(single.join(hot, ["key", "string"], "left_anti").join(known.where(F.col("n") <= HEAVY).drop("n").hint("merge"), ["key", "string"], "left"))
     every = met.groupBy("key", "code").agg(F.max("last").alias("last"), F.array_sort(F.collect_list(F.struct("i", F.coalesce("least", F.lit(NEVER)).alias("least")))).alias("found"))
-    return every.select("key", "code", F.col("found.least").alias("firsts"), "last").where(F.exists("firsts", lambda x: x < F.col("last"))).drop("last")
+    return every.select("key", "code", F.col("found.least").alias("firsts"), "last").where(F.exists("firsts", lambda x: x < F.col("last"))).drop("last"), known
 
 
 def losses(found: DataFrame, payload: str, size, strings: Callable[[Column], Column], solve: Callable[[np.ndarray, list, np.ndarray], list[list[int]]]) -> DataFrame:
-    """doc_id, row and found, an array: where contexts start, how many strings they
-    hold, and a mask of those that a smaller doc_id holds too (-1: all).
+    """row and found, an array: where contexts start, how many strings they hold, and a
+    mask of those that a smaller doc_id holds too (-1: all).
 
-    found: key, payload, doc_id, row, at, of a table that materialize() wrote; it is deleted. size: how many strings a payload
+    found: key, payload, doc_id, row (a text's number), at, of a table that materialize() wrote; it is deleted. size: how many strings a payload
     holds, MOST at most. strings: a payload's strings as an array. solve: from keys, payloads and first documents, each string's first."""
     coded = found.withColumn("code", F.xxhash64(payload))
     heavy = materialize(found.groupBy("key").count().where(F.col("count") > HEAVY).select("key"), "heavy")
+    written = [found, heavy]
     some = not heavy.isEmpty()
 
     def distinct(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key", "code", F.col(payload).alias("payload")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        return rows.groupBy("key", "code", "payload").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
-    light = coded.join(F.broadcast(heavy), "key", "left_anti") if some else coded
-    ordered = distinct(light).repartition(partitions(found.sparkSession), "key").sortWithinPartitions("key", "code")
+    coded_payload = coded.select("key", "code", F.col(payload).alias("payload"), "doc_id")
+    light = coded_payload.join(F.broadcast(heavy), "key", "left_anti") if some else coded_payload
+    # dealt once, by key: a key has HEAVY contexts at most here, so that those equal needn't meet before
+    ordered = distinct(light.repartition(partitions(found), "key")).sortWithinPartitions("key", "code")
     firsts = ordered.mapInArrow(_answers(solve), "key long, code long, firsts array<long>")
     if some:
-        firsts = firsts.unionByName(_by_string(materialize(distinct(coded.join(F.broadcast(heavy), "key", "left_semi")), "heavy-contexts"), strings))
+        contexts = materialize(distinct(coded_payload.join(F.broadcast(heavy), "key", "left_semi")), "heavy-contexts")
+        split, known = _by_string(contexts, strings)
+        written += [contexts, known]
+        firsts = firsts.unionByName(split)
+    firsts = materialize(firsts, "firsts")
     joined = coded.select("key", "code", "doc_id", "row", "at", size.cast("int").alias("n")).join(firsts.hint("merge"), ["key", "code"])
     one = F.lit(1).cast("long")
     none = F.lit(0).cast("long")
     bits = F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.call_function("shiftleft", one, i)).otherwise(none))
     every = F.when(F.get("firsts", F.lit(0)) < F.col("doc_id"), F.lit(-1).cast("long")).otherwise(none)
     mask = F.when(F.size("firsts") == 1, every).otherwise(F.aggregate(bits, none, lambda a, b: a.bitwiseOR(b)))
-    marked = joined.select("doc_id", "row", "at", "n", mask.alias("mask")).where("mask <> 0")
-    out = materialize(marked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "n", "mask")).alias("found")), "losses")
-    discard(found)
+    marked = joined.select("row", "at", "n", mask.alias("mask")).where("mask <> 0")
+    out = materialize(marked.groupBy("row").agg(F.collect_list(F.struct("at", "n", "mask")).alias("found")), "losses")
+    discard(*written, firsts)
     return out
 
 
+def without_text(texts: DataFrame) -> DataFrame:
+    """doc_id, h1, h2 and row of distinct_texts(), whose table is deleted: once contexts are written, nothing reads a text again."""
+    ids = materialize(texts.select("doc_id", "h1", "h2", "row"), "text-ids")
+    discard(texts)
+    return ids
+
+
 def covered(size: int, found: list[dict] | None, length: int) -> np.ndarray:
     """Which of a text's `size` places lie in a string of `length` that goes."""
     change = np.zeros(size + 1, np.int64)

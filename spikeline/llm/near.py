@@ -13,10 +13,14 @@ out. Buckets beyond BLOCK members or BLOCK_BYTES of text are cut into blocks and
 every two blocks meet in a task of their own: a task holds two blocks, and counts
 links instead of listing pairs.
 
+A group of n near copies with n different sets still costs all its pairs, since every
+link is counted; equal sets cost nothing more.
+
 Nulls: a null text counts as empty; rows without doc_id link to nothing, their
 class is null. Texts without words share one empty set and are copies of each
-other; texts of fewer than five words have one shingle, the whole text. Rows that
-repeat a doc_id are copies; extra columns are ignored; no rows give no rows.
+other; texts of fewer than five words have one shingle, the whole text. Every row is a
+document: those that repeat a doc_id are copies if their sets are equal and go by their own
+texts if not. Extra columns are ignored, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, gram_hashes, materialize, mixed, partitions, read, runs, utf8, words_of
+from .common import Vocabulary, discard, free_name, gram_hashes, materialize, mixed, partitions, read, runs, text_hashes, utf8, words_of
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -41,12 +45,14 @@ BLOCK_BYTES = 8 << 20
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = HASHES) -> tuple[int, int]:
-    """(bands, rows): the most rows a band whose number of bands for the recall keeps within `most` hashes."""
-    found = (1, 1)
+    """(bands, rows): the most rows a band whose number of bands for the recall keeps within `most` hashes; ValueError if none does."""
+    found = None
     for rows in range(1, most + 1):
         bands = 1 if threshold >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
         if bands * rows <= most:
             found = (bands, rows)
+    if found is None:
+        raise ValueError(f"{most} hashes don't reach a recall of {recall} at {threshold}")
     return found
 
 
@@ -75,28 +81,34 @@ def set_key(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, k1 and k2 (128 bits of the shingle set), n_bytes, and one column for each band."""
-    names = ["doc_id", "k1", "k2", "n_bytes", *[f"b{i}" for i in range(bands)]]
+    """doc_id, h1 and h2 (128 bits of the text), k1 and k2 (of the shingle set), n_bytes, and one column for each band."""
+    names = ["doc_id", "h1", "h2", "k1", "k2", "n_bytes", *[f"b{i}" for i in range(bands)]]
     schema = pa.schema([(x, pa.int64()) for x in names])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
         for batch in batches:
             for part in range(0, batch.num_rows, 2000):
-                ids, texts = batch.slice(part, 2000).columns
-                out = np.empty((len(names) - 1, len(ids)), np.int64)
+                texts, *others = batch.slice(part, 2000).columns
+                out = np.empty((len(names) - 3, len(texts)), np.int64)
                 for i, text in enumerate(texts):
                     data = text.as_py()
                     x = shingle_set(data, vocabulary, n)
                     out[:2, i] = np.frombuffer(set_key(x), np.int64)
                     out[2, i] = len(data)
                     out[3:, i] = band_hashes(x, bands, rows)
-                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, out)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*others, *map(pa.array, out)], schema=schema)
 
-    rows_in = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), utf8().alias("text"))
+    rows_in = _named(docs).select("text", "doc_id", "h1", "h2")
     return rows_in.mapInArrow(signed, ", ".join(f"{x} long" for x in names))
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, h1, h2 and text (binary) of the rows with a doc_id."""
+    h1, h2 = text_hashes()
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), h1.alias("h1"), h2.alias("h2"), utf8().alias("text"))
+
+
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections: products of 0-1 columns, some shingles at a time."""
     m = len(sets)
@@ -124,21 +136,15 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _linked(threshold: float, n: int, bands: int, rows: int):
-    """Pairs of a bucket's block, or of two blocks, verified: links and the least linked document of each."""
+    """Pairs of a bucket's block, or of two blocks, verified: links and the least linked class of each."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
         for run in runs(batches, ["key", "i", "j"]):
-            found = {}  # rows that repeat a doc_id bring other texts, or the same again
-            for i, (rep, k1, text) in enumerate(zip(*(run.column(x).to_pylist() for x in ("rep", "k1", "text")))):
-                x = shingle_set(text, vocabulary, n)
-                if np.frombuffer(set_key(x), np.int64)[0] == k1:
-                    found.setdefault((rep, k1), (i, x))
-            if len(found) < 2:
+            if run.num_rows < 2:
                 continue
-            sets = [x for _, x in found.values()]
-            chosen = np.array([i for i, _ in found.values()])
-            ids, copies, block = (run.column(x).to_numpy()[chosen] for x in ("rep", "copies", "block"))
+            sets = [shingle_set(x.as_py(), vocabulary, n) for x in run.column("text")]
+            ids, copies, block = (run.column(x).to_numpy() for x in ("node", "copies", "block"))
             band = run.column("band")[0].as_py()
             hashes = np.stack([band_hashes(x, bands, rows) for x in sets])
             sizes = np.array([x.size for x in sets])
@@ -157,65 +163,88 @@ def _linked(threshold: float, n: int, bands: int, rows: int):
                     if (least == root).all():
                         break
                     root = least
-                yield pa.RecordBatch.from_pydict({"rep": ids[some], "links": linked @ copies[some], "root": root})
+                yield pa.RecordBatch.from_pydict({"node": ids[some], "links": linked @ copies[some], "root": root})
 
     return verify
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and its component's least node, of edges (a, b): labels move to neighbours
-    and jump to their label's label until none changes. Tables are written each round."""
+    and jump to their label's label until none changes. Tables are written each round, the last one stays."""
     both = edges.where("a <> b").select("a", "b")
     both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
-    if labels.isEmpty():
-        return labels
-    while True:
+    moved = not labels.isEmpty()
+    while moved:
         other = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
         near = both.join(other, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         top = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        jumped = step.join(top, "label", "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label"))
-        new = materialize(jumped, "labels")
-        labels = new.select("node", "label")
-        if new.where("old <> label").isEmpty():
-            return labels
+        new = materialize(step.join(top, "label", "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label")), "labels")
+        discard(labels)
+        labels, moved = new, not new.where("old <> label").isEmpty()
+    discard(both)
+    out = labels.select("node", "label")
+    out._written_at = labels._written_at
+    return out
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (the least document that links lead to), copies_id (the least
-    with an equal shingle set), n_links (documents at the threshold or above)."""
-    spark = docs.sparkSession
+def _classed(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: the signatures of rows with a doc_id; and k1, k2, copies_id, comp, class_id and n_links of every set."""
     bands, rows = choose_bands(threshold, recall)
     signed = materialize(signatures(docs, n, bands, rows), "signatures")
     names = [f"b{i}" for i in range(bands)]
-    classes = materialize(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes"), *[F.max(x).alias(x) for x in names]), "classes")
-    members = classes.select("k1", "rep", "copies", "n_bytes", F.posexplode(F.array(*names)).alias("band", "key"))
-    buckets = members.groupBy("key").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"), F.bit_xor(F.xxhash64("rep", "k1")).alias("who")).where("n > 1")
-    first = buckets.groupBy("who", "n").agg(F.min(F.struct("band", "key", "bytes")).alias("x")).select("x.*", "n")
+    first = F.min(F.struct("doc_id", "h1", "h2")).alias("x")
+    sets = signed.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes"), *[F.max(x).alias(x) for x in names])
+    classes = materialize(sets.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", F.col("x.doc_id").alias("rep"), "x.h1", "x.h2", "copies", "n_bytes", *names), "classes")
+    members = classes.select("node", "rep", "h1", "h2", "copies", "n_bytes", F.posexplode(F.array(*names)).alias("band", "key"))
+    who = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"who{i}") for i in (1, 2)]  # 128 bits of the members
+    buckets = members.groupBy("key").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"), *who).where("n > 1")
+    once = buckets.groupBy("who1", "who2", "n").agg(F.min(F.struct("band", "key", "bytes")).alias("x")).select("x.*", "n")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    kept = materialize(first.select("key", blocks.alias("blocks")), "buckets")
-    hits = members.join(kept, "key").select("key", "band", "k1", "rep", "copies", "blocks", F.pmod(F.xxhash64("rep", "k1"), F.col("blocks")).cast("int").alias("block"))
+    kept = materialize(once.select("key", blocks.alias("blocks")), "buckets")
+    hits = members.join(kept, "key").select("key", "band", "node", "rep", "h1", "h2", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     hits = materialize(hits, "hits")
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), utf8().alias("text"))
-    pairs = hits.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "band", "k1", "rep", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    filled = pairs.hint("merge").join(texts, "rep")  # neither side has a bound, so neither is broadcast
-    grouped = filled.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = materialize(grouped.mapInArrow(_linked(threshold, n, bands, rows), "rep long, links long, root long"), "links")
-    labels = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.select("k1", "k2", "rep", "copies").join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("k1", "k2", F.col("rep").alias("copies_id"), F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    needed = hits.select("node", "rep", "h1", "h2").distinct()
+    own = _named(docs).groupBy("doc_id", "h1", "h2").agg(F.first("text").alias("text"))  # rows that repeat are one
+    texts = materialize(own.join(needed.withColumnRenamed("rep", "doc_id").hint("merge"), ["doc_id", "h1", "h2"]).select("node", "text"), "texts")
+    pairs = hits.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "band", "node", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    filled = pairs.hint("merge").join(texts, "node")  # neither side has a bound, so neither is broadcast
+    grouped = filled.repartition(partitions(texts), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    links = materialize(grouped.mapInArrow(_linked(threshold, n, bands, rows), "node long, links long, root long"), "links")
+    discard(kept, hits, texts)
+    labels = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    counts = links.groupBy("node").agg(F.sum("links").alias("links"))
+    known = classes.select("k1", "k2", "node", "rep", "copies").join(counts, "node", "left").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
+    leaders = known.groupBy("comp").agg(F.min("rep").alias("class_id"))
+    out = materialize(known.join(leaders, "comp").select("k1", "k2", F.col("rep").alias("copies_id"), "comp", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
+    discard(classes, links, labels)
+    return signed, out
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = GRAM, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id (the least document that links lead to), copies_id (the least
+    with an equal shingle set), n_links (documents at the threshold or above)."""
+    signed, known = _classed(docs, threshold, n, recall)
     out = signed.select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "class_id", "copies_id", "n_links")
     nameless = docs.where(F.col("doc_id").isNull()).select(*[F.lit(None).cast("long").alias(x) for x in ("doc_id", "class_id", "copies_id")], F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(nameless)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of each near-duplicate class the document with the least doc_id; of rows that repeat it, one."""
-    first = near_classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, F.col("doc_id") == F.col("_kept")).drop("_kept").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each near-duplicate class, the one with the least doc_id (of its unlike texts the
+    one with the least hash); of rows that repeat both, the least. Rows without doc_id stay."""
+    signed, known = _classed(docs, threshold, GRAM, RECALL)
+    first = signed.select("doc_id", "h1", "h2", "k1", "k2").join(known.select("k1", "k2", "comp"), ["k1", "k2"]).groupBy("comp").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("x"))
+    kept = materialize(first.select("x.*"), "kept")
+    discard(signed, known)
+    id_, a, b, row = (free_name(docs, x) for x in ("_id", "_h1", "_h2", "_row"))
+    h1, h2 = text_hashes()
+    least = F.first if "map<" in docs.schema.simpleString() else F.min  # maps have no order
+    named = docs.where(F.col("doc_id").isNotNull())
+    one = named.groupBy(F.col("doc_id").cast("long").alias(id_), h1.alias(a), h2.alias(b)).agg(least(F.struct(*docs.columns)).alias(row))
+    same = (one[id_] == kept["doc_id"]) & (one[a] == kept["h1"]) & (one[b] == kept["h2"])
+    return one.join(kept.hint("merge"), same, "left_semi").select(f"{row}.*").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op3_near(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,11 @@ second pass hashes only windows estimated repeated, to 128 bits with their key,
 groups them exactly, in runs of neighbours; the first document of each group keeps
 its words, the others lose them.
 
-Nulls: a null text has no words; rows without doc_id neither lose words nor
+Exact copies come first: only one text of each kind, under its least doc_id, goes
+through the two passes; the other documents that have it lose all of its words.
+
+Texts are told apart by 128 hash bits and their least doc_id. "Exactly" above is by 128
+hash bits of a window, not by its words. Nulls: a null text has no words; rows without doc_id neither lose words nor
 cause others to. Texts of fewer than 13 words have no windows. Rows that repeat a
 doc_id aren't smaller than each other. Extra columns don't matter; no rows give
 no rows.
@@ -24,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, Vocabulary, gram_hashes, materialize, mixed, read, sliding, utf8, words_of
-from .groups import MOST, covered, losses
-from .sketch import WIDTH, estimated_repeated, repeated, unpacked
+from .common import ODD, Vocabulary, distinct_texts, free_name, gram_hashes, materialize, mixed, read, sliding, text_hashes, utf8, words_of
+from .groups import MOST, covered, losses, without_text
+from .sketch import estimated_repeated, repeated, unpacked
 
 WINDOW = 13
 GRAM = 6
 WORDS = 100_000  # that a task hashes at once
+WORD_BYTES = 6.5  # about, with the space: for the size of the sketch
 
 
 def _texts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[bytes]]]:
@@ -86,11 +91,13 @@ def _solve(keys: np.ndarray, hashes: list[list[int]], first: np.ndarray) -> list
     return [x.tolist() for x in np.split(out, np.cumsum(sizes)[:-1])]
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH) -> DataFrame:
-    """doc_id, row (64 bits of the text) and found: the runs of windows that a smaller doc_id holds too."""
+def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int | None = None) -> DataFrame:
+    """doc_id, h1, h2 and found of every text that may have a window, under its least doc_id:
+    found holds the runs of windows that a smaller doc_id has too. docs: doc_id, text."""
     gram = min(gram, window)
-    rows = docs.where(F.col("doc_id").isNotNull()).select(utf8().alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))
-    bits = repeated(rows.select("text"), _window_keys(window, gram), width)
+    texts = distinct_texts(docs, _least_bytes(window))
+    size = texts.agg(F.sum("n_bytes")).first()[0] or 0
+    bits = repeated(texts.select("text"), _window_keys(window, gram), size / WORD_BYTES / ((window - gram) / 2 + 1), width)
     kinds = pa.schema([("key", pa.int64()), ("hashes", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int64())])
 
     def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,68 +125,92 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wi
             which = pa.array(source)
             yield pa.RecordBatch.from_arrays([pa.array(keys[start].view(np.int64)), runs_of, batch.column(1).take(which), batch.column(2).take(which), pa.array(own)], schema=kinds)
 
-    found = rows.mapInArrow(estimated, "key long, hashes array<long>, doc_id long, row long, at long")
-    return losses(materialize(found, "windows"), "hashes", F.size("hashes"), lambda hashes: hashes, _solve)
+    found = texts.select("text", "doc_id", "row").mapInArrow(estimated, "key long, hashes array<long>, doc_id long, row long, at long")
+    found = materialize(found, "windows")
+    ids = without_text(texts)
+    lost = losses(found, "hashes", F.size("hashes"), lambda hashes: hashes, _solve)
+    return ids.join(lost, "row", "left").drop("row")
+
+
+def _least_bytes(window: int) -> int:
+    """A text with a window has as many bytes."""
+    return 2 * window - 1
 
 
-def with_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with column _found of repeated_windows()."""
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
-    marks = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_hash"), F.col("found").alias("_found"))
-    return keyed.join(marks, (F.col("doc_id") == F.col("_id")) & (F.col("_row") == F.col("_hash")), "left").drop("_id", "_hash", "_row")
+def with_windows(docs: DataFrame, names: tuple[str, str], window: int = WINDOW, gram: int = GRAM, width: int | None = None) -> DataFrame:
+    """docs with two more columns: `found` of repeated_windows(), and whether a smaller doc_id has the
+    whole text (which has a window or not)."""
+    found, copy = names
+    h1, h2 = text_hashes()
+    taken = {x: free_name(docs, x) for x in ("_id", "_h1", "_h2", "_mine1", "_mine2")}
+    known = repeated_windows(docs, window, gram, width).withColumnsRenamed({"doc_id": taken["_id"], "h1": taken["_h1"], "h2": taken["_h2"], "found": found})
+    keyed = docs.withColumn(taken["_mine1"], h1).withColumn(taken["_mine2"], h2)
+    same = (keyed["doc_id"].cast("long") == known[taken["_id"]]) & (keyed[taken["_mine1"]] == known[taken["_h1"]]) & (keyed[taken["_mine2"]] == known[taken["_h2"]])
+    joined = keyed.join(known, same, "left")
+    whole = known[taken["_id"]].isNull() & keyed["doc_id"].isNotNull() & (F.length(utf8(keyed["text"])) >= _least_bytes(window))
+    return joined.withColumn(copy, whole).drop(*taken.values())
 
 
-def cut_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def _kept(words: list[bytes], found: list | None, copy: bool, window: int) -> list[bytes]:
+    if copy and len(words) >= window:
+        return []
+    if not found:
+        return words
+    gone = covered(len(words), found, window)
+    return [w for w, g in zip(words, gone) if not g]
+
+
+def cut_documents(docs: DataFrame, window: int = WINDOW, width: int | None = None) -> DataFrame:
     """docs without the repeated words: such a text becomes its kept words, joined by
     spaces, n_chars its length; documents that lose every word go."""
+    names = free_name(docs, "_found"), free_name(docs, "_copy")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, kept = [], []
-            for text, found in zip(batch.column("text"), batch.column("_found")):
-                text, found = text.as_py(), found.as_py()
-                if found:
+            for text, found, copy in zip(batch.column("text"), batch.column(names[0]), batch.column(names[1])):
+                text, found, copy = text.as_py(), found.as_py(), copy.as_py()
+                if found or copy:
                     words = words_of(text)
-                    gone = covered(len(words), found, window)
-                    text = b" ".join([w for w, g in zip(words, gone) if not g]).decode()
-                    kept.append(bool(text))
+                    left = _kept(words, found, copy, window)
+                    if len(left) < len(words):
+                        text = b" ".join(left).decode()
+                    kept.append(bool(left) or not words)
                 else:
                     kept.append(True)
                 texts.append(text)
             batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
-            yield batch.drop_columns(["_found"]).filter(pa.array(kept, pa.bool_()))
+            yield batch.drop_columns(list(names)).filter(pa.array(kept, pa.bool_()))
 
-    marked = with_windows(docs, repeated_windows(docs, window))
-    out = marked.mapInArrow(cut, docs.schema)
+    out = with_windows(docs, names, window, width=width).mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in docs.columns else out
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _digests(window: int):
+def word_digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every row of docs (doc_id, text)."""
+
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, found in zip(batch.column("doc_id"), batch.column("text"), batch.column("_found")):
+            for doc_id, text, found, copy in zip(*(batch.column(x) for x in ("doc_id", "text", "found", "copy"))):
                 words = words_of(text.as_py())
-                kept = words
-                if found := found.as_py():
-                    gone = covered(len(words), found, window)
-                    kept = [w for w, g in zip(words, gone) if not g]
+                kept = _kept(words, found.as_py(), copy.as_py(), window)
                 out.append((doc_id.as_py(), len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             if out:
                 ids, n, removed, sha = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return digests
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = with_windows(rows, ("found", "copy"), window, gram, width)
+    return marked.select("doc_id", utf8().alias("text"), "found", "copy").mapInArrow(digests, SCHEMA)
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: words, words removed, and the SHA-256 of what is kept."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = with_windows(docs, repeated_windows(docs))
-    return marked.select("doc_id", utf8().alias("text"), "_found").mapInArrow(_digests(WINDOW), SCHEMA)
+    return word_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {"op8_substring": op8_substring}

@@ -1,5 +1,8 @@
 """Suffix-array dedup: bytes in 50-byte strings that an earlier document holds.
 
+Exact copies come first: only one text of each kind, under its least doc_id, goes
+through what follows; the other documents that have it lose all of it.
+
 Which suffixes are worth sorting: a string of LENGTH bytes is known by its key,
 the least hash of the GRAM-byte runs inside. Equal strings have equal keys,
 so a string can only repeat across documents if its key does. The count-min
@@ -9,13 +12,15 @@ under it. Equal contexts are one row with their first document.
 
 Contexts are then sorted as suffixes by deep-shallow sorting: multikey quicksort
 over eight-byte characters down to SHALLOW bytes, and blind tries for the groups
-that agree there and differ further on. Neighbours with a common prefix of LENGTH bytes are equal
+that agree there and differ further on. The quicksort parts the suffixes of all open groups
+at once, by three ways around a pivot of each group. Neighbours with a common prefix of LENGTH bytes are equal
 strings; the least document of each such group is its first. Every context
 returns to its occurrences with the first documents of its strings.
 
+Texts are told apart by 128 hash bits and their least doc_id; strings by their bytes.
 Nulls: a null text has no bytes; rows without doc_id neither lose bytes nor cause
-others to. Texts of fewer than 50 bytes keep everything. Extra columns don't
-matter; no rows give no rows.
+others to. Texts of fewer than 50 bytes keep everything. Rows that repeat a doc_id aren't
+smaller than each other. Extra columns don't matter; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mixed, read, sliding, utf8
-from .groups import MOST, covered, losses
-from .sketch import WIDTH, estimated_repeated, repeated, unpacked
+from .common import distinct_texts, materialize, mixed, read, sliding, text_hashes, utf8
+from .groups import MOST, covered, losses, without_text
+from .sketch import estimated_repeated, repeated, unpacked
 
 LENGTH = 50
 GRAM = 24  # a multiple of 8
@@ -46,27 +51,41 @@ def _characters(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return text[at[:, None] + np.arange(8)].view(">u8")[:, 0].astype(np.uint64)
 
 
-def multikey_quicksort(text: np.ndarray, suffixes: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+SMALL = 24  # suffixes; groups of no more are put in order at once
+
+
+def multikey_quicksort(text: np.ndarray, suffixes: np.ndarray, shallow: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in the order of their first `shallow` bytes, and where groups that agree in them begin.
+    If `starts` is given, runs of suffixes start there and each is put in order by itself.
 
-    Characters have eight bytes. All groups of one depth are parted at once by their
-    members' next character; those with a single member stay as they are. text must
-    go on for `shallow` bytes after each suffix.
+    Characters have eight bytes. A round parts every open group three ways around a pivot,
+    the median of three of its members' characters: those below it, those equal to it, which go on with
+    the next character, and those above. Groups up to SMALL are ordered by the character itself. text
+    must go on for `shallow` bytes after each suffix.
     """
     order = suffixes.copy()
+    depth = np.zeros(order.size, np.int64)  # how far a place's group agrees
     begins = np.zeros(order.size, bool)
     begins[:1] = True
-    for depth in range(0, shallow, 8):
-        many = np.flatnonzero(~(begins & np.append(begins[1:], True)))
-        if not many.size:
-            break
-        group = np.cumsum(begins)[many]
-        c = _characters(text, order[many] + depth)
-        sorted_ = np.lexsort((c, group))
-        order[many] = order[many[sorted_]]
-        c, group = c[sorted_], group[sorted_]
-        begins[many] = np.append(True, (np.diff(group) != 0) | (c[1:] != c[:-1]))
-    return order, begins
+    if starts is not None:
+        begins[starts] = True
+    while True:
+        lone = begins & np.append(begins[1:], True)[: order.size]
+        open_ = np.flatnonzero(~lone & (depth < shallow))
+        if not open_.size:
+            return order, begins
+        first = np.flatnonzero(begins[open_])
+        size = np.diff(np.append(first, open_.size))
+        group = np.repeat(np.arange(first.size), size)
+        c = _characters(text, order[open_] + depth[open_])
+        a, b, z = c[first], c[first + size // 2], c[first + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), z))[group]
+        side = np.where((size <= SMALL)[group], c, (c > pivot).astype(np.uint64) + (c >= pivot).astype(np.uint64))
+        sorted_ = np.lexsort((side, group))
+        order[open_] = order[open_[sorted_]]
+        side, same = side[sorted_], (c == pivot)[sorted_]
+        depth[open_] += np.where((size <= SMALL)[group], 8, 8 * same)
+        begins[open_] = np.append(True, (np.diff(group) != 0) | (side[1:] != side[:-1]))
 
 
 class BlindTrie:
@@ -122,11 +141,11 @@ class BlindTrie:
         return out
 
 
-def deep_shallow(text: np.ndarray, suffixes: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes in the order of their first `length` bytes, and for each whether
-    it begins a group of equal ones. text: uint8, with `length` bytes after each suffix."""
+def deep_shallow(text: np.ndarray, suffixes: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes (each of the runs that begin at `starts`) in the order of their first `length` bytes, and for
+    each whether it begins a group of equal ones. text: uint8, with `length` bytes after each suffix."""
     shallow = min(shallow, length // 8 * 8)
-    order, begins = multikey_quicksort(text, suffixes, shallow)
+    order, begins = multikey_quicksort(text, suffixes, shallow, starts)
     edges = np.append(np.flatnonzero(begins), order.size)
     sizes = np.diff(edges)
     many = np.flatnonzero(np.repeat(sizes > 1, sizes))
@@ -224,10 +243,11 @@ def _string_keys(length: int):
     return keys_of
 
 
-def contexts(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataFrame:
-    """key, context, doc_id, row (64 bits of the text) and at, where the context starts, of all
-    keys estimated to be in more than one document. docs: text (binary), doc_id, row."""
-    bits = repeated(docs.select("text"), _string_keys(length), width)
+def contexts(texts: DataFrame, length: int = LENGTH, width: int | None = None) -> DataFrame:
+    """key, context, doc_id, row and at, where the context starts, of all keys estimated to be in more
+    than one text. texts: of distinct_texts()."""
+    size = texts.agg(F.sum("n_bytes")).first()[0] or 0
+    bits = repeated(texts.select("text"), _string_keys(length), size / ((length - GRAM) / 2 + 1), width)
     names = ["key", "context", "doc_id", "row", "at"]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +265,10 @@ def contexts(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataF
             raw = data.tobytes()
             rows = np.array([r for r, _, _ in spans])[which]
             place = at - begin + np.array([s for _, s, _ in spans])[which]
-            texts = pa.array([raw[a:b] for a, b in zip(at.tolist(), last.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), texts, batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), pa.array(place)], names=names)
+            payload = pa.array([raw[a:b] for a, b in zip(at.tolist(), last.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), payload, batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), pa.array(place)], names=names)
 
-    return docs.mapInArrow(found, "key long, context binary, doc_id long, row long, at long")
+    return texts.select("text", "doc_id", "row").mapInArrow(found, "key long, context binary, doc_id long, row long, at long")
 
 
 # -- groups -------------------------------------------------------------------
@@ -265,7 +285,9 @@ def _solved(length: int):
         suffixes = np.repeat(begin, n) + np.arange(of.size) - np.repeat(np.cumsum(n) - n, n)
         place = np.full(text.size, -1, np.int64)
         place[suffixes] = np.arange(suffixes.size)
-        order, begins = deep_shallow(text, suffixes, length)
+        # equal strings have equal keys, so that each key's strings are sorted by themselves
+        new = np.append(True, np.diff(keys) != 0)
+        order, begins = deep_shallow(text, suffixes, length, starts=(np.cumsum(n) - n)[new])
         which, begins = place[order], np.flatnonzero(begins)
         result = np.empty(suffixes.size, np.int64)
         result[which] = np.repeat(np.minimum.reduceat(first[of[which]], begins), np.diff(np.append(begins, order.size)))
@@ -274,39 +296,48 @@ def _solved(length: int):
     return solve
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataFrame:
-    """doc_id, row and found: the runs of strings that a smaller doc_id holds too. docs: text (binary), doc_id, row."""
-    found = materialize(contexts(docs, length, width), "contexts")
+def repeats(docs: DataFrame, length: int = LENGTH, width: int | None = None) -> DataFrame:
+    """doc_id, h1, h2 and found of every text of `length` bytes or more, under its least doc_id:
+    found holds the runs of strings that a smaller doc_id has too. docs: doc_id, text."""
+    texts = distinct_texts(docs, length)
+    found = materialize(contexts(texts, length, width), "contexts")
+    ids = without_text(texts)
     strings = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - (length - 1)), lambda i: F.substring(x, i, F.lit(length)))
-    return losses(found, "context", F.length("context") - (length - 1), strings, _solved(length))
+    lost = losses(found, "context", F.length("context") - (length - 1), strings, _solved(length))
+    return ids.join(lost, "row", "left").drop("row")
+
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _digests(length: int):
+    """Fills in what texts with `found` lose; the other rows pass."""
+
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, text, found in zip(*(batch.column(x) for x in ("doc_id", "text", "found"))):
-                data = kept = text.as_py()
-                n = spans = 0
-                if found := found.as_py():
-                    gone = covered(len(data), found, length)
-                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                    n, spans = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                out.append((doc_id.as_py(), len(data), n, spans, hashlib.sha256(kept).hexdigest()))
-            if out:
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in columns[:4]], pa.array(columns[4])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            removed, spans, sha = (batch.column(x).to_pylist() for x in ("n_removed", "n_spans", "kept_sha256"))
+            for i in np.flatnonzero(batch.column("found").is_valid().to_numpy(zero_copy_only=False)).tolist():
+                data = batch.column("text")[i].as_py()
+                gone = covered(len(data), batch.column("found")[i].as_py(), length)
+                sha[i] = hashlib.sha256(np.frombuffer(data, np.uint8)[~gone]).hexdigest()
+                removed[i], spans[i] = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=[x.split()[0] for x in RESULT.split(", ")])
 
     return digests
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (doc_id, text)."""
-    rows = docs.select(utf8().alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))
-    found = repeats(rows.where(F.col("doc_id").isNotNull()), length)
-    marks = found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "found")
-    joined = rows.join(marks, (F.col("doc_id") == F.col("_id")) & (F.col("row") == F.col("_row")), "left")
-    return joined.select("doc_id", "text", "found").mapInArrow(_digests(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = repeats(docs, length, width).withColumnsRenamed({"doc_id": "_id", "h1": "_h1", "h2": "_h2"})
+    h1, h2 = text_hashes()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"), h1.alias("h1"), h2.alias("h2"))
+    joined = rows.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
+    size, none = F.length("text").cast("long"), F.lit(0).cast("long")
+    copy = F.col("_id").isNull() & F.col("doc_id").isNotNull() & (size >= length)  # of a text that a smaller doc_id has
+    some = F.col("found").isNotNull()
+    sha = F.when(copy, F.lit(hashlib.sha256().hexdigest())).when(~some, F.sha2("text", 256))
+    told = joined.select("doc_id", size.alias("n_bytes"), F.when(copy, size).otherwise(none).alias("n_removed"), F.when(copy, none + 1).otherwise(none).alias("n_spans"), sha.alias("kept_sha256"), F.when(some, F.col("text")).alias("text"), "found")
+    return told.mapInArrow(_digests(length), RESULT)
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

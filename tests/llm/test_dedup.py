@@ -65,8 +65,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_windows_match_brute_force(spark, rows):
     for width in (1 << 24, 1 << 8):  # a sketch that is all but full loses nothing
-        marked = substring.with_windows(frame(spark, rows).select("doc_id", "text"), substring.repeated_windows(frame(spark, rows), width=width))
-        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in marked.select("doc_id", substring.utf8().alias("text"), "_found").mapInArrow(substring._digests(13), substring.SCHEMA).collect()}
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.word_digests(frame(spark, rows), width=width).collect()}
         assert got == brute.window_removal([r[:2] for r in rows])
 
 
@@ -126,8 +125,7 @@ def test_keys_with_many_contexts_are_split(spark, monkeypatch):
     docs = frame(spark, rows)
     got = {x["doc_id"]: tuple(x)[1:] for x in suffixes.remove_repeats(docs).collect()}
     assert got == brute.byte_removal([x[:2] for x in rows])
-    marked = substring.with_windows(docs.select("doc_id", "text"), substring.repeated_windows(docs))
-    got = {x["doc_id"]: tuple(x)[1:] for x in marked.select("doc_id", substring.utf8().alias("text"), "_found").mapInArrow(substring._digests(13), substring.SCHEMA).collect()}
+    got = {x["doc_id"]: tuple(x)[1:] for x in substring.word_digests(docs).collect()}
     assert got == brute.window_removal([x[:2] for x in rows])
 
 
@@ -142,12 +140,76 @@ def test_deep_shallow_orders_suffixes():
     assert begins.tolist() == [i == 0 or strings[i] != strings[i - 1] for i in range(len(strings))]
 
 
-def test_large_groups_go_through_pivots():
+def test_multikey_quicksort_parts_large_groups_by_pivots():
+    """Runs are sorted by themselves; one of them is far beyond SMALL, so that pivots part it."""
     r = np.random.default_rng(4)
     text = np.concatenate([r.integers(97, 100, 20_000).astype(np.uint8), np.zeros(50, np.uint8)])
-    order, _ = suffixes.deep_shallow(text, np.arange(20_000))
-    strings = [text[i : i + 50].tobytes() for i in order]
-    assert strings == sorted(strings)
+    starts = np.array([0, 7, 60, 61, 9000])
+    edges = [*starts, 20_000]
+    order, begins = suffixes.multikey_quicksort(text, np.arange(20_000), 32, starts)
+    for a, b in zip(edges, edges[1:]):
+        strings = [text[i : i + 32].tobytes() for i in order[a:b]]
+        assert sorted(order[a:b]) == list(range(a, b)) and strings == sorted(strings)
+        assert begins[a:b].tolist() == [i == 0 or strings[i] != strings[i - 1] for i in range(len(strings))]
+
+
+def test_blind_trie_orders_strings():
+    r = random.Random(6)
+    strings = ["".join(r.choice("ab") for _ in range(12)).encode() for _ in range(500)]
+    trie = suffixes.BlindTrie()
+    for i, x in enumerate(strings):
+        trie.insert(x, i)
+    got = trie.groups()
+    assert [strings[g[0]] for g in got] == sorted({*strings})
+    assert all(len({strings[i] for i in g}) == 1 for g in got) and sum(map(len, got)) == 500
+
+
+REPEATS = [(None, "x" * 80), (5, "x" * 80), (5, "x" * 80), (5, "y" * 90), (9, "x" * 80), (2, "z" * 49), (3, "z" * 49), (9, "y" * 60 + "q" * 30), (None, None), (11, None), (12, "")]
+WORDS = " ".join(f"w{i}" for i in range(20))
+REPEATED_WORDS = [(None, WORDS), (5, WORDS), (5, WORDS), (5, WORDS + " and more"), (9, WORDS), (2, "a b c"), (3, "a b c"), (7, "before " + WORDS), (None, None), (11, None), (12, "")]
+
+
+def named(removal, rows):
+    """Brute force over rows with repeated and null ids: none is smaller than itself or than null."""
+    out = []
+    for i, (d, t) in enumerate(rows):
+        alone = [(0, t)] if d is None else [*[(-j - 1, x) for j, (e, x) in enumerate(rows) if e is not None and e < d], (0, t)]
+        out.append((d, *removal(alone)[0]))
+    return sorted(out, key=repr)
+
+
+def test_bytes_with_null_and_repeated_ids_and_clashing_columns(spark):
+    docs = spark.createDataFrame(REPEATS, "doc_id long, text string")
+    for name in ("found", "_id", "row", "h1", "key", "n_bytes"):
+        docs = docs.withColumn(name, F.lit("x"))
+    assert sorted((tuple(x) for x in suffixes.remove_repeats(docs).collect()), key=repr) == named(brute.byte_removal, REPEATS)
+
+
+def test_words_with_null_and_repeated_ids_and_clashing_columns(spark):
+    docs = spark.createDataFrame(REPEATED_WORDS, "doc_id long, text string")
+    assert sorted((tuple(x) for x in substring.word_digests(docs).collect()), key=repr) == named(brute.window_removal, REPEATED_WORDS)
+    for name in ("_found", "_copy", "_row", "_id", "_h1", "_mine1", "row"):
+        docs = docs.withColumn(name, F.lit("x"))
+    out = substring.cut_documents(docs)
+    assert out.columns == docs.columns and {r["_row"] for r in out.collect()} == {"x"}
+    want = [(d, n - k) for d, n, k, _ in named(brute.window_removal, REPEATED_WORDS) if n == 0 or n > k]
+    assert sorted(((r["doc_id"], len(brute.words(r["text"]))) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_sketch_parts_merge_alike(spark, monkeypatch):
+    """Merged in one step or two, with lists or dense counts, the bits are the same."""
+    docs = spark.range(4000).repartition(6)
+
+    def keys_of(batches):
+        for batch in batches:
+            k = batch.column(0).to_numpy().astype(np.uint64)
+            yield k, k % np.uint64(2500)
+
+    one = sketch.unpacked(sketch.repeated(docs, keys_of, 4000, 1 << 14))
+    monkeypatch.setattr(sketch, "MERGE_BYTES", 1000)
+    two = sketch.unpacked(sketch.repeated(docs, keys_of, 4000, 1 << 14))
+    assert (one == two).all() and sketch.estimated_repeated(one, np.arange(1500, dtype=np.uint64)).all()
+    assert [sketch.width_for(x) for x in (0, 1e6, 1e12)] == [1 << 20, 1 << 22, 1 << 29]
 
 
 def test_sketch_never_underestimates(spark):
@@ -160,7 +222,7 @@ def test_sketch_never_underestimates(spark):
                 mine = keys[k * 300 : k * 300 + 400]
                 yield np.zeros(mine.size, np.uint64), mine
 
-    bits = sketch.unpacked(sketch.repeated(docs, keys_of, 1 << 16))
+    bits = sketch.unpacked(sketch.repeated(docs, keys_of, 1200, 1 << 16))
     found = sketch.estimated_repeated(bits, keys)
     assert found[300:400].all() and found[600:700].all()
     assert found[:300].mean() < 0.1
