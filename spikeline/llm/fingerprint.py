@@ -6,12 +6,15 @@ of spans takes constant time and the longest common extension of two places a
 binary search. A fingerprint holds, for each of SLOTS classes of spans of SPAN code
 points, eight bits of the least span hash ("--" where the class is empty); the
 likeness of two fingerprints is the share of slots that agree among those that
-either fills, an estimate of the Jaccard likeness of the span sets.
+either fills, an estimate of the Jaccard likeness of the span sets. The longest common
+extension from the start says how many code points a text shares with its edited text and
+with the next document before they first differ.
 
 Nulls: a null text is an empty one. Texts shorter than SPAN are one span; two
 empty texts are alike (1), an empty and another one aren't (0). Documents are
-ordered by doc_id (null first), ties by text; the only document is its own next
-one. Extra columns don't matter; no rows give no rows.
+ordered by doc_id (null first), ties by a hash of the text; the only document is its own next
+one. Ranges hold about as many bytes each; many rows of one doc_id, or of none, are
+parted by that hash, but rows that repeat both meet in one task. Extra columns don't matter; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions, range_of, range_starts, read
+from .common import Ranges, mixed, partitions, read
 
 PRIMES = (2147483647, 2147483629)  # the two largest below 2^31
 BASES = (1000003, 1048583)
@@ -91,11 +94,11 @@ class PrefixHash:
         return lo
 
 
-def sketch(codes: np.ndarray, span: int = SPAN, slots: int = SLOTS) -> np.ndarray:
+def sketch(text: PrefixHash, span: int = SPAN, slots: int = SLOTS) -> np.ndarray:
     """A byte for each slot, -1 where it is empty. slots: a power of two."""
     out = np.full(slots, -1, np.int64)
-    if codes.size:
-        h = np.sort(mixed(PrefixHash(codes).all_spans(min(span, codes.size)).astype(np.uint64)))
+    if text.size:
+        h = np.sort(mixed(text.all_spans(min(span, text.size)).astype(np.uint64)))
         shift = 64 - slots.bit_length() + 1
         at = np.searchsorted(h, np.arange(slots, dtype=np.uint64) << np.uint64(shift))
         filled = np.diff(np.append(at, h.size)) > 0
@@ -113,24 +116,21 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows of docs (doc_id, text) range-partitioned and sorted: `part` numbers ranges of doc_id, and
-    each range ends with the first row of the next (of the first, after the last), marked by `tail`."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    part = range_of("doc_id", range_starts(docs, "doc_id", n))
-    keyed = docs.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part))
-    firsts = keyed.groupBy("part").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null")).orderBy("part").collect()  # a row for each range
+    """Rows of docs (doc_id, text) in ranges of doc_id, each in its own task and in order; a range ends
+    with the first row of the next (of the first, after the last), marked by `tail`."""
+    tie = F.xxhash64("text")
+    ranges = Ranges(docs, "doc_id", tie, partitions(docs), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64)
+    keyed = docs.select("doc_id", "text", tie.alias("tie"), ranges.number().alias("part"))
+    firsts = keyed.groupBy("part").agg(F.min(F.struct("doc_id", "tie")).alias("x")).orderBy("part").collect()  # a row for each range
+    rows = [(r["part"], r["x"]["doc_id"], r["x"]["tie"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)]
+    edges = docs.sparkSession.createDataFrame(rows, "part int, _first long, _tie long, _before int")
+    joined = keyed.join(F.broadcast(edges), "part")
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("tail"))
-    targets = F.array(own)
-    if firsts:
-        before = {r["part"]: firsts[i - 1]["part"] for i, r in enumerate(firsts)}
-        previous = F.element_at(F.array(*[F.lit(before.get(i, 0)) for i in range(max(before) + 1)]), F.col("part") + 1)
-        first = F.col("doc_id").isin([r["first"] for r in firsts if not r["null"]])
-        if firsts[0]["null"]:
-            first = F.col("doc_id").isNull() | first
-        targets = F.when(first, F.array(own, F.struct(previous.alias("part"), F.lit(1).alias("tail")))).otherwise(targets)
-    sent = keyed.select("doc_id", "text", F.explode(targets).alias("t")).select("t.part", "t.tail", "doc_id", "text")
-    return sent.repartition(n, "part").sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    before = F.struct(F.col("_before").alias("part"), F.lit(1).alias("tail"))
+    first = F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("tie") == F.col("_tie"))
+    sent = joined.select("doc_id", "text", "tie", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))).alias("t"))
+    dealt = sent.select("t.part", "t.tail", "doc_id", "text", "tie").repartitionById(ranges.count, "part")
+    return dealt.sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_first(), "tie", F.col("text").asc_nulls_first()).drop("tie")
 
 
 def edited(codes: np.ndarray, following: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ def edited(codes: np.ndarray, following: np.ndarray) -> np.ndarray:
     return np.concatenate([codes[: codes.size - n], following[:n]])
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shared_edited long, shared_next long"
 ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
 
 
@@ -149,9 +149,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row(a: tuple, b: tuple) -> tuple:
         x = edited(a[1], b[1])
-        mine = sketch(x)
+        other = PrefixHash(x)
+        mine = sketch(other)
         digest = hashlib.sha256(x.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest()
-        return a[0], a[1].size, digest, as_text(a[2]), as_text(mine), likeness(a[2], mine), likeness(a[2], b[2])
+        return a[0], a[1].size, digest, as_text(a[3]), as_text(mine), likeness(a[3], mine), likeness(a[3], b[3]), a[2].extension(0, other, 0), a[2].extension(0, b[2], 0)
 
     for batch in batches:
         out = []
@@ -160,7 +161,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if part == closed:
                 continue
             codes = code_points(text.as_py() or "")
-            now = (doc_id.as_py(), codes, sketch(codes))
+            hashes = PrefixHash(codes)
+            now = (doc_id.as_py(), codes, hashes, sketch(hashes))
             if held is not None:
                 out.append(row(held, now))
             held = now
@@ -171,7 +173,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprint of every text, of its edited text, and their likeness to each other and the next document's."""
+    """Fingerprint of every text, of its edited text, their likeness to each other and the next document's, and shared starts."""
     return with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_compared, SCHEMA)
 
 

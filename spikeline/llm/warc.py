@@ -1,7 +1,7 @@
 """WARC: a deterministic sharded writer, and a reader that takes archives back apart.
 
-Pages are sorted by page_id in ranges that depend on the ids alone. Each range is
-written by one task, a record after another, as gzip members; a file ends once it
+Pages are sorted by page_id in ranges of about as many bytes, which depend on the pages and
+spark.sql.shuffle.partitions alone. Each range is written by one task, a record after another, as gzip members; a file ends once it
 holds ROLL compressed bytes. Headers and digests are made anew from the payload,
 with a fixed date, so the same pages give the same bytes. A file is written under
 a temporary name and renamed when it is complete, so a task that runs again
@@ -13,8 +13,8 @@ page_id is a response, the others revisit it: only the ids and digests of pages
 meet for that, not the payloads.
 
 Nulls: a null html is an empty payload, a null url an empty target; pages without
-page_id come first, in range 0, are never referred to and are all responses. Of
-rows that repeat the largest page_id one is the response. Extra columns don't
+page_id come first, are never referred to and are all responses. Many pages without
+page_id, or with one and the same, are parted by a hash of the payload. Of rows that repeat the largest page_id one is the response. Extra columns don't
 matter; no rows give an empty manifest.
 """
 
@@ -26,10 +26,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, range_of, range_starts, read, shared_dir, utf8
+from .common import Ranges, materialize, partitions, read, shared_dir, shuffles_removed, utf8
 
 SMALLEST = 1000
 ROLL = 16 << 20
@@ -104,11 +104,11 @@ def records_of(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def plan_revisits(pages: DataFrame, smallest: int = SMALLEST) -> DataFrame:
-    """page_id and refers_to of all pages whose payload a larger page_id has too. pages: page_id, html (binary)."""
-    light = pages.where(F.col("page_id").isNotNull() & (F.length("html") >= smallest)).select("page_id", F.sha1("html").alias("digest"))
+    """page_id, refers_to, digest and tie of all pages whose payload another page has too. pages: page_id, html (binary)."""
+    light = pages.where(F.col("page_id").isNotNull() & (F.length("html") >= smallest)).select("page_id", F.sha1("html").alias("digest"), F.xxhash64("html").alias("tie"))
     light = materialize(light, "digests")
     last = light.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return light.join(last, "digest").select("page_id", "refers_to", "digest")
+    return light.join(last, "digest").select("page_id", "refers_to", "digest", "tie")
 
 
 MANIFEST = "file string, records long, bytes long, sha1 string"
@@ -118,12 +118,16 @@ def write_warc(pages: DataFrame, path: str, roll: int = ROLL, smallest: int = SM
     """Writes pages (page_id, url, html) under path and returns the manifest, which is at path/manifest."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", utf8("html").alias("html"))
-    n = partitions(spark)
-    part = F.when(F.col("page_id").isNull(), 0).otherwise(range_of("page_id", range_starts(rows, "page_id", n)))
-    notes = plan_revisits(rows, smallest).select(part.alias("part"), F.lit(0).alias("kind"), "page_id", F.col("digest").alias("url"), F.lit(None).cast("binary").alias("html"), "refers_to")
-    both = rows.select(part.alias("part"), F.lit(1).alias("kind"), "page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")).unionByName(notes)
+    tie = F.xxhash64("html")
+    ranges = Ranges(rows, "page_id", tie, partitions(rows), F.length("html").cast("long") + 256)
+    keyed = rows.withColumn("tie", tie).withColumn("part", ranges.number())
+    notes = plan_revisits(rows, smallest).withColumn("html", F.lit(None).cast("binary"))
+    # a page is dealt by its html, its note by the tie that stands for it
+    ranges.tie = F.col("tie")
+    notes = notes.select(ranges.number().alias("part"), F.lit(0).alias("kind"), "page_id", F.col("digest").alias("url"), "html", "refers_to", "tie")
+    both = keyed.select("part", F.lit(1).alias("kind"), "page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"), "tie").unionByName(notes)
     # a page's notes come before it; rows that repeat a page_id in a fixed order
-    ordered = both.repartition(n, "part").sortWithinPartitions("part", F.col("page_id").asc_nulls_first(), "kind", "url", "html")
+    ordered = both.repartitionById(ranges.count, "part").sortWithinPartitions("part", F.col("page_id").asc_nulls_first(), "tie", "kind", "url", "html").drop("tie")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -174,7 +178,8 @@ def write_warc(pages: DataFrame, path: str, roll: int = ROLL, smallest: int = SM
             yield close()
 
     # written once: the files' names are final when the manifest is
-    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
+    with shuffles_removed(spark):
+        ordered.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
 
@@ -214,7 +219,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    return manifest.select("file", "sha1").repartition(partitions(spark), "file").mapInArrow(parse, schema)
+    files = min(max(1, manifest.count()), 200_000)  # tasks for them
+    number = F.row_number().over(Window.orderBy("file"))  # over one row a file
+    return manifest.select("file", "sha1", F.pmod(number, F.lit(files)).cast("int").alias("task")).repartitionById(files, "task").drop("task").mapInArrow(parse, schema)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
