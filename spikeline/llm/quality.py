@@ -8,7 +8,7 @@ column expression that scores any number of rows.
 Nulls: a null text counts as empty; labels that are null or of unknown
 documents are left out, of repeated labels the largest holds. Empty texts score
 like others. Without labels of both classes the score is the share of ones
-among the labels, 0.5 if there are none. Repeated rows score alike; no rows give
+among the labels, 0.5 if there are none. A null doc_id isn't held out. Repeated rows score alike; no rows give
 no rows; columns beside the named ones are left out or passed on untouched.
 """
 
@@ -21,11 +21,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, word_count
+from .common import free_name, materialize, read, word_count
 
 TRAIN_ROWS = 20_000  # labelled rows to learn from, at most about; drawn by a hash of doc_id
 TREES, DEPTH = 24, 3
-LASSO = 0.002
+LASSO = 0.0005
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -115,18 +115,23 @@ def _paths(node, names: tuple[str, ...], bounds: dict[str, tuple[float | None, f
     return found + _paths(node.leftChild(), names, left) + _paths(node.rightChild(), names, right)
 
 
-def training_rows(stats: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """Statistics and label (0.0 or 1.0) of documents that aren't held out, `most` at most about."""
+def drawn_labels(labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id and label (0.0 or 1.0) of documents that aren't held out, `most` at most about."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     share = min(1.0, most / max(1, known.count()))
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return stats.join(known, "doc_id").select("label", "doc_id", *[f"s_{n}" for n in STATISTICS])
+    return known if share == 1 else known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """Statistics and label of the documents of drawn_labels(): only theirs are computed."""
+    known = F.broadcast(drawn_labels(labels, most).withColumnRenamed("doc_id", "_id"))  # `most` rows
+    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id"))
+    return statistics(rows.select("doc_id", "label", "text")).select("label", "doc_id", *[f"s_{n}" for n in STATISTICS])
 
 
 def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def fit(train: DataFrame) -> RuleModel:
@@ -147,20 +152,26 @@ def fit(train: DataFrame) -> RuleModel:
     return RuleModel(float(lasso.intercept), kept, tried=len(rules))
 
 
+def scored(docs: DataFrame, model: RuleModel, column: str) -> DataFrame:
+    """docs with the score of each text: computed once for a row, below any filter on it."""
+    prefix = "s_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return statistics(docs, prefix=prefix).select(*docs.columns, F.inline(F.array(F.struct(model.score(prefix).alias(column)))))
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score `threshold` or more."""
-    stats = materialize(statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
-    model = fit(training_rows(stats, labels))
-    return statistics(docs).where(model.score() >= threshold).select(docs.columns)
+    score = free_name(docs, "_score")
+    return scored(docs, fit(training_rows(docs, labels)), score).where(F.col(score) >= threshold).drop(score)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, learnt from the labels that aren't held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    stats = materialize(statistics(docs).drop("text"), "statistics")
-    model = fit(training_rows(stats, read(spark, sf_dir, "labels")))
-    scored = stats.select("doc_id", held_out().alias("held_out"), F.inline(F.array(F.struct(model.score().alias("score")))))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    model = fit(training_rows(docs, read(spark, sf_dir, "labels")))
+    out = scored(docs, model, "score").select("doc_id", held_out().alias("held_out"), "score")
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 QUERIES = {"op1_quality": op1_quality}
