@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read, word_count
+from .common import free_name, materialize, read, word_count
 
 MOST = 3  # copies of a document
 WEIGHTS = 3  # sources weigh 1, 2, ... up to this, again and again
@@ -115,12 +115,18 @@ def mix(rows: DataFrame, key: str, seed: int = 42, most: int = MOST, weights: in
 
 
 def mix_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """The documents of the mix, each as often as it is taken. Rows are told apart by all their columns."""
-    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    light = materialize(marked.select("_row", "source", word_count().alias("size")), "sizes")
-    copies = mix(light, "_row", seed).groupBy(F.col("_row").alias("_taken")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    whole = marked.dropDuplicates(["_row"]).join(copies, F.col("_row") == F.col("_taken"))
-    return whole.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_n")).drop("_n")
+    """The documents of the mix, each as often as it is taken. Rows are told apart by all
+    their columns, of which 128 hash bits stand for a row; which kind of column is null counts too."""
+    row, taken, n = (free_name(docs, x) for x in ("_row", "_taken", "_n"))
+    parts = [F.col(f"`{c}`") for c in docs.columns]
+    flags = [x.isNull() for x in parts]
+    key = F.concat_ws(":", *[F.xxhash64(F.lit(i), *parts, *flags).cast("string") for i in (1, 2)])
+    marked = docs.withColumn(row, key)
+    light = materialize(marked.select(F.col(row).alias("key"), "source", word_count().alias("size")), "sizes")
+    copies = mix(light, "key", seed).groupBy(F.col("key").alias(taken)).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
+    whole = marked.dropDuplicates([row]).join(copies, F.col(row) == F.col(taken))
+    copy = free_name(docs, "_copy")
+    return whole.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))).alias(copy)).drop(copy)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
