@@ -6,22 +6,20 @@ The perceptual hash keeps the signs of low-frequency cosine coefficients.
 
 Nulls: a null text is an empty payload; a null or broken file decodes to null
 samples with the reason in `error`. Each row stands alone: repeated rows give
-repeated results, tables without rows none, other columns are left out.
+repeated results, tables without rows none, other columns are passed on or left out
+untouched.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, utf8
+from .common import materialize, read, utf8
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}  # of the color types read here: gray, RGB, gray + alpha, RGBA
@@ -147,16 +145,18 @@ def encode_bytes(df: DataFrame, column: str, out: str = "png") -> DataFrame:
 
     @F.pandas_udf("binary")
     def png(data):
-        return data.map(lambda x: encode_png(bytes_as_samples(x or b"")))
+        return data.map(lambda x: encode_png(bytes_as_samples(bytes(x or b""))))
 
     return df.withColumn(out, png(column))
 
 
+MEDIA = "width int, height int, channels int, samples binary, cosine_hash string, error string"
+
+
 def decode_media(df: DataFrame, column: str, out: str = "media") -> DataFrame:
     """Adds a struct: width, height, channels, samples (binary), cosine_hash, error."""
-    kind = "width int, height int, channels int, samples binary, cosine_hash string, error string"
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(MEDIA)
     def decoded(files):
         import pandas as pd
 
@@ -166,7 +166,7 @@ def decode_media(df: DataFrame, column: str, out: str = "media") -> DataFrame:
                 if file is None:
                     raise ValueError("null")
                 x = decode_png(bytes(file))
-                rows.append((x.shape[1], x.shape[0], x.shape[2], x.tobytes(), cosine_hash(x.mean(axis=2)), None))
+                rows.append((x.shape[1], x.shape[0], x.shape[2], x.tobytes(), cosine_hash(x.mean(axis=2) if x.shape[2] > 1 else x[:, :, 0]), None))
             except ValueError as e:
                 rows.append((None, None, None, None, None, str(e)))
         return pd.DataFrame(rows, columns=["width", "height", "channels", "samples", "cosine_hash", "error"]).astype({x: "Int32" for x in ("width", "height", "channels")})
@@ -174,29 +174,26 @@ def decode_media(df: DataFrame, column: str, out: str = "media") -> DataFrame:
     return df.withColumn(out, decoded(column))
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-
-def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            data = text.as_py()
-            file = encode_png(bytes_as_samples(data))
-            image = decode_png(file)[:, :, 0]
-            payload = image.tobytes()
-            rows.append((doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), cosine_hash(image)))
-        yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}, schema=ARROW)
+def stored_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and media, every text's PNG file in a binary column of a written table. docs: doc_id, text."""
+    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data"))
+    files = encode_bytes(data, "data", "media").select("doc_id", F.length("data").cast("long").alias("n_bytes"), "media")
+    return materialize(files, "media")
 
 
-ARROW = pa.schema([(n, pa.string() if k == "string" else pa.int64()) for n, k in (x.split() for x in SCHEMA.split(", "))])
+def media_digests(files: DataFrame) -> DataFrame:
+    """What is told of the payload of stored_media(), read back from its files."""
+    told = decode_media(files, "media", "read").withColumn("payload", F.col("read.samples"))
+    tail = F.expr("substring(payload, greatest(length(payload) - 63, 1), 64)")
+    return told.select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.col("read.cosine_hash").alias("feature"),
+    )
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document stored as a PNG, read back and hashed. One pass, no shuffle; a task holds one file at a time."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", utf8().alias("text"))
-    return docs.mapInArrow(_stored, SCHEMA)
+    """Every document stored as a PNG, read back and hashed. No shuffle; a task holds one batch of rows at a time."""
+    return media_digests(stored_media(read(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op6_media": op6_media}

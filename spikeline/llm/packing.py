@@ -13,6 +13,9 @@ of the plan in that order.
 Numbers come from groups of about GROUP pieces by length and hash, so a length
 that a third of all pieces have is numbered in parallel.
 
+Pieces can carry their ids, so that sequences() gives what a model reads; without them
+rows stay small where only the layout is asked for.
+
 Nulls: a null text is empty and yields the end id alone. Rows that repeat a doc_id
 are packed each; extra columns don't matter; no rows give no sequences.
 """
@@ -125,11 +128,12 @@ def known_words(path: str) -> WordIds:
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every piece of every text."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of every piece of every text, and the token ids themselves if `ids`."""
     path = path or tokenizer_path()
-    names = [x.split()[0] for x in PIECE.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    schema = PIECE + ", ids array<int>" * ids
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = known_words(path)
@@ -137,13 +141,14 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
             for at in range(0, batch.num_rows, 256):
                 doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
                 out = []
-                for doc_id, ids in zip(doc_ids, map(words.ids, texts)):
-                    for k in range(0, len(ids), 4 * capacity):
-                        part = ids[k : k + 4 * capacity]
-                        out.append((doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
+                for doc_id, data in zip(doc_ids, map(words.ids, texts)):
+                    for k in range(0, len(data), 4 * capacity):
+                        part = data[k : k + 4 * capacity]
+                        row = (doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part))
+                        out.append((*row, np.frombuffer(part, "<i4")) if ids else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(cut, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(cut, schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int, list[tuple[int, int, int, int]]], int]:
@@ -232,23 +237,30 @@ def _placed(runs: dict[int, list[tuple[int, int, int, int]]]):
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """rows: PIECE. Adds sequence_id and offset. The driver sees one count a length."""
+    """rows: of pieces(). Adds sequence_id and offset. The driver sees one count a length."""
     rows = materialize(rows, "pieces")
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
     runs, _ = plan(counts, capacity)
-    names = rows.columns
+    names, told = rows.columns, [x.split()[0] for x in PIECE.split(", ")]
     cut = {n: -(-c // GROUP) for n, c in counts.items() if c > GROUP}
     salts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in cut.items() for x in pair]), "length"), F.lit(1)) if cut else F.lit(1)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*names), salts).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*told), salts).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*[x for x in names if x != "length"]))
+    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*[x for x in told if x != "length"]))
     numbered = salted.join(starts, ["length", "salt"]).withColumn("number", F.col("before") + inside - 1)
-    return numbered.select(*names, "number").mapInArrow(_placed(runs), PIECE + ", sequence_id long, offset long")
+    return numbered.select(*names, "number").mapInArrow(_placed(runs), ", ".join([PIECE, *["ids array<int>"] * ("ids" in names), "sequence_id long, offset long"]))
+
+
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
+    return pack(pieces(docs, capacity, ids=ids), capacity)
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    return pack(pieces(docs, capacity), capacity)
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, doc_ids and starts (offsets of the pieces) and ids, of pack_documents(ids=True): a row for each sequence, `capacity` ids at most."""
+    parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids")))
+    rows = packed.groupBy("sequence_id").agg(parts.alias("parts"))
+    return rows.select("sequence_id", F.col("parts.doc_id").alias("doc_ids"), F.col("parts.offset").alias("starts"), F.flatten("parts.ids").alias("ids"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spikeline.llm import fingerprint, media, mixing, packing, quality, sharding, warc
+from spikeline.llm import common, fingerprint, media, mixing, packing, quality, sharding, warc
 
 from .tables import documents, frame
 
@@ -150,6 +150,135 @@ def test_media_columns_round_trip(spark, rows):
         assert r["error"] is None and bytes(r["samples"]).rstrip(b"\0") == texts[r["doc_id"]].rstrip(b"\0")
 
 
+def test_media_digests_match_brute_force(spark, rows):
+    """What op6 tells, against the bytes themselves and a PNG read by its parts."""
+    rows = [*rows, (None, None, None, None), (3, "x" * 64, None, None), (3, "x" * 64, None, None), (4, "é" * 40_000, None, None)]
+    got = media.media_digests(media.stored_media(frame(spark, rows).withColumn("media", F.lit(1)))).collect()
+    want = Counter()
+    for d, text, *_ in rows:
+        data = (text or "").encode()
+        payload = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+        file = media.encode_png(np.frombuffer(payload, np.uint8).reshape(-1, 64))
+        idat, at = b"", 8
+        while at < len(file):
+            size = int.from_bytes(file[at : at + 4], "big")
+            idat += file[at + 8 : at + 8 + size] if file[at + 4 : at + 8] == b"IDAT" else b""
+            at += 12 + size
+        raw = zlib.decompress(idat)
+        lines, before = [], bytes(64)
+        for y in range(0, len(raw), 65):
+            kind, line = raw[y], bytearray(raw[y + 1 : y + 65])
+            for x in range(64):
+                line[x] = (line[x] + (0, line[x - 1] if x else 0, before[x])[kind]) & 255
+            before = bytes(line)
+            lines.append(before)
+        assert b"".join(lines) == payload
+        want[d, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest()] += 1
+    assert Counter(tuple(r)[:7] for r in got) == want
+    features = {r["payload_sha256"]: r["feature"] for r in got}
+    assert all(features[r["payload_sha256"]] == r["feature"] and len(r["feature"]) == 16 for r in got)
+
+
+def test_broken_media_say_why(spark):
+    good = media.encode_png(media.bytes_as_samples(b"abc"))
+    rows = spark.createDataFrame([(1, None), (2, b"x"), (3, good[:-3]), (4, good)], "k int, f binary")
+    got = {r["k"]: r["media"] for r in media.decode_media(rows, "f").collect()}
+    assert [got[k]["error"] is None for k in (1, 2, 3, 4)] == [False, False, False, True] and got[1]["samples"] is None
+    assert got[4]["width"] == 64 and bytes(got[4]["samples"]) == b"abc".ljust(64, b"\0")
+
+
+def test_packed_sequences_hold_the_ids(spark, rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    packed = packing.pack_documents(frame(spark, rows), 64, ids=True)
+    got = packing.sequences(packed).collect()
+    assert all(len(r["ids"]) <= 64 for r in got)
+    parts = {(r["doc_id"], r["start"]): (r["sequence_id"], r["offset"], r["length"]) for r in packed.collect()}
+    ids = {r["sequence_id"]: r["ids"] for r in got}
+    for d, text, *_ in rows:
+        whole = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        read, at = [], 0
+        while (d, at) in parts:
+            s, o, n = parts[d, at]
+            read += ids[s][o : o + n]
+            at += n
+        assert read == whole
+
+
+def test_ranges_part_nulls_and_hot_keys(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, i) for i in range(3000)] + [(-(1 << 63), 1), ((1 << 63) - 1, 2)]
+    docs = spark.createDataFrame(rows, "k long, v long")
+    ranges = common.Ranges(docs, "k", F.xxhash64("v"), 12, F.lit(1))
+    dealt = docs.select("k", ranges.number().alias("part")).collect()
+    sizes = Counter(r["part"] for r in dealt)
+    assert set(sizes) <= set(range(ranges.count)) and max(sizes.values()) < 700 and len(sizes) >= 10
+    order = sorted(dealt, key=lambda r: (r["k"] is not None, r["k"] or 0))
+    spans = {}
+    for r in order:
+        spans.setdefault(r["part"], []).append((r["k"] is not None, r["k"] or 0))
+    ends = [(min(x), max(x)) for _, x in sorted(spans.items())]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_fingerprints_of_many_unnamed_and_repeated_ids(spark):
+    """Every row has the one after it as next, whatever its range."""
+    r = np.random.default_rng(3)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, "".join(r.choice(list("abc"), 30)), None, None) for i in range(90)]
+    got = fingerprint.fingerprints(frame(spark, rows).withColumn("part", F.lit("x"))).collect()
+    assert Counter(x["doc_id"] for x in got) == Counter(x[0] for x in rows)
+    keyed = frame(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = [x["text"] for x in sorted(keyed, key=lambda x: (x["doc_id"] is not None, x["doc_id"] or 0, x["h"]))]
+    want = Counter(hashlib.sha256((a[:23] + b[:7]).encode()).hexdigest() for a, b in zip(order, [*order[1:], order[0]]))
+    assert Counter(x["edited_sha256"] for x in got) == want
+    start = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert Counter(x["shared_next"] for x in got) == Counter(start(a, b) for a, b in zip(order, [*order[1:], order[0]]))
+    assert Counter(x["shared_edited"] for x in got) == Counter(start(a, a[:23] + b[:7]) for a, b in zip(order, [*order[1:], order[0]]))
+
+
+def test_fingerprint_slots_match_brute_force(spark):
+    """Slots and likeness from span hashes by Python's own integers."""
+    mask = (1 << 64) - 1
+
+    def finish(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & mask
+        return x ^ x >> 31
+
+    def slots(text, span=12):
+        codes = [ord(c) + 1 for c in text]
+        n = min(span, len(codes))
+        least = {}
+        for i in range(len(codes) - n + 1) if codes else ():
+            high, low = (sum(c * pow(base, j, prime) for j, c in enumerate(codes[i : i + n])) % prime for base, prime in zip(fingerprint.BASES, fingerprint.PRIMES))
+            h = finish(high << 31 | low)
+            least[h >> 57] = min(h, least.get(h >> 57, mask))
+        return "".join(f"{finish(least[s]) & 255:02x}" if s in least else "--" for s in range(128))
+
+    texts = [None, "", "a", "ab" * 40, "The quick brown fox jumps over the lazy dog, é𝄞!", "zz" + "ab" * 40]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        t, following = t or "", texts[(i + 1) % len(texts)] or ""
+        n = len(t) // 4
+        mine, other, after = (slots(x) for x in (t, t[: len(t) - n] + following[:n], following))
+        share = lambda a, b: (lambda p: sum(x == y for x, y in p) / len(p) if p else 1.0)([(x, y) for x, y in zip(zip(a[::2], a[1::2]), zip(b[::2], b[1::2])) if {x, y} != {("-", "-")}])
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (mine, other)
+        assert (got[i]["near_edited"], got[i]["near_next"]) == (share(mine, other), share(mine, after))
+
+
+def test_mixed_documents_with_clashing_names(spark, rows):
+    docs = frame(spark, rows)
+    for name in ("_n", "_row", "_taken", "key", "size", "copies", "_copy"):
+        docs = docs.withColumn(name, F.lit("x"))
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns
+    counts = Counter(r["doc_id"] for r in out.collect())
+    plain = Counter(r["doc_id"] for r in mixing.mix_documents(frame(spark, rows)).collect())
+    assert max(counts.values()) <= 3 and abs(sum(counts.values()) - sum(plain.values())) <= len(rows)
+    flags = spark.createDataFrame([(1, None, "a b", None), (1, "a b", None, None)], "doc_id long, lang string, text string, source string")
+    assert {(r["lang"], r["text"]) for r in mixing.mix_documents(flags).collect()} >= {(None, "a b")}
+
+
 def test_mixing_nears_its_targets(spark, rows):
     light = frame(spark, rows).select("doc_id", "source", mixing.word_count().alias("size"))
     out = mixing.mix(light, "doc_id").collect()
@@ -166,27 +295,48 @@ def test_mixing_nears_its_targets(spark, rows):
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
+def brute_shuffle(rows, shards):
+    """Where the law `rows` lets records be: every (shard, slot) once, shards in equal parts."""
+    edges = [s * len(rows) // shards for s in range(shards + 1)]
+    return sorted((s, i) for s in range(shards) for i in range(edges[s + 1] - edges[s]))
+
+
 def test_shards_are_even_and_repeatable(spark, rows):
-    rows = [*rows, *rows[:9], (None, None, None, None)]
-    docs = frame(spark, rows).select("doc_id", "text")
-    place = lambda d: sharding.shuffle_shards(d, ["doc_id", "text"], 5, buckets=4).collect()
+    rows = [*rows, *rows[:9], (None, None, None, None), *[rows[3]] * 40]
+    docs = frame(spark, rows)
+    place = lambda d: sharding.shuffled(d, 5, buckets=4, repeats=8).collect()
     got = place(docs)
-    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(r[:2] for r in rows)
-    for s in range(5):
-        slots = sorted(r["slot"] for r in got if r["shard"] == s)
-        assert slots == list(range(len(slots)))
-    sizes = Counter(r["shard"] for r in got).values()
-    assert max(sizes) - min(sizes) <= 1
+    assert Counter(tuple(r)[:4] for r in got) == Counter(rows)
+    assert sorted((r["shard"], r["slot"]) for r in got) == brute_shuffle(rows, 5)
+    assert len({r["shard"] for r in got if tuple(r)[:4] == rows[3]}) > 2  # a hot record spreads
     assert sorted(map(str, got)) == sorted(map(str, place(docs.repartition(7))))
+    assert sorted(map(str, got)) != sorted(map(str, sharding.shuffled(docs, 5, seed=1, buckets=4, repeats=8).collect()))
+
+
+def test_shards_mix_records(spark):
+    """Of 2,000 records in order each shard gets about as many of any quarter."""
+    got = sharding.shuffled(spark.range(2000), 4, buckets=8).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == brute_shuffle(range(2000), 4)
+    per = Counter((r["shard"], r["id"] // 500) for r in got)
+    assert len(per) == 16 and all(90 <= n <= 160 for n in per.values())
+    runs = [r["id"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert sum(b == a + 1 for a, b in zip(runs, runs[1:])) < 20
+
+
+def test_shards_with_clashing_names_and_nulls(spark):
+    docs = spark.createDataFrame([(1, None, "x"), (1, "x", None), (1, "x", None), (None, None, None)], "shard long, _bucket string, slot string")
+    got = sharding.shuffled(docs, 3).collect()
+    assert Counter(tuple(r)[:3] for r in got) == Counter([(1, None, "x"), (1, "x", None), (1, "x", None), (None, None, None)])
+    assert sorted((r["_shard"], r["_slot"]) for r in got) == brute_shuffle(got, 3)
 
 
 def test_written_shards_hold_whole_long_records(spark, tmp_path):
     rows = [(i, f"{i} " * (60_000 if i % 5 == 0 else 3), "en", None) for i in range(40)] + [(7, "7 7 7 ", "en", None), (None, None, None, "s1")]
     docs = frame(spark, rows)
-    out = sharding.write_shards(docs, str(tmp_path / "out"), 4, bucket_bytes=200_000)
-    got = out.collect()
+    got = sharding.write_shards(docs, str(tmp_path / "out"), 4, bucket_bytes=200_000).collect()
     assert Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in got) == Counter(rows)
-    assert sorted((r["shard"], r["slot"]) for r in got) == sorted((i % 4, i // 4) for i in range(len(rows)))
+    assert sorted((r["shard"], r["slot"]) for r in got) == brute_shuffle(rows, 4)
+    assert {p.name for p in (tmp_path / "out").glob("shard=*")} == {f"shard={i}" for i in range(4)}
     assert sharding.write_shards(docs.limit(0), str(tmp_path / "none"), 4).count() == 0
 
 
@@ -208,11 +358,48 @@ def test_quality_learns_a_rule(spark):
     assert kept >= {i for i in range(200) if i % 2} and not kept & {i for i in range(200) if i % 2 == 0}
 
 
+def test_rules_score_as_they_say(spark, rows):
+    """The column expression against the rules applied in Python, and edge cases of labels."""
+    import math
+
+    docs = frame(spark, rows).withColumn("s_chars", F.lit("x"))
+    labels = spark.createDataFrame([(r[0], int(len(r[1] or "") % 2)) for r in rows] + [(rows[0][0], 1), (None, 1), (10**9, 0)], "doc_id long, quality int")
+    model = quality.fit(quality.training_rows(docs, labels))
+    assert model.weighted
+    got = quality.scored(docs, model, "score").collect()
+    stats = {tuple(r)[:2]: r for r in quality.statistics(frame(spark, rows)).collect()}
+    for r in got:
+        of = stats[r["doc_id"], r["text"]]
+        total = model.intercept
+        for rule, weight in model.weighted:
+            if all((low is None or of[f"s_{n}"] > low) and (high is None or of[f"s_{n}"] <= high) for n, low, high in rule.bounds):
+                total += weight
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-12) and r["s_chars"] == "x"
+    kept = quality.keep_good(docs.withColumn("_score", F.lit(2)), labels)
+    assert kept.columns == [*docs.columns, "_score"] and kept.count() == sum(r["score"] >= 0.5 for r in got)
+    one = quality.fit(quality.training_rows(docs, labels.where("quality = 1")))
+    assert one.constant == 1.0 and quality.fit(quality.training_rows(docs, labels.limit(0))).constant == 0.5
+    assert quality.scored(docs.limit(0), model, "score").count() == 0
+    assert [r[0] for r in spark.createDataFrame([(None,), (1,)], "doc_id long").select(quality.held_out()).collect()] == [False, zlib.crc32(b"1") % 3 == 1]
+
+
+def test_held_out_accuracy(spark):
+    """Held-out documents of a real table: area under the curve, and bad documents caught."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(quality.training_rows(docs, labels))
+    known = labels.groupBy("doc_id").agg(F.max("quality").alias("y"))
+    rows = quality.scored(docs.select("doc_id", "text"), model, "score").where(quality.held_out()).join(known, "doc_id").where("y IS NOT NULL").collect()
+    good, bad = ([r["score"] for r in rows if r["y"] == y] for y in (1, 0))
+    auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    assert auc > 0.98 and sum(b < 0.5 for b in bad) > 0.95 * len(bad) and sum(g >= 0.5 for g in good) > 0.95 * len(good)
+
+
 def test_no_rows(spark):
     none = frame(spark, [])
     assert packing.pack_documents(none).count() == 0
     assert mixing.mix(none.select("doc_id", "source", mixing.word_count().alias("size")), "doc_id").count() == 0
-    assert sharding.shuffle_shards(none.select("doc_id", "text"), ["doc_id", "text"]).count() == 0
+    assert sharding.shuffled(none).count() == 0
 
 
 def test_word_ids_of_plain_words_are_the_tokenizers():
