@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document with the least doc_id."""
+    """Of every group of near duplicates the document with the least doc_id (of unlike texts under it, the one with the least hash)."""
     return keep_one(docs)
 
 
@@ -37,8 +37,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of 4096 tokens."""
-    return pack_documents(docs)
+    """Pieces of all documents with their token ids, packed into sequences of 4096 tokens."""
+    return pack_documents(docs, ids=True)
 
 
 STAGES = [
