@@ -71,9 +71,13 @@ def shuffled(records: DataFrame, shards: int = 16, seed: int = 42, buckets: int
     offsets = single.groupBy(bucket).agg(F.sum("n").alias("n")).select(bucket, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
     offsets = materialize(offsets, "offsets")
     discard(counts)
-    bundles = scattered.repartition(min(buckets, MOST_PARTITIONS), bucket).groupBy(bucket).agg(F.sort_array(F.collect_list(F.struct(*names))).alias(record))
-    # the merge join leaves buckets in order, and their number of partitions is fixed: a seeded shuffle then repeats itself
-    placed = bundles.join(offsets.hint("merge"), bucket).select(before, F.shuffle(record, seed).alias(record))
+    # a bucket's start travels with its records; one bucket a task, in order where there are more
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in records.schema]
+    sent = scattered.withColumn(before, F.lit(None).cast("long")).unionByName(offsets.select(*nothing, bucket, before))
+    own = F.collect_list(F.when(F.col(before).isNull(), F.struct(*names)))
+    bundles = sent.repartitionById(min(buckets, MOST_PARTITIONS), bucket).groupBy(bucket).agg(F.max(before).alias(before), F.sort_array(own).alias(record))
+    # the seeded shuffle repeats itself, since partitions and their order are always the same
+    placed = bundles.sortWithinPartitions(bucket).select(before, F.shuffle(record, seed).alias(record))
     index = f"(`{before}` + `{place}`)"
     dealt = placed.select(before, F.posexplode(record).alias(place, record)).withColumn(shard, F.expr(f"cast((({index} + 1) * {shards}L - 1) div {max(rows, 1)}L as int)"))
     return dealt.select(f"{record}.*", shard, F.expr(f"{index} - (`{shard}` * {rows}L) div {shards}L").alias(slot))
