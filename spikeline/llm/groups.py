@@ -119,13 +119,24 @@ def without_text(texts: DataFrame) -> DataFrame:
     return ids
 
 
-def covered(size: int, found: list[dict] | None, length: int) -> np.ndarray:
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]  # at, n, mask
+
+
+def found_in(column: pa.ListArray) -> list[Found | None]:
+    """What losses() tells of each row of a batch's column `found`, None where it is null."""
+    values = column.values
+    parts = [values.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
+    edges = column.offsets.to_numpy()
+    return [tuple(x[a:b] for x in parts) if some else None for a, b, some in zip(edges[:-1].tolist(), edges[1:].tolist(), column.is_valid().to_pylist())]
+
+
+def covered(size: int, found: Found, length: int) -> np.ndarray:
     """Which of a text's `size` places lie in a string of `length` that goes."""
-    change = np.zeros(size + 1, np.int64)
-    if found:
-        at, n, mask = (np.array([x[k] for x in found], np.int64) for k in ("at", "n", "mask"))
-        for i in range(int(n.max())):
-            s = at[(n > i) & ((mask == -1) | (mask >> np.int64(i) & 1 == 1))] + i
-            np.add.at(change, s, 1)
-            np.add.at(change, s + length, -1)
+    at, n, mask = found
+    whole = mask == -1  # neighbouring strings: one stretch
+    i, j = np.nonzero((mask[~whole, None] >> np.arange(MOST) & 1) & (np.arange(MOST) < n[~whole, None]))
+    single = at[~whole][i] + j
+    starts = np.concatenate([at[whole], single])
+    ends = np.concatenate([at[whole] + n[whole] - 1, single]) + length
+    change = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
     return np.cumsum(change)[:size] > 0

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ODD, Vocabulary, distinct_texts, free_name, gram_hashes, materialize, mixed, read, sliding, text_hashes, utf8, words_of
-from .groups import MOST, covered, losses, without_text
+from .groups import MOST, Found, covered, found_in, losses, without_text
 from .sketch import estimated_repeated, repeated, unpacked
 
 WINDOW = 13
@@ -151,10 +151,10 @@ def with_windows(docs: DataFrame, names: tuple[str, str], window: int = WINDOW,
     return joined.withColumn(copy, whole).drop(*taken.values())
 
 
-def _kept(words: list[bytes], found: list | None, copy: bool, window: int) -> list[bytes]:
+def _kept(words: list[bytes], found: Found | None, copy: bool, window: int) -> list[bytes]:
     if copy and len(words) >= window:
         return []
-    if not found:
+    if found is None:
         return words
     gone = covered(len(words), found, window)
     return [w for w, g in zip(words, gone) if not g]
@@ -168,9 +168,9 @@ def cut_documents(docs: DataFrame, window: int = WINDOW, width: int | None = Non
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, kept = [], []
-            for text, found, copy in zip(batch.column("text"), batch.column(names[0]), batch.column(names[1])):
-                text, found, copy = text.as_py(), found.as_py(), copy.as_py()
-                if found or copy:
+            for text, found, copy in zip(batch.column("text"), found_in(batch.column(names[0])), batch.column(names[1])):
+                text, copy = text.as_py(), copy.as_py()
+                if found is not None or copy:
                     words = words_of(text)
                     left = _kept(words, found, copy, window)
                     if len(left) < len(words):
@@ -195,9 +195,10 @@ def word_digests(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width:
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, found, copy in zip(*(batch.column(x) for x in ("doc_id", "text", "found", "copy"))):
+            found_here = found_in(batch.column("found"))
+            for doc_id, text, found, copy in zip(batch.column("doc_id"), batch.column("text"), found_here, batch.column("copy")):
                 words = words_of(text.as_py())
-                kept = _kept(words, found.as_py(), copy.as_py(), window)
+                kept = _kept(words, found, copy.as_py(), window)
                 out.append((doc_id.as_py(), len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             if out:
                 ids, n, removed, sha = zip(*out)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import distinct_texts, materialize, mixed, read, sliding, text_hashes, utf8
-from .groups import MOST, covered, losses, without_text
+from .groups import MOST, covered, found_in, losses, without_text
 from .sketch import estimated_repeated, repeated, unpacked
 
 LENGTH = 50
@@ -316,9 +316,12 @@ def _digests(length: int):
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, spans, sha = (batch.column(x).to_pylist() for x in ("n_removed", "n_spans", "kept_sha256"))
-            for i in np.flatnonzero(batch.column("found").is_valid().to_numpy(zero_copy_only=False)).tolist():
-                data = batch.column("text")[i].as_py()
-                gone = covered(len(data), batch.column("found")[i].as_py(), length)
+            texts = batch.column("text")
+            for i, found in enumerate(found_in(batch.column("found"))):
+                if found is None:
+                    continue
+                data = texts[i].as_py()
+                gone = covered(len(data), found, length)
                 sha[i] = hashlib.sha256(np.frombuffer(data, np.uint8)[~gone]).hexdigest()
                 removed[i], spans[i] = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=[x.split()[0] for x in RESULT.split(", ")])
