@@ -18,6 +18,22 @@ def query_string(name: str = "company_name", aliases: str = "aliases", suffix: s
     return F.when(F.size(quoted) == 1, F.concat(joined, F.lit(" " + suffix))).otherwise(F.concat(F.lit("("), joined, F.lit(") " + suffix)))
 
 
+#: Fixed values of the alert's layout.
+ALERT = "New event\n%s \u2014 %s\nTone: %s | Intensity: %sth pct\n(NULL verdict on record \u2014 no forward-return implication)"
+
+
 def alert_message() -> Column:
-    """A line for a new event: ticker, day, size and sign."""
-    return F.format_string("%s %s: volume %s times its spread, tone %s", F.col("ticker"), F.col("event_date").cast("string"), F.bround("vol_z", 0).cast("bigint").cast("string"), F.when(F.col("direction") > 0, "positive").otherwise("negative"))
+    """The text for a new event: ticker, day, sign of the tone, intensity percentile. Infinite z-scores don't enter it."""
+    sign = F.when(F.col("direction") > 0, "positive").otherwise("negative")
+    share = F.when(F.col("intensity_percentile").isNull(), "?").otherwise(F.format_string("%.0f", F.bround("intensity_percentile", 0)))
+    return F.format_string(ALERT, F.col("ticker"), F.col("event_date").cast("string"), sign, share)
+
+
+def signed_percent(column: str, digits: int = 2) -> Column:
+    """A share as +1.23%."""
+    return F.format_string(f"%+.{digits}f%%", F.col(column) * 100)
+
+
+def counted(column: str, one: str, many: str | None = None) -> Column:
+    """1 event, 2 events, 1,234 events."""
+    return F.concat(F.format_number(column, 0), F.lit(" "), F.when(F.col(column) == 1, one).otherwise(many or one + "s"))

@@ -13,11 +13,13 @@ def gap_ranges(store: DataFrame, entities: DataFrame, target: str) -> DataFrame:
     return joined.where("gap_start <= gap_end")
 
 
-def upsert(store: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("ticker", "date"), keep: str = "last") -> DataFrame:
-    """store and new, of equal keys the last (or first) written: new rows come after stored ones."""
+def upsert(store: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("ticker", "date"), keep: str = "last", sequence: str | None = None) -> DataFrame:
+    """store and new, of equal keys the last (or first) written: new rows come after stored ones, rows of one
+    side in the order of `sequence`, and where that is equal or not given, of their other columns."""
+    within = [sequence] * bool(sequence) + [c for c in store.columns if c not in {*keys, sequence}]
     both = store.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)))
-    order = F.col("_seq").desc() if keep == "last" else F.col("_seq")
-    return both.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_rn = 1").drop("_rn", "_seq")
+    order = [F.col(c).desc() if keep == "last" else F.col(c) for c in ("_seq", *within)]
+    return both.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn", "_seq")
 
 
 def new_events(current: DataFrame, previous: DataFrame) -> DataFrame:

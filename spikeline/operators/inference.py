@@ -9,14 +9,17 @@ SEED, PERMUTATIONS, NEAR, FIRST = 42, 1000, 5, 141
 
 
 def tercile_edges(df: DataFrame, column: str) -> DataFrame:
-    """One row: e0..e3, the linear-interpolated terciles."""
-    q = F.percentile(column, F.array(F.lit(0.0), F.lit(1 / 3), F.lit(2 / 3), F.lit(1.0)))
-    return df.agg(q.alias("q")).select(*[F.get("q", F.lit(i)).alias(f"e{i}") for i in range(4)])
+    """One row: e0..e3, the linear-interpolated terciles; an error if two of them tie, nulls without values."""
+    value = F.nanvl(F.col(column), F.lit(None).cast("double"))
+    q = F.percentile(value, F.array(F.lit(0.0), F.lit(1 / 3), F.lit(2 / 3), F.lit(1.0)))
+    tied = F.exists(F.sequence(F.lit(0), F.lit(2)), lambda i: F.get("q", i) >= F.get("q", i + 1))
+    checked = F.when(tied, F.raise_error(F.lit(f"edges of the terciles of {column} tie"))).otherwise(F.col("q"))
+    return df.agg(q.alias("q")).select(checked.alias("q")).select(*[F.get("q", F.lit(i)).alias(f"e{i}") for i in range(4)])
 
 
 def tercile(column: str) -> Column:
-    """Right-closed bins by inner edges; a null has none."""
-    return F.when(F.col(column).isNull(), None).when(F.col(column) <= F.col("e1"), "bottom").when(F.col(column) <= F.col("e2"), "mid").otherwise("top")
+    """Right-closed bins by inner edges; a null or NaN has none."""
+    return F.when(F.col(column).isNull() | F.isnan(column), None).when(F.col(column) <= F.col("e1"), "bottom").when(F.col(column) <= F.col("e2"), "mid").otherwise("top")
 
 
 def candidate_pool(days: DataFrame, events: DataFrame) -> DataFrame:
@@ -36,15 +39,25 @@ def slots(cars: DataFrame) -> DataFrame:
 
 
 def draws(pool: DataFrame, numbered: DataFrame, permutations: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
-    """perm, ticker, slot, idx: as many days per ticker and permutation as it has events, without replacement.
+    """perm, ticker, slot, idx: as many days per ticker and permutation as it has events, without
+    replacement; an error where a ticker has more events than days.
 
-    The order within a permutation is that of md5(seed|perm|ticker|idx), the same however the data are partitioned."""
+    The order within a permutation is that of md5(seed|perm|ticker|idx), the same however the data are
+    partitioned. Only days whose hash lies below a cut are sorted: it leaves slots + 8 deviations + 40 of them
+    on average, and if that were ever too few for a permutation, the check of its last slot raises."""
     wanted = numbered.groupBy("ticker").agg(F.count(F.lit(1)).alias("k"))
-    most = wanted.agg(F.max("k")).first()[0] or 0  # a literal, so that each task keeps its first rows only
-    tried = pool.join(F.broadcast(wanted), "ticker").select("*", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    key = F.md5(F.concat_ws("|", F.lit(seed), "perm", "ticker", "idx"))
-    ranked = tried.withColumn("slot", F.row_number().over(Window.partitionBy("perm", "ticker").orderBy(key, "idx")))
-    return ranked.where(F.col("slot") <= most).where("slot <= k").select("perm", "ticker", "slot", "idx")
+    sizes = wanted.join(pool.groupBy("ticker").agg(F.count(F.lit(1)).alias("m")), "ticker", "left")
+    share = (F.col("k") + 8 * F.sqrt("k") + 40) / F.coalesce("m", F.lit(1))
+    limit = F.lpad(F.lower(F.hex(F.floor(F.least(share, F.lit(1.0)) * (2.0**40)).cast("long"))), 10, "0")
+    cut = F.when(share < 1, limit)  # null: every day
+    checked = F.when(F.col("k") > F.coalesce("m", F.lit(0)), F.raise_error(F.concat(F.lit("fewer candidate days than events: "), "ticker"))).otherwise(F.col("k"))
+    tried = pool.join(sizes.select("ticker", checked.alias("k"), cut.alias("cut")), "ticker", "right")
+    tried = tried.select("*", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+    tried = tried.withColumn("key", F.md5(F.concat_ws("|", F.lit(seed), "perm", "ticker", "idx"))).where(F.col("cut").isNull() | (F.substring("key", 1, 10) < F.col("cut")))
+    group = Window.partitionBy("perm", "ticker")
+    ranked = tried.withColumn("slot", F.row_number().over(group.orderBy("key", "idx"))).withColumn("n", F.count(F.lit(1)).over(group))
+    enough = F.when(F.col("n") < F.col("k"), F.raise_error(F.lit("a permutation has too few draws"))).otherwise(F.col("slot"))
+    return ranked.select("perm", "ticker", enough.alias("slot"), "idx", "k").where("slot <= k").select("perm", "ticker", "slot", "idx")
 
 
 def statistics(rows: DataFrame, *by: str) -> DataFrame:
@@ -56,7 +69,7 @@ def statistics(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def null_distribution(drawn: DataFrame, numbered: DataFrame, day_cars: DataFrame) -> DataFrame:
-    paired = drawn.join(F.broadcast(numbered), ["ticker", "slot"]).join(day_cars, ["ticker", "idx"])
+    paired = drawn.join(numbered, ["ticker", "slot"]).join(day_cars, ["ticker", "idx"])
     return statistics(paired, "perm")
 
 
@@ -79,9 +92,18 @@ def bh_fdr(p: DataFrame, q: float = 0.10) -> DataFrame:
     return ranked.withColumn("rejected", F.col("_i") <= F.coalesce(last, F.lit(0))).drop("_i", "_n")
 
 
-def declustered(cars: DataFrame, most: int = 3) -> DataFrame:
-    """Events of days with at most `most` tickers."""
-    return cars.withColumn("_n", F.count("ticker").over(Window.partitionBy("event_date"))).where(F.col("_n") <= most).drop("_n")
+def simultaneity(events: DataFrame) -> DataFrame:
+    """event_date and n, the tickers with an event on that day: over all events, whether their CAR is known or not."""
+    return events.groupBy("event_date").agg(F.count("ticker").alias("n"))
+
+
+def declustered(cars: DataFrame, events: DataFrame, null: DataFrame, most: int = 3) -> DataFrame:
+    """One row: n, T5 and its p against the null, of events with a known CAR_t5 on days with at most `most` tickers."""
+    busy = simultaneity(events).where(F.col("n") > most).select("event_date")
+    rest = cars.where(F.col("CAR_t5").isNotNull()).join(busy, "event_date", "left_anti")
+    seen = rest.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("direction") * F.col("CAR_t5")).alias("T5"))
+    drawn = null.where(F.col("T5").isNotNull()).select(F.col("T5").alias("value")).crossJoin(F.broadcast(seen))  # one row
+    return drawn.groupBy("n", "T5").agg(((1 + F.count_if(F.col("value") >= F.col("T5"))) / (1 + F.count(F.lit(1)))).alias("p"))
 
 
 def verdict(p: DataFrame, q: float = 0.10, alpha: float = 0.05) -> DataFrame:

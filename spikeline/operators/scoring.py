@@ -11,16 +11,25 @@ FORBIDDEN = {"car_t1", "car_t5", "car_t20", "expected_return", "prediction", "si
 DISCLAIMER = "Historical group mean; no evidence of predictive power."
 
 
+CELL = 0.001  # of |vol_z|: as many values as fall into a cell are ordered together
+
+
 def intensity(events: DataFrame, reference: DataFrame) -> DataFrame:
-    """intensity_percentile: mean of the shares below and at most |vol_z| in the reference (a sorted, counted table)."""
-    ref = reference.select(F.abs("vol_z").alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    both = ref.select("x", "c", F.lit(None).cast("string").alias("ticker"), F.lit(None).cast("date").alias("event_date")).unionByName(events.select(F.abs("vol_z").alias("x"), F.lit(0).cast("long").alias("c"), "ticker", "event_date"))
-    ranges = Window.orderBy("x").rangeBetween(Window.unboundedPreceding, 0)  # over the locked reference's values
-    at_most = F.sum("c").over(ranges)
-    same = F.sum("c").over(Window.partitionBy("x"))
-    n = F.sum("c").over(Window.partitionBy())
-    score = (2 * at_most - same + F.when(same > 0, 1).otherwise(0)) * 50.0 / n
-    return both.withColumn("intensity_percentile", score).where("event_date IS NOT NULL").select("ticker", "event_date", "intensity_percentile")
+    """intensity_percentile: mean of the shares below and at most |vol_z| in the reference.
+
+    Values are ordered within cells of |vol_z|; a running sum over the cells, one row each, says what lies below a cell."""
+    size = lambda: F.round(F.abs(F.nanvl("vol_z", F.lit(None).cast("double"))), 12)  # noqa: E731  digits beyond are noise of the sums
+    ref = reference.select(size().alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    both = ref.select("x", "c", F.lit(None).cast("string").alias("ticker"), F.lit(None).cast("date").alias("event_date")).unionByName(events.select(size().alias("x"), F.lit(0).cast("long").alias("c"), "ticker", "event_date").where("x IS NOT NULL"))
+    cell = F.floor(F.least(F.col("x") / CELL, F.lit(1e15)))
+    celled = both.withColumn("cell", cell)
+    below = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # over one row a cell
+    cells = celled.groupBy("cell").agg(F.sum("c").alias("own")).select("cell", F.coalesce(F.sum("own").over(below), F.lit(0)).alias("before"), F.sum("own").over(Window.partitionBy()).alias("n"))
+    inside = Window.partitionBy("cell").orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
+    same = F.sum("c").over(Window.partitionBy("cell", "x"))
+    ranked = celled.withColumn("at_most", F.sum("c").over(inside)).withColumn("same", same).where("event_date IS NOT NULL").join(cells, "cell")
+    score = (2 * (F.col("before") + F.col("at_most")) - F.col("same") + F.when(F.col("same") > 0, 1).otherwise(0)) * 50.0 / F.col("n")
+    return ranked.select("ticker", "event_date", score.alias("intensity_percentile"))
 
 
 def novelty(events: DataFrame) -> DataFrame:
@@ -37,9 +46,9 @@ def tercile_reference(cars: DataFrame) -> DataFrame:
 
 
 def classify(events: DataFrame, reference: DataFrame) -> DataFrame:
-    """tercile_label by the reference's inner edges; a null tone is an error."""
+    """tercile_label by the reference's inner edges; a null or NaN tone is an error."""
     edges = reference.agg(F.max("e1").alias("e1"), F.max("e2").alias("e2"))
-    checked = F.when(F.col("tone_z").isNull(), F.raise_error(F.lit("tone_z is null"))).otherwise(tercile("tone_z"))
+    checked = F.when(F.col("tone_z").isNull() | F.isnan("tone_z"), F.raise_error(F.lit("tone_z is unknown"))).otherwise(tercile("tone_z"))
     return events.join(F.broadcast(edges), how="cross").withColumn("tercile_label", checked).drop("e1", "e2")
 
 

@@ -21,6 +21,21 @@ def daily(points: DataFrame, kind: str) -> DataFrame:
     return points.groupBy("ticker", "date").agg((F.sum if kind == "vol" else F.avg)("value").alias("value"))
 
 
+def strict_timelines(documents: DataFrame, years: list[int]) -> DataFrame:
+    """ticker, date, value of the tickers that have a document (ticker, year, document) for every year; the others are
+    left out whole. Of repeated days the one of the earliest year, then the smallest value, stays."""
+    wanted = documents.where(F.col("year").isin(years) & F.col("document").isNotNull())
+    complete = wanted.groupBy("ticker").agg(F.countDistinct("year").alias("n")).where(F.col("n") == len(set(years))).select("ticker")
+    points = parse_timeline(wanted.join(complete, "ticker", "left_semi"))
+    return points.groupBy("ticker", "date").agg(F.min(F.struct("year", "value")).alias("x")).select("ticker", "date", F.col("x.value").alias("value"))
+
+
+def complete_day(now: str | Column) -> Column:
+    """The last UTC day that is over at a time."""
+    stamp = F.to_timestamp(F.lit(now)) if isinstance(now, str) else now
+    return F.date_sub(F.to_date(F.to_utc_timestamp(stamp, F.current_timezone())), 1)
+
+
 def before(series: DataFrame, end: str) -> DataFrame:
     """Days before `end`: the source's end is inclusive."""
     return series.where(F.col("date") < F.to_date(F.lit(end)))
@@ -35,23 +50,40 @@ def zscore(x: str, window: int = 90) -> Column:
     return F.when(F.count(x).over(w) == window, z)
 
 
+def without_nan(series: DataFrame, *columns: str) -> DataFrame:
+    """series with NaN taken as unknown, so that comparisons, which hold NaN for the largest number, don't see it."""
+    return series.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns})
+
+
 def with_zscores(series: DataFrame, window: int = 90) -> DataFrame:
-    return series.select("*", zscore("v", window).alias("vol_z"), zscore("tone", window).alias("tone_z"))
+    return without_nan(series, "v", "tone").select("*", zscore("v", window).alias("vol_z"), zscore("tone", window).alias("tone_z"))
+
+
+def _flag(vol_z: float, v: float) -> Column:
+    return F.coalesce((F.nanvl("vol_z", F.lit(None).cast("double")) >= vol_z) & (F.col("v") >= v), F.lit(False))
+
+
+def _event_columns() -> list[Column]:
+    return [F.col("ticker"), F.col("date").alias("event_date"), *map(F.col, ("v", "vol_z", "tone", "tone_z")), F.signum("tone_z").alias("direction")]
+
+
+def _run_starts(scored: DataFrame, **flags: Column) -> DataFrame:
+    """scored with a column for each flag: whether a run of rows that have it starts here. One window for all."""
+    order = Window.partitionBy("ticker").orderBy("date")
+    marked = scored.withColumns(flags)
+    return marked.withColumns({k: F.col(k) & ~F.lag(k, 1, False).over(order) for k in flags})
 
 
 def spike_events(scored: DataFrame, vol_z: float = 3.0, v: float = 5.0) -> DataFrame:
     """The first row of each run of rows with vol_z and v at their thresholds or above."""
-    order = Window.partitionBy("ticker").orderBy("date")
-    flag = F.coalesce((F.col("vol_z") >= vol_z) & (F.col("v") >= v), F.lit(False))
-    marked = scored.withColumn("_flag", flag).withColumn("_before", F.lag("_flag", 1, False).over(order))
-    return marked.where("_flag AND NOT _before").select("ticker", F.col("date").alias("event_date"), "v", "vol_z", "tone", "tone_z", F.signum("tone_z").alias("direction"))
+    return _run_starts(scored, _start=_flag(vol_z, v)).where("_start").select(*_event_columns())
 
 
 def gated_events(scored: DataFrame, gate: int = 150, strict: tuple = (3.0, 5.0), loose: tuple = (2.0, 3.0)) -> DataFrame:
     """The strict events, or the loose ones instead of all of them if the strict are fewer than `gate`."""
-    few = spike_events(scored, *strict).agg((F.count(F.lit(1)) < gate).alias("_few"))
-    both = spike_events(scored, *strict).withColumn("_loose", F.lit(False)).unionByName(spike_events(scored, *loose).withColumn("_loose", F.lit(True)))
-    return both.join(F.broadcast(few), F.col("_loose") == F.col("_few")).drop("_loose", "_few")  # one row
+    found = _run_starts(scored, _strict=_flag(*strict), _loose=_flag(*loose)).where("_strict OR _loose")
+    few = found.agg((F.count_if("_strict") < gate).alias("_few"))
+    return found.crossJoin(F.broadcast(few)).where(F.when(F.col("_few"), F.col("_loose")).otherwise(F.col("_strict"))).select(*_event_columns())  # one row
 
 
 def top_spikes(events: DataFrame, n: int = 20) -> DataFrame:

@@ -11,6 +11,8 @@ from ..functions import normal
 from ..functions.text import alert_message, query_string
 from ..operators import audits, eventstudy, incremental, inference, scoring, signals
 from ..sources import tables
+from ..sources.written import exists, load_or_bootstrap, new_path, swap_parquet, write_csv, write_json, write_raw, written
+from ..streaming import daily
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -71,14 +73,16 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "nulls": (("drawn", "slots", "daycars"), """SELECT perm, avg(direction * car1) AS T1, avg(direction * car5) AS T5, avg(direction * car20) AS T20, avg(abs(car1)) AS M1, avg(abs(car5)) AS M5, avg(abs(car20)) AS M20,
         avg(direction * adj5) AS T5_adj, avg(car5) FILTER (tercile = 'top') - avg(car5) FILTER (tercile = 'bottom') AS tercile_spread
         FROM drawn JOIN slots USING (ticker, slot) JOIN daycars USING (ticker, idx) GROUP BY perm"""),
-    "observed": (("cars", "slots", "adjusted"), """SELECT avg(c.direction * CAR_t1) AS T1, avg(c.direction * c.CAR_t5) AS T5, avg(c.direction * CAR_t20) AS T20, avg(abs(CAR_t1)) AS M1, avg(abs(c.CAR_t5)) AS M5, avg(abs(CAR_t20)) AS M20,
-        avg(c.direction * a.CAR_t5) AS T5_adj, avg(c.CAR_t5) FILTER (tercile = 'top') - avg(c.CAR_t5) FILTER (tercile = 'bottom') AS tercile_spread
-        FROM cars c JOIN slots s USING (ticker, event_date) JOIN adjusted a USING (ticker, event_date)"""),
+    "observed": (("cars", "slots"), """SELECT avg(c.direction * CAR_t1) AS T1, avg(c.direction * c.CAR_t5) AS T5, avg(c.direction * CAR_t20) AS T20, avg(abs(CAR_t1)) AS M1, avg(abs(c.CAR_t5)) AS M5, avg(abs(CAR_t20)) AS M20,
+        avg(c.direction * c.CAR_t5) AS T5_adj, avg(c.CAR_t5) FILTER (tercile = 'top') - avg(c.CAR_t5) FILTER (tercile = 'bottom') AS tercile_spread
+        FROM cars c JOIN slots s USING (ticker, event_date)"""),
     "pvals": (("nulls", "observed"), """SELECT name, max(observed) AS observed, count(*) AS n, (1 + count(*) FILTER (value >= observed)) / CAST(1 + count(*) AS DOUBLE) AS p
         FROM (UNPIVOT nulls ON T1, T5, T20, M1, M5, M20, T5_adj, tercile_spread INTO NAME name VALUE value) JOIN (UNPIVOT observed ON T1, T5, T20, M1, M5, M20, T5_adj, tercile_spread INTO NAME name VALUE observed) USING (name)
         WHERE value IS NOT NULL GROUP BY name"""),
     "secondary": (("pvals",), """SELECT name, p, i <= coalesce(max(i) FILTER (p <= i / CAST(n AS DOUBLE) * 0.10) OVER (), 0) AS rejected
         FROM (SELECT name, p, row_number() OVER (ORDER BY p, name) AS i, count(*) OVER () AS n FROM pvals WHERE name IN ('T1', 'T20', 'M1', 'M5', 'M20', 'tercile_spread'))"""),
+    "intensities": (("ev", "loose_events"), """SELECT ticker, event_date, (l + r + CASE WHEN l < r THEN 1 ELSE 0 END) * 50.0 / n AS intensity_percentile FROM (SELECT e.ticker, e.event_date,
+        count(*) FILTER (round(abs(x.vol_z), 12) < round(abs(e.vol_z), 12)) AS l, count(*) FILTER (round(abs(x.vol_z), 12) <= round(abs(e.vol_z), 12)) AS r, count(*) AS n FROM ev e, loose_events x GROUP BY e.ticker, e.event_date)"""),
     "reference": (("cars", "edges"), """SELECT CASE WHEN tone_z <= e1 THEN 'bottom' WHEN tone_z <= e2 THEN 'mid' ELSE 'top' END AS tercile_label, max(e1) AS e1, max(e2) AS e2, avg(CAR_t5) AS tercile_mean_car5, count(*) AS tercile_n
         FROM cars, edges WHERE CAR_t5 IS NOT NULL AND tone_z IS NOT NULL GROUP BY 1"""),
 }
@@ -130,45 +134,57 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return signals.gated_events(scored(spark, d))
 
 
+def panel(spark: SparkSession, d: str) -> DataFrame:
+    """The price panel, aggregated from the line items once and written: a row for each symbol and day."""
+    return written(tables.price_panel(spark, d), "panel")
+
+
 def prices(spark: SparkSession, d: str) -> DataFrame:
     """The price panel of symbols that pass price_integrity."""
-    return audits.sound_prices(tables.price_panel(spark, d), tables.BENCHMARK)
+    return audits.sound_prices(panel(spark, d), tables.BENCHMARK)
+
 
+def rets(spark: SparkSession, d: str, sound: DataFrame | None = None) -> DataFrame:
+    return written(eventstudy.returns(prices(spark, d) if sound is None else sound, tables.BENCHMARK), "returns")
 
-def rets(spark: SparkSession, d: str) -> DataFrame:
-    return eventstudy.returns(prices(spark, d), tables.BENCHMARK)
 
+def entered(spark: SparkSession, d: str, sound: DataFrame | None = None) -> DataFrame:
+    return eventstudy.entries(events(spark, d), eventstudy.calendar(prices(spark, d) if sound is None else sound, tables.BENCHMARK))
 
-def entered(spark: SparkSession, d: str) -> DataFrame:
-    return eventstudy.entries(events(spark, d), eventstudy.calendar(prices(spark, d), tables.BENCHMARK))
+
+def entered_and_returns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sound = prices(spark, d)
+    return entered(spark, d, sound), rets(spark, d, sound)
 
 
 def cars(spark: SparkSession, d: str) -> DataFrame:
-    r = rets(spark, d)
-    return eventstudy.cars(eventstudy.market_models(entered(spark, d), r), r)
+    e, r = entered_and_returns(spark, d)
+    return eventstudy.cars(eventstudy.market_models(e, r), r)
 
 
 def study(spark: SparkSession, d: str):
-    """(cars, returns, slots, pool), each computed once."""
-    r = rets(spark, d).cache()
-    c = eventstudy.cars(eventstudy.market_models(entered(spark, d), r), r).cache()
+    """(cars, returns, slots, pool); cars and returns are written, each computed once."""
+    e, r = entered_and_returns(spark, d)
+    c = written(eventstudy.cars(eventstudy.market_models(e, r), r), "cars")
     return c, r, inference.slots(c), inference.candidate_pool(r.select("ticker", "idx", "date"), c)
 
 
 def nulls(spark: SparkSession, d: str):
+    """(cars, slots, the null distribution, written: a row a permutation)."""
     c, r, numbered, pool = study(spark, d)
-    return c, r, numbered, inference.null_distribution(inference.draws(pool, numbered), numbered, eventstudy.cars_of_all_days(r))
+    null = inference.null_distribution(inference.draws(pool, numbered), numbered, eventstudy.cars_of_all_days(r))
+    return c, numbered, written(null, "nulls")
 
 
-def observed_of(c: DataFrame, r: DataFrame, numbered: DataFrame) -> DataFrame:
-    adjusted = eventstudy.cars(eventstudy.market_adjusted(c.drop("alpha", "beta", "CAR_t1", "CAR_t5", "CAR_t20")), r).select("ticker", "event_date", F.col("CAR_t5").alias("adj5"))
-    rows = c.join(numbered.select("ticker", "event_date", "tercile"), ["ticker", "event_date"]).join(adjusted, ["ticker", "event_date"])
-    return inference.statistics(rows.select("direction", "tercile", F.col("CAR_t1").alias("car1"), F.col("CAR_t5").alias("car5"), F.col("CAR_t20").alias("car20"), "adj5"))
+def observed_of(c: DataFrame, numbered: DataFrame) -> DataFrame:
+    """The statistics of the events; against the market-adjusted null too goes the market-model T5."""
+    rows = c.join(numbered.select("ticker", "event_date", "tercile"), ["ticker", "event_date"])
+    return inference.statistics(rows.select("direction", "tercile", F.col("CAR_t1").alias("car1"), F.col("CAR_t5").alias("car5"), F.col("CAR_t20").alias("car20"), F.col("CAR_t5").alias("adj5")))
 
 
 def p_of(spark: SparkSession, d: str) -> DataFrame:
-    c, r, numbered, null = nulls(spark, d)
-    return inference.p_values(null, observed_of(c, r, numbered))
+    c, numbered, null = nulls(spark, d)
+    return inference.p_values(null, observed_of(c, numbered))
 
 
 def documents(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -179,6 +195,13 @@ def documents(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return series.select("ticker", F.to_json(F.struct(F.array(F.struct(F.lit(kind).alias("series"), "data")).alias("timeline"))).alias("document"))
 
 
+CLOSE = "round(round(close, 9), 6) AS close"  # means of cents often end in a 5: the noise of sums goes first
+
+
+def _close(df: DataFrame) -> DataFrame:
+    return df.withColumn("close", F.round(F.round("close", 9), 6))
+
+
 # -- queries -----------------------------------------------------------------
 
 EVENT = "ticker, event_date, v, " + _round_sql("vol_z") + ", round(tone, 4) AS tone, " + _round_sql("tone_z") + ", direction"
@@ -193,9 +216,9 @@ def _(spark, d):
     return tables.obs_daily(spark, d).withColumn("tone", F.round("tone", 4))
 
 
-@query("price_panel", "prices", select="SELECT ticker, date, round(close, 6) AS close FROM prices")
+@query("price_panel", "prices", select=f"SELECT ticker, date, {CLOSE} FROM prices")
 def _(spark, d):
-    return rounded(tables.price_panel(spark, d))
+    return _close(tables.price_panel(spark, d))
 
 
 @query("zscores", "z", select="SELECT ticker, date, " + _round_sql("vol_z tone_z") + " FROM z")
@@ -308,9 +331,9 @@ def _(spark, d):
         (SELECT min(date) AS f, max(date) AS l FROM prices WHERE ticker = '^ALL')""",
 )
 def _(spark, d):
-    panel = tables.price_panel(spark, d)
-    symbols = panel.select("ticker").distinct().unionByName(spark.createDataFrame([("ABSENT",)], "ticker string"))
-    return audits.price_integrity(panel, symbols, tables.BENCHMARK)
+    closes = panel(spark, d)
+    symbols = closes.select("ticker").distinct().unionByName(spark.createDataFrame([("ABSENT",)], "ticker string"))
+    return audits.price_integrity(closes, symbols, tables.BENCHMARK)
 
 
 @query("calendar", "cal", select="SELECT date, idx FROM cal")
@@ -340,13 +363,13 @@ def _(spark, d):
 
 @query("market_model_ols", "models", select="SELECT ticker, event_date, entry_date, " + _round_sql("alpha beta") + ", n_est_obs, beta_source FROM models")
 def _(spark, d):
-    return rounded(eventstudy.market_models(entered(spark, d), rets(spark, d)).select("ticker", "event_date", "entry_date", "alpha", "beta", "n_est_obs", "beta_source"))
+    return rounded(eventstudy.market_models(*entered_and_returns(spark, d)).select("ticker", "event_date", "entry_date", "alpha", "beta", "n_est_obs", "beta_source"))
 
 
 @query("abnormal_returns", "ars", select="SELECT ticker, event_date, d, round(ar, 6) AS ar FROM ars")
 def _(spark, d):
-    r = rets(spark, d)
-    return rounded(eventstudy.abnormal(eventstudy.market_models(entered(spark, d), r), r))
+    e, r = entered_and_returns(spark, d)
+    return rounded(eventstudy.abnormal(eventstudy.market_models(e, r), r))
 
 
 @query("car_by_event", "cars", select="SELECT ticker || '_' || event_date AS event_id, ticker, event_date, entry_date, direction, " + _round_sql("CAR_t1 CAR_t5 CAR_t20") + " FROM cars")
@@ -357,7 +380,8 @@ def _(spark, d):
 
 @query("car_market_adjusted", "adjusted", select="SELECT ticker, event_date, round(CAR_t5, 6) AS CAR_t5 FROM adjusted")
 def _(spark, d):
-    return rounded(eventstudy.cars(eventstudy.market_adjusted(entered(spark, d)), rets(spark, d)).select("ticker", "event_date", "CAR_t5"))
+    e, r = entered_and_returns(spark, d)
+    return rounded(eventstudy.cars(eventstudy.market_adjusted(e), r).select("ticker", "event_date", "CAR_t5"))
 
 
 @query("candidate_pool", "pool", select="SELECT ticker, idx FROM pool")
@@ -374,13 +398,13 @@ def _(spark, d):
 
 @query("null_distribution", "nulls", select="SELECT perm, " + _round_sql(" ".join(inference.NAMES)) + " FROM nulls")
 def null_distribution(spark, d):
-    return rounded(nulls(spark, d)[3].select("perm", *inference.NAMES))
+    return rounded(nulls(spark, d)[2].select("perm", *inference.NAMES))
 
 
 @query("observed_stats", "observed", select="SELECT " + _round_sql(" ".join(inference.NAMES)) + " FROM observed")
 def _(spark, d):
-    c, r, numbered, _ = study(spark, d)
-    return rounded(observed_of(c, r, numbered).select(*inference.NAMES))
+    c, _, numbered, _ = study(spark, d)
+    return rounded(observed_of(c, numbered).select(*inference.NAMES))
 
 
 @query("p_values", "pvals", select="SELECT name, round(observed, 6) AS observed, n, round(p, 6) AS p FROM pvals")
@@ -402,25 +426,37 @@ def _(spark, d):
 
 @query("tercile_spread_null", "nulls", select="SELECT count(tercile_spread) AS n, round(avg(tercile_spread), 6) AS mean, round(stddev_samp(tercile_spread), 6) AS sd FROM nulls")
 def _(spark, d):
-    null = nulls(spark, d)[3]
+    null = nulls(spark, d)[2]
     return rounded(null.agg(F.count("tercile_spread").alias("n"), F.avg("tercile_spread").alias("mean"), F.stddev_samp("tercile_spread").alias("sd")))
 
 
-@query("simultaneity", "cars", select="SELECT event_date, count(*) AS n FROM cars GROUP BY event_date")
+@query("simultaneity", "ev", select="SELECT event_date, count(*) AS n FROM ev GROUP BY event_date")
 def _(spark, d):
-    return cars(spark, d).groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
+    return inference.simultaneity(events(spark, d))
 
 
-@query("declustered_primary", "cars", select="SELECT count(*) AS n, round(avg(direction * CAR_t5), 6) AS T5 FROM (SELECT *, count(*) OVER (PARTITION BY event_date) AS k FROM cars) WHERE k <= 3")
+@query(
+    "declustered_primary",
+    "ev",
+    "cars",
+    "nulls",
+    select="""SELECT n, round(T5, 6) AS T5, round((1 + (SELECT count(*) FROM nulls WHERE nulls.T5 >= s.T5)) / CAST(1 + (SELECT count(nulls.T5) FROM nulls) AS DOUBLE), 6) AS p
+    FROM (SELECT count(*) AS n, avg(direction * CAR_t5) AS T5 FROM cars WHERE CAR_t5 IS NOT NULL AND event_date NOT IN (SELECT event_date FROM ev GROUP BY event_date HAVING count(*) > 3)) s""",
+)
 def _(spark, d):
-    return rounded(inference.declustered(cars(spark, d)).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("direction") * F.col("CAR_t5")).alias("T5")))
+    c, _, null = nulls(spark, d)
+    return rounded(inference.declustered(c, events(spark, d), null))
+
+
+def errors_of(c: DataFrame, null: DataFrame) -> DataFrame:
+    x = F.col("direction") * F.col("CAR_t5")
+    return null.agg(F.stddev_samp("T5").alias("empirical_se")).crossJoin(c.agg((F.stddev_samp(x) / F.sqrt(F.count(x))).alias("parametric_se")))  # a row each
 
 
 @query("standard_errors", "cars", "nulls", select="""SELECT round((SELECT stddev_samp(T5) FROM nulls), 6) AS empirical_se, round(stddev_samp(direction * CAR_t5) / sqrt(count(direction * CAR_t5)), 6) AS parametric_se FROM cars""")
 def standard_errors(spark, d):
-    c, _, _, null = nulls(spark, d)
-    x = F.col("direction") * F.col("CAR_t5")
-    return rounded(null.agg(F.stddev_samp("T5").alias("empirical_se")).crossJoin(c.agg((F.stddev_samp(x) / F.sqrt(F.count(x))).alias("parametric_se"))))  # a row each
+    c, _, null = nulls(spark, d)
+    return rounded(errors_of(c, null))
 
 
 def locked_path(spark: SparkSession, d: str) -> str:
@@ -429,27 +465,36 @@ def locked_path(spark: SparkSession, d: str) -> str:
     return f"{base.rstrip('/')}/{hashlib.md5(d.rstrip('/').encode()).hexdigest()}"
 
 
-def stored(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
-
-
 def fresh_statistic(spark: SparkSession, d: str) -> DataFrame:
     """recomputed, locked and stale of the T5 statistic; raises if an earlier run stored another. The first run over the tables stores it."""
-    recomputed = cars(spark, d).agg(F.avg(F.col("direction") * F.col("CAR_t5")).alias("recomputed")).cache()
+    return against_stored(spark, d, cars(spark, d))
+
+
+def against_stored(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
+    recomputed = written(c.agg(F.avg(F.col("direction") * F.col("CAR_t5")).alias("recomputed")), "statistic")
     path = locked_path(spark, d)
-    if not stored(spark, path):
+    if not exists(spark, path):
         inference.lock(recomputed.withColumnRenamed("recomputed", "locked"), path)
     return inference.against_locked(recomputed, spark.read.schema("locked double").parquet(path))
 
 
-@query("power_analysis")
+Z = {0.5: 0.0, 0.8: 0.8416212335729143, 0.9: 1.2815515655446004, 0.95: 1.6448536269514722}  # quantiles of the normal distribution: fixed values
+
+
+@query(
+    "power_analysis",
+    "nulls",
+    select=f"""SELECT kind, "at", round(value, 6) AS value FROM (SELECT 'mde' AS kind, "at", (z + {Z[0.95]}) * se AS value FROM (SELECT stddev_samp(T5) AS se FROM nulls), (VALUES (0.5::DOUBLE, {Z[0.5]}::DOUBLE), (0.8, {Z[0.8]}), (0.9, {Z[0.9]})) q("at", z)
+    UNION ALL SELECT 'power', "at", CASE WHEN x > 9 THEN 1.0 WHEN x < -9 THEN 0.0 ELSE 0.5 + exp(-x * x / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 300), lambda k: x * exp(k * ln(greatest(x * x, 1e-300)) - k * ln(2.0) - (lgamma(k + 1.5) - lgamma(1.5))))) END
+    FROM (SELECT "at", "at" / se - {Z[0.95]} AS x FROM (SELECT stddev_samp(T5) AS se FROM nulls), (VALUES (0.0::DOUBLE), (0.005), (0.01)) q("at")))""",
+)
 def _(spark, d):
     """Least detectable effects and achieved power of the empirical standard error: three scalars through the driver."""
-    fresh_statistic(spark, d)
-    se = standard_errors(spark, d).first()["empirical_se"]
+    c, _, null = nulls(spark, d)
+    against_stored(spark, d, c)
+    se = errors_of(c, null).first()["empirical_se"]
     rows = [("mde", x, normal.mde(se, x)) for x in (0.5, 0.8, 0.9)] + [("power", x, normal.achieved_power(x, se)) for x in (0.0, 0.005, 0.01)] if se else []
-    return spark.createDataFrame(rows, "kind string, at double, value double")
+    return rounded(spark.createDataFrame(rows, "kind string, at double, value double"))
 
 
 @query("staleness_check", "cars", select="SELECT round(avg(direction * CAR_t5), 6) AS recomputed, round(avg(direction * CAR_t5), 6) AS locked, FALSE AS stale FROM cars")
@@ -468,15 +513,19 @@ SCORED = """SELECT e.ticker, event_date, t.tercile_label, round(tercile_mean_car
 
 @query("calibration_attach", "ev", "reference", select=SCORED)
 def _(spark, d):
-    reference = scoring.tercile_reference(cars(spark, d))
+    reference = written(scoring.tercile_reference(cars(spark, d)), "reference")  # three rows
     out = scoring.claims_audit(scoring.calibrate(events(spark, d), reference))
     return rounded(out.select("ticker", "event_date", "tercile_label", "tercile_mean_car5", "tercile_n"))
 
 
-@query("intensity_percentile", "ev", "loose_events", select="""SELECT ticker, event_date, round((l + r + CASE WHEN l < r THEN 1 ELSE 0 END) * 50.0 / n, 6) AS intensity_percentile FROM (SELECT e.ticker, e.event_date,
-    count(*) FILTER (abs(round(x.vol_z, 6)) < abs(round(e.vol_z, 6))) AS l, count(*) FILTER (abs(round(x.vol_z, 6)) <= abs(round(e.vol_z, 6))) AS r, count(*) AS n FROM ev e, loose_events x GROUP BY e.ticker, e.event_date)""")
+def intensities(spark: SparkSession, d: str) -> DataFrame:
+    z = scored(spark, d)
+    return scoring.intensity(signals.gated_events(z), signals.spike_events(z, 2.0, 3.0))
+
+
+@query("intensity_percentile", "intensities", select="SELECT ticker, event_date, round(intensity_percentile, 6) AS intensity_percentile FROM intensities")
 def _(spark, d):
-    return rounded(scoring.intensity(_events_out(events(spark, d)), _events_out(signals.spike_events(scored(spark, d), 2.0, 3.0))))
+    return rounded(intensities(spark, d))
 
 
 @query("novelty_days", "ev", select="SELECT ticker, event_date, CAST(date_diff('day', lag(event_date) OVER (PARTITION BY ticker ORDER BY event_date), event_date) AS INTEGER) AS novelty_days FROM ev")
@@ -511,7 +560,7 @@ def _(spark, d):
 def _(spark, d):
     now = events(spark, d)
     new = incremental.new_events(now, now.where(F.col("event_date") < F.to_date(F.lit(CUT))))
-    out = scoring.calibrate(new, scoring.tercile_reference(cars(spark, d)))
+    out = scoring.calibrate(new, written(scoring.tercile_reference(cars(spark, d)), "reference"))  # three rows
     return rounded(out.select("ticker", "event_date", "tercile_label", "tercile_mean_car5", "tercile_n"))
 
 
@@ -541,14 +590,21 @@ def _(spark, d):
     return incremental.freshness(tables.obs_daily(spark, d), "1999-01-01")
 
 
-@query("alert_messages", "ev", select="SELECT ticker, event_date, ticker || ' ' || event_date || ': volume ' || CAST(round_even(vol_z, 0) AS BIGINT) || ' times its spread, tone ' || CASE WHEN direction > 0 THEN 'positive' ELSE 'negative' END AS message FROM ev")
+@query(
+    "alert_messages",
+    "ev",
+    "intensities",
+    select="""SELECT ticker, event_date, 'New event' || chr(10) || ticker || ' — ' || event_date || chr(10) || 'Tone: ' || CASE WHEN direction > 0 THEN 'positive' ELSE 'negative' END || ' | Intensity: '
+    || CAST(CAST(round_even(intensity_percentile, 0) AS BIGINT) AS VARCHAR) || 'th pct' || chr(10) || '(NULL verdict on record — no forward-return implication)' AS message FROM ev JOIN intensities USING (ticker, event_date)""",
+)
 def _(spark, d):
-    return events(spark, d).select("ticker", "event_date", alert_message().alias("message"))
+    joined = events(spark, d).join(intensities(spark, d), ["ticker", "event_date"])
+    return joined.select("ticker", "event_date", alert_message().alias("message"))
 
 
 @query("null_histogram", "nulls", select="""SELECT CAST(least(floor((T5 - lo) / ((hi - lo) / 40)) + 1, 40) AS BIGINT) AS bin, count(*) AS n FROM nulls, (SELECT min(T5) AS lo, max(T5) AS hi FROM nulls) WHERE T5 IS NOT NULL AND hi > lo GROUP BY 1""")
 def _(spark, d):
-    null = nulls(spark, d)[3].where("T5 IS NOT NULL").cache()
+    null = nulls(spark, d)[2].where("T5 IS NOT NULL")
     bounds = null.agg(F.min("T5").alias("lo"), F.max("T5").alias("hi"))
     inside = null.join(F.broadcast(bounds), how="cross").where("hi > lo")  # one row
     return inside.groupBy(F.least(F.floor((F.col("T5") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 40)) + 1, F.lit(40)).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -557,9 +613,9 @@ def _(spark, d):
 @query("car_by_horizon", "nulls", "observed", select="""SELECT name, round(observed, 6) AS observed, round(avg(value), 6) AS null_mean, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high
     FROM (UNPIVOT (SELECT T1, T5, T20 FROM nulls) ON T1, T5, T20 INTO NAME name VALUE value) JOIN (UNPIVOT (SELECT T1, T5, T20 FROM observed) ON T1, T5, T20 INTO NAME name VALUE observed) USING (name) GROUP BY name, observed""")
 def _(spark, d):
-    c, r, numbered, null = nulls(spark, d)
+    c, numbered, null = nulls(spark, d)
     long = null.unpivot(["perm"], ["T1", "T5", "T20"], "name", "value").where("value IS NOT NULL")
-    seen = observed_of(c, r, numbered).unpivot([], ["T1", "T5", "T20"], "name", "observed")
+    seen = observed_of(c, numbered).unpivot([], ["T1", "T5", "T20"], "name", "observed")
     q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
     per = long.groupBy("name").agg(F.avg("value").alias("null_mean"), q.alias("q"))
     return rounded(per.join(F.broadcast(seen), "name").select("name", "observed", "null_mean", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high")))
@@ -571,3 +627,112 @@ def _(spark, d):
     c = cars(spark, d).where("CAR_t5 IS NOT NULL AND tone_z IS NOT NULL")
     labelled = c.join(F.broadcast(inference.tercile_edges(c, "tone_z")), how="cross").withColumn("tercile", inference.tercile("tone_z"))
     return rounded(labelled.groupBy("tercile").agg(F.avg("CAR_t5").alias("mean"), F.count(F.lit(1)).alias("n"), (F.stddev_samp("CAR_t5") / F.sqrt(F.count(F.lit(1)))).alias("sem")))
+
+
+# -- sources, sinks and streams ------------------------------------------------
+
+PART = "least((day(date) - 1) // 10, 2)"
+
+
+@query(
+    "timeline_strict_years",
+    "points",
+    select=f"""SELECT ticker, date, round(min(tone), 6) AS value FROM (SELECT *, CAST(ts AS DATE) AS date FROM points)
+    WHERE ticker IN (SELECT ticker FROM (SELECT ticker, CAST(ts AS DATE) AS date FROM points) WHERE NOT (length(ticker) = 5 AND {PART} = 2) GROUP BY ticker HAVING count(DISTINCT {PART}) = 3) GROUP BY ALL""",
+)
+def _(spark, d):
+    """A document for each ticker and third of a month; tickers that lack one (here those of five letters) are left out whole."""
+    day = F.to_date("ts")
+    part = F.least(F.floor((F.day(day) - 1) / 10), F.lit(2)).cast("int")
+    stamp = F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")
+    series = tables.timeline_points(spark, d).groupBy("ticker", part.alias("year")).agg(F.sort_array(F.collect_list(F.struct(stamp.alias("date"), F.col("tone").alias("value")))).alias("data"))
+    sent = series.where(~((F.length("ticker") == 5) & (F.col("year") == 2))).select("ticker", "year", F.to_json(F.struct(F.array(F.struct(F.lit("tone").alias("series"), "data")).alias("timeline"))).alias("document"))
+    return rounded(signals.strict_timelines(sent, [0, 1, 2]))
+
+
+@query("csv_roundtrip", "obs", select="SELECT ticker, date, v, round(tone, 4) AS tone FROM obs")
+def _(spark, d):
+    path = new_path(spark, "csv")
+    write_csv(tables.obs_daily(spark, d), path)
+    return tables.csv_table(spark, path, "ticker string, date date, v double, tone double").withColumn("tone", F.round("tone", 4))
+
+
+@query("json_roundtrip", "ev", select="SELECT ticker, event_date, round(vol_z, 6) AS vol_z FROM ev")
+def _(spark, d):
+    path = new_path(spark, "json")
+    write_json(events(spark, d).select("ticker", "event_date", F.round("vol_z", 6).alias("vol_z")), path)
+    return spark.read.schema("ticker string, event_date date, vol_z double").json(path)
+
+
+@query("raw_documents_roundtrip", "points", select="SELECT ticker, CAST(ts AS DATE) AS date, sum(vol) AS value FROM points GROUP BY ALL")
+def _(spark, d):
+    """Raw documents are stored as they came; the daily series is made from what is stored."""
+    path = new_path(spark, "raw")
+    write_raw(documents(spark, d, "vol"), path)
+    return signals.daily(signals.parse_timeline(spark.read.text(path).select("ticker", F.col("value").alias("document"))), "vol")
+
+
+@query("store_swap_upsert", "obs", select=f"SELECT ticker, date, CASE WHEN date >= DATE '{CUT}' THEN v + 1 ELSE v END AS v FROM obs")
+def _(spark, d):
+    """A store that isn't there is bootstrapped, then replaced by itself with newer rows."""
+    path = new_path(spark, "store")
+    obs = tables.obs_daily(spark, d).select("ticker", "date", "v")
+    have = load_or_bootstrap(spark, path, lambda: obs)
+    swap_parquet(incremental.upsert(have, obs.where(F.col("date") >= F.to_date(F.lit(CUT))).withColumn("v", F.col("v") + 1)), path)
+    return load_or_bootstrap(spark, path, lambda: obs.limit(0))
+
+
+@query(
+    "stream_daily_rollup",
+    select="""SELECT event_type AS ticker, CAST(ts AS DATE) AS date, CAST(count(*) AS DOUBLE) AS v, round(avg(value), 6) AS tone FROM events
+    WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""",
+)
+def _(spark, d):
+    """Days that the watermark has passed, streamed into a store of versions."""
+    store, checkpoint = new_path(spark, "stream"), new_path(spark, "progress")
+    running = daily.upsert_stream(daily.daily_rollup(tables.event_stream(spark, d)), store, checkpoint)
+    running.awaitTermination()
+    return rounded(daily.stored(spark, store))
+
+
+@query("beta_source_counts", "models", select="SELECT beta_source, count(*) AS n FROM models GROUP BY beta_source")
+def _(spark, d):
+    return eventstudy.market_models(*entered_and_returns(spark, d)).groupBy("beta_source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sector_list", select="SELECT string_agg(DISTINCT r_name, ', ' ORDER BY r_name) AS sectors FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(spark, d):
+    return tables.universe(spark, d).agg(F.array_join(F.sort_array(F.collect_set("sector")), ", ").alias("sectors"))
+
+
+@query("prices_wide_to_long", "prices", select=f"SELECT ticker, date, {CLOSE} FROM prices WHERE close IS NOT NULL")
+def _(spark, d):
+    """The panel as a download has it, a column a symbol, and back."""
+    closes = panel(spark, d)
+    symbols = sorted(r[0] for r in closes.select("ticker").distinct().collect())  # the columns of the wide table
+    return _close(tables.wide_to_long(closes.groupBy("date").pivot("ticker", symbols).agg(F.first("close")), symbols))
+
+
+@query(
+    "chart_overlay",
+    "prices",
+    "ev",
+    select=f"SELECT p.ticker, p.date, {CLOSE}, e.direction FROM prices p LEFT JOIN ev e ON e.ticker = p.ticker AND e.event_date = p.date WHERE p.ticker <> '^ALL'",
+)
+def _(spark, d):
+    """What a price chart with marked events shows."""
+    marks = events(spark, d).select("ticker", F.col("event_date").alias("date"), "direction")
+    return _close(panel(spark, d).where(F.col("ticker") != tables.BENCHMARK).join(marks, ["ticker", "date"], "left"))
+
+
+@query("last_complete_day", select="SELECT CAST(max(ts) AS DATE) - 1 AS day FROM events")
+def _(spark, d):
+    return tables.table(spark, d, "events").agg(F.max("ts").cast("timestamp").alias("now")).select(signals.complete_day(F.col("now")).alias("day"))
+
+
+SOURCES = ("orders", "lineitem", "events", "absent")
+
+
+@query("source_probe", select="SELECT * FROM (VALUES ('orders', (SELECT count(*) > 0 FROM orders)), ('lineitem', (SELECT count(*) > 0 FROM lineitem)), ('events', (SELECT count(*) > 0 FROM events)), ('absent', FALSE)) t(source, ok)")
+def _(spark, d):
+    return tables.probe(spark, d, list(SOURCES))

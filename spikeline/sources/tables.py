@@ -12,9 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV file with a header and an explicit schema; missing strings stay empty."""
-    return spark.read.schema(schema).option("header", True).option("emptyValue", "").option("nullValue", "\0").csv(path)
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ticker, ts, vol, tone of events, as a stream of the files named like the table."""
+    kinds = table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(kinds).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return raw.select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1.0).alias("vol"), F.col("value").alias("tone"))
+
+
+def csv_table(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A CSV file with a header and an explicit schema; missing strings are empty, missing values of other kinds null.
+    lines: values may hold line breaks, so that a file is read by one task."""
+    options = {"header": True, "emptyValue": "", "nullValue": "\0", "escape": '"', "multiLine": lines}
+    return spark.read.schema(schema).options(**options).csv(path)
 
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -41,12 +50,34 @@ def timeline_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, date, close: mean unit price by segment and ship day, and of all segments as BENCHMARK."""
+    """ticker, date, close: mean unit price by segment and ship day, and of all segments as BENCHMARK.
+
+    Line items are read once: the benchmark adds up the segments' sums, those of unknown orders among them."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("ticker"))
-    by_segment = lines.join(orders, "l_orderkey").join(customer, "o_custkey").groupBy("ticker", "date").agg(F.avg("price").alias("close"))
-    return by_segment.unionByName(lines.groupBy("date").agg(F.avg("price").alias("close")).select(F.lit(BENCHMARK).alias("ticker"), "date", "close"))
+    owners = orders.join(customer, "o_custkey", "left").select("l_orderkey", "ticker")
+    sums = lines.join(owners, "l_orderkey", "left").groupBy("ticker", "date").agg(F.sum("price").alias("s"), F.count("price").alias("n"))
+    every = sums.groupBy("date").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select(F.lit(BENCHMARK).alias("ticker"), "date", "s", "n")
+    both = sums.where(F.col("ticker").isNotNull()).unionByName(every)
+    return both.select("ticker", "date", F.try_divide("s", F.col("n").cast("double")).alias("close"))
+
+
+def wide_to_long(wide: DataFrame, symbols: list[str]) -> DataFrame:
+    """ticker, date, close of a table with a day a row and a column of closes for each symbol; unknown ones left out."""
+    return wide.unpivot(["date"], symbols, "ticker", "close").where(F.col("close").isNotNull() & ~F.isnan("close")).select("ticker", "date", "close")
+
+
+def probe(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """source and ok, whether it can be read and has a row."""
+
+    def readable(name: str) -> bool:
+        try:
+            return not table(spark, sf_dir, name).isEmpty()
+        except Exception:  # whatever the source says
+            return False
+
+    return spark.createDataFrame([(x, readable(x)) for x in names], "source string, ok boolean")
 
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.incremental import upsert
+from ..operators.incremental import new_events, upsert
+from ..sources.written import exists, remove, swap_parquet
 
 
 def daily_rollup(points: DataFrame, late: str = "1 day") -> DataFrame:
@@ -21,23 +22,60 @@ def daily_rollup(points: DataFrame, late: str = "1 day") -> DataFrame:
     return days.agg(F.sum("vol").alias("v"), F.avg("tone").alias("tone")).select("ticker", F.to_date("w.start").alias("date"), "v", "tone")
 
 
-def upsert_stream(stream: DataFrame, store: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Upserts (ticker, date) rows into versions of a Parquet store, one folder for each batch; `then` sees the whole store."""
+def _versions(spark: SparkSession, store: str) -> list[int]:
+    files = spark._jvm.org.apache.hadoop.fs.Path(store)
+    found = files.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/version=*/_SUCCESS"))
+    return sorted(int(x.getPath().getParent().getName().partition("=")[2]) for x in found or [])
+
+
+def upsert_stream(stream: DataFrame, store: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, keys: tuple[str, ...] = ("ticker", "date"), sequence: str | None = None, kept: int = 2) -> StreamingQuery:
+    """Upserts rows into versions of a Parquet store, one folder for each batch; `then` sees the whole store.
+
+    A checkpoint remembers the version it began on, so that batch n always writes version first + n: a repeated
+    batch replaces its own, and a new checkpoint goes on after the versions that are there. A missing earlier
+    version is an error. Of rows of one batch with equal keys the last by `sequence` stays. Of older versions `kept` stay."""
+    spark = stream.sparkSession
+    base = f"{checkpoint}-first-version"
+    if not exists(spark, base):
+        swap_parquet(spark.createDataFrame([(max(_versions(spark, store), default=-1) + 1,)], "first long"), base)
+    first = spark.read.parquet(base).first()["first"]
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/version={number - 1}")
-        have = number and path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
-        latest = rows.dropDuplicates(["ticker", "date"])
-        merged = upsert(spark.read.parquet(str(path)), latest) if have else latest
-        merged.write.mode("overwrite").parquet(f"{store}/version={number}")
+        session = rows.sparkSession
+        version = first + number
+        if version:
+            if not exists(session, f"{store}/version={version - 1}"):
+                raise FileNotFoundError(f"version {version - 1} of {store} is missing")
+            before = session.read.parquet(f"{store}/version={version - 1}")
+        else:
+            before = rows.limit(0)
+        upsert(before, rows, keys, "last", sequence).write.mode("overwrite").parquet(f"{store}/version={version}")
         if then:
-            then(spark.read.parquet(f"{store}/version={number}"), number)
+            then(session.read.parquet(f"{store}/version={version}"), number)
+        for old in _versions(session, store):
+            if old <= version - kept:
+                remove(session, f"{store}/version={old}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stored(spark: SparkSession, store: str) -> DataFrame:
-    """The last version."""
-    versions = spark.read.parquet(store)
-    return versions.where(F.col("version") == versions.agg(F.max("version")).first()[0]).drop("version")
+    """The last version that was written whole."""
+    versions = _versions(spark, store)
+    if not versions:
+        raise FileNotFoundError(f"{store} has no version")
+    return spark.read.parquet(f"{store}/version={versions[-1]}")
+
+
+def on_change(events_of: Callable[[DataFrame], DataFrame], send: Callable[[DataFrame, int], None], known: str) -> Callable[[DataFrame, int], None]:
+    """A `then` for upsert_stream: hands on the events of the store that aren't yet among the known ones, and adds them there.
+    They are sent before they are known, so that a failure between the two sends them again rather than never."""
+
+    def then(store: DataFrame, number: int) -> None:
+        spark = store.sparkSession
+        events = events_of(store)
+        fresh = new_events(events, spark.read.parquet(known)) if exists(spark, known) else events
+        send(fresh, number)
+        swap_parquet(events.select("ticker", "event_date").unionByName(spark.read.parquet(known).select("ticker", "event_date")).distinct() if exists(spark, known) else events.select("ticker", "event_date").distinct(), known)
+
+    return then
