@@ -23,7 +23,7 @@ def csv_table(spark: SparkSession, path: str, schema: str, lines: bool = False)
     """A CSV file with a header and an explicit schema; missing strings are empty, missing values of other kinds null.
     lines: values may hold line breaks, so that a file is read by one task."""
     options = {"header": True, "emptyValue": "", "nullValue": "\0", "escape": '"', "multiLine": lines}
-    return spark.read.schema(schema).options(**options).csv(path)
+    return spark.read.schema(schema).options(**options).csv(path).fillna("")
 
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
