@@ -269,14 +269,14 @@ def _(spark, d):
     return signals.daily(tables.timeline_points(spark, d).select("ticker", F.to_date("ts").alias("date"), F.col("vol").alias("value")), "vol")
 
 
-@query("timeline_daily_mean", "points", select="SELECT ticker, CAST(ts AS DATE) AS date, round(avg(tone), 6) AS value FROM points GROUP BY ALL")
+@query("timeline_daily_mean", "points", select="SELECT ticker, CAST(ts AS DATE) AS date, round(round(avg(tone), 10), 6) AS value FROM points GROUP BY ALL")
 def _(spark, d):
-    return rounded(signals.daily(tables.timeline_points(spark, d).select("ticker", F.to_date("ts").alias("date"), F.col("tone").alias("value")), "tone"))
+    return rounded(rounded(signals.daily(tables.timeline_points(spark, d).select("ticker", F.to_date("ts").alias("date"), F.col("tone").alias("value")), "tone"), 10))  # the noise of sums goes first
 
 
-@query("timeline_json_roundtrip", "points", select="SELECT ticker, CAST(ts AS DATE) AS date, round(avg(tone), 6) AS value FROM points GROUP BY ALL")
+@query("timeline_json_roundtrip", "points", select="SELECT ticker, CAST(ts AS DATE) AS date, round(round(avg(tone), 10), 6) AS value FROM points GROUP BY ALL")
 def _(spark, d):
-    return rounded(signals.daily(signals.parse_timeline(documents(spark, d, "tone")), "tone"))
+    return rounded(rounded(signals.daily(signals.parse_timeline(documents(spark, d, "tone")), "tone"), 10))
 
 
 @query("json_props_extract", select="SELECT event_type, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS k_sum, count(*) AS n FROM events GROUP BY event_type")
@@ -637,7 +637,7 @@ PART = "least((day(date) - 1) // 10, 2)"
 @query(
     "timeline_strict_years",
     "points",
-    select=f"""SELECT ticker, date, round(min(tone), 6) AS value FROM (SELECT *, CAST(ts AS DATE) AS date FROM points)
+    select=f"""SELECT ticker, date, round(round(min(tone), 10), 6) AS value FROM (SELECT *, CAST(ts AS DATE) AS date FROM points)
     WHERE ticker IN (SELECT ticker FROM (SELECT ticker, CAST(ts AS DATE) AS date FROM points) WHERE NOT (length(ticker) = 5 AND {PART} = 2) GROUP BY ticker HAVING count(DISTINCT {PART}) = 3) GROUP BY ALL""",
 )
 def _(spark, d):
@@ -647,7 +647,7 @@ def _(spark, d):
     stamp = F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")
     series = tables.timeline_points(spark, d).groupBy("ticker", part.alias("year")).agg(F.sort_array(F.collect_list(F.struct(stamp.alias("date"), F.col("tone").alias("value")))).alias("data"))
     sent = series.where(~((F.length("ticker") == 5) & (F.col("year") == 2))).select("ticker", "year", F.to_json(F.struct(F.array(F.struct(F.lit("tone").alias("series"), "data")).alias("timeline"))).alias("document"))
-    return rounded(signals.strict_timelines(sent, [0, 1, 2]))
+    return rounded(rounded(signals.strict_timelines(sent, [0, 1, 2]), 10))
 
 
 @query("csv_roundtrip", "obs", select="SELECT ticker, date, v, round(tone, 4) AS tone FROM obs")
@@ -684,7 +684,7 @@ def _(spark, d):
 
 @query(
     "stream_daily_rollup",
-    select="""SELECT event_type AS ticker, CAST(ts AS DATE) AS date, CAST(count(*) AS DOUBLE) AS v, round(avg(value), 6) AS tone FROM events
+    select="""SELECT event_type AS ticker, CAST(ts AS DATE) AS date, CAST(count(*) AS DOUBLE) AS v, round(round(avg(value), 10), 6) AS tone FROM events
     WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""",
 )
 def _(spark, d):
@@ -692,7 +692,7 @@ def _(spark, d):
     store, checkpoint = new_path(spark, "stream"), new_path(spark, "progress")
     running = daily.upsert_stream(daily.daily_rollup(tables.event_stream(spark, d)), store, checkpoint)
     running.awaitTermination()
-    return rounded(daily.stored(spark, store))
+    return rounded(rounded(daily.stored(spark, store), 10))
 
 
 @query("beta_source_counts", "models", select="SELECT beta_source, count(*) AS n FROM models GROUP BY beta_source")
