@@ -11,8 +11,10 @@ document at the edge doesn't leave a hole.
 
 The prefix is found without sorting a source in one task: words are summed in
 4096 bins of the rank, only the bin where the budget ends is cut again, and only
-that bin's rows are ordered. Equal rows are numbered and drawn one by one. Null
-texts have size 0; null sources form one source; no rows give no rows.
+that bin's rows are ordered. A round leaves one row a source, the place where its
+prefix stops; whether a document is taken follows from its own place and those
+stops, so no table of taken documents is made. Equal rows are numbered and drawn
+one by one. Null texts have size 0; null sources form one source; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, read, word_count
+from .common import discard, free_name, materialize, read, word_count
 
 MOST = 3  # copies of a document
 WEIGHTS = 3  # sources weigh 1, 2, ... up to this, again and again
 BINS = 4096
 ROUNDS = 3
+SALTS = 64  # parts of a source where sources are too many to broadcast
 
 
 def targets(rows: DataFrame, most: int = MOST, weights: int = WEIGHTS) -> DataFrame:
@@ -56,29 +59,40 @@ def uniform(*key: str, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
-def _ends(rows: DataFrame, by: Column) -> DataFrame:
-    """Per source, the bin in which its budget ends and the words before that bin."""
-    sums = rows.groupBy("source", by.alias("bin")).agg(F.sum("size").alias("words"), F.first("budget").alias("budget"))
-    running = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-    over = sums.withColumn("running", running).where(F.col("running") > F.col("budget"))
-    first = over.groupBy("source").agg(F.min(F.struct("bin", (F.col("running") - F.col("words")).alias("before"))).alias("end"))
-    return first.select(F.col("source").alias("_source"), F.col("end.bin").alias("_bin"), F.col("end.before").alias("_before"))
+def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows (source, key, copy, ...) and what `sources`, a written table with a row a source, knows of theirs; others go.
+    That table is broadcast where its size allows; else a source's rows are dealt to SALTS tasks."""
+    salted = sources.withColumnRenamed("source", "_source").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("key", "copy"), F.lit(SALTS)).cast("int")
+    return rows.join(salted, F.col("source").eqNullSafe(F.col("_source")) & (salt == F.col("_salt"))).drop("_source", "_salt")
 
 
-def prefix(rows: DataFrame) -> DataFrame:
-    """Of rows (source, size, rank in (0, 1), budget, key, copy): those in the longest prefix within the budget."""
+def _ends(rows: DataFrame, cell: Column) -> DataFrame:
+    """Of rows (source, size, budget): source, bin (the first cell that its budget doesn't hold whole),
+    rest (of the budget where that cell begins). Sources that fit whole have no row."""
+    sums = rows.groupBy("source", cell.alias("bin")).agg(F.sum("size").alias("words"), F.first("budget").alias("budget"))
+    running = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))  # at most BINS + 1 rows a source
+    over = sums.withColumn("rest", F.col("budget") - running).where("rest < 0")
+    first = over.groupBy("source").agg(F.min(F.struct("bin", (F.col("rest") + F.col("words")).alias("rest"))).alias("end"))
+    return materialize(first.select("source", "end.*"), "ends")
+
+
+def stops(rows: DataFrame) -> DataFrame:
+    """Of rows (source, key, copy, size, rank in (0, 1), place, budget): source, stop (the first place beyond the
+    longest prefix within the budget) and rest (of the budget before it). Sources that fit whole have no row."""
     one = F.floor(F.col("rank") * BINS).cast("int")
     two = F.floor((F.col("rank") * BINS - one) * BINS).cast("int")
-    same = F.col("source").eqNullSafe(F.col("_source"))
-    first = rows.join(_ends(rows, one), same, "left")
-    inside = first.where(F.col("_bin").isNull() | (one < F.col("_bin"))).select(rows.columns)
-    edge = first.where(one == F.col("_bin")).withColumn("budget", F.col("budget") - F.col("_before")).select(rows.columns)
-    second = edge.join(_ends(edge, two), same, "left")
-    inside_two = second.where(F.col("_bin").isNull() | (two < F.col("_bin"))).select(rows.columns)
-    last = second.where(two == F.col("_bin")).withColumn("budget", F.col("budget") - F.col("_before"))
-    order = Window.partitionBy("source").orderBy("rank", "key", "copy")
-    ends = last.withColumn("_running", F.sum("size").over(order)).where(F.col("_running") <= F.col("budget")).select(rows.columns)
-    return inside.unionByName(inside_two).unionByName(ends)
+    ends = _ends(rows, one)
+    edge = _with_source(rows.drop("budget"), ends).where(one == F.col("bin")).withColumnRenamed("rest", "budget").drop("bin")
+    edge = materialize(edge, "edge")
+    inner = _ends(edge, two)
+    last = _with_source(edge.drop("budget"), inner).where(two == F.col("bin"))
+    last = last.withColumn("running", F.sum("size").over(Window.partitionBy("source").orderBy("place")))
+    held = F.col("running") <= F.col("rest")
+    found = last.groupBy("source").agg(F.min(F.when(~held, F.col("place"))).alias("stop"), (F.first("rest") - F.coalesce(F.max(F.when(held, F.col("running"))), F.lit(0))).alias("rest"))
+    out = materialize(found, "stops")
+    discard(ends, edge, inner)
+    return out
 
 
 def mix(rows: DataFrame, key: str, seed: int = 42, most: int = MOST, weights: int = WEIGHTS) -> DataFrame:
@@ -86,32 +100,33 @@ def mix(rows: DataFrame, key: str, seed: int = 42, most: int = MOST, weights: in
     rows), source_size, target and copies, the times the mix takes the row."""
     counted = rows.select(F.col(key).alias("key"), "source", "size").groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n"))
     numbered = counted.select("key", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
-    goal = targets(rows, most, weights).withColumnRenamed("source", "_source")
-    joined = numbered.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    chance = F.col("ratio") - F.col("whole")
+    whole = F.floor(ratio).cast("long")
+    budget = F.floor(F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")).cast("long")  # sizes are whole numbers
+    goal = targets(rows, most, weights).select("*", whole.alias("whole"), (ratio - whole).alias("chance"))
+    state = materialize(goal.select("*", budget.alias("budget0")), "sources")
     u = uniform("key", "source", "copy", seed=seed)
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance")))
-    drawn = joined.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio").cast("long")).withColumn("chance", chance).withColumn("u", u)
-    drawn = drawn.withColumn("rank", F.when(F.col("chance") > 0, odds / (1 + odds)))
-    budget = F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")
-    pool = materialize(drawn.select("key", "source", "size", "copy", "source_size", "target", "whole", "rank", budget.alias("budget")), "drawn")
-    taken = None
-    names = ["key", "source", "size", "copy", "rank", "budget"]
-    for _ in range(ROUNDS):
-        left = pool.where(F.col("rank").isNotNull() & (F.col("budget") > 0)).select(names)
-        if taken is not None:
-            words = taken.groupBy(F.col("source").alias("_source")).agg(F.sum("size").alias("_words"))
-            marks = taken.select(F.col("key").alias("_key"), F.col("source").alias("_from"), F.col("size").alias("_size"), F.col("copy").alias("_copy"))
-            same = F.col("key").eqNullSafe(F.col("_key")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("size") == F.col("_size")) & (F.col("copy") == F.col("_copy"))
-            left = left.join(marks, same, "left_anti").join(words, F.col("source").eqNullSafe(F.col("_source")), "left")
-            left = left.withColumn("budget", F.col("budget") - F.coalesce("_words", F.lit(0))).where(F.col("size") <= F.col("budget")).select(names)
-        found = prefix(left).select("key", "source", "size", "copy")
-        taken = materialize(found if taken is None else taken.unionByName(found), "taken")
-    marks = taken.select(F.col("key").alias("_key"), F.col("source").alias("_from"), F.col("size").alias("_size"), F.col("copy").alias("_copy"), F.lit(1).alias("_one"))
-    same = F.col("key").eqNullSafe(F.col("_key")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("size") == F.col("_size")) & (F.col("copy") == F.col("_copy"))
-    out = pool.join(marks, same, "left")
-    return out.select(F.col("key").alias(key), "source", "size", "copy", "source_size", "target", (F.col("whole") + F.coalesce("_one", F.lit(0))).alias("copies"))
+    drawn = _with_source(numbered, state.select("source", "chance")).withColumn("u", u)
+    rank = F.when(F.col("chance") > 0, odds / (1 + odds))
+    pool = materialize(drawn.select("key", "source", "size", "copy", rank.alias("rank")), "drawn")
+    place = F.struct("rank", "key", "copy", "size")
+    taken = F.lit(False)
+    for i in range(ROUNDS):
+        b, stop = F.col(f"budget{i}"), F.col(f"stop{i}")
+        left = F.col("rank").isNotNull() & (F.col("budget0") > 0) & ~taken
+        if i:
+            left &= F.coalesce(F.col("size") <= b, F.lit(False))
+        rest = _with_source(pool, state).where(left).select("key", "source", "size", "copy", "rank", place.alias("place"), b.alias("budget"))
+        found = stops(rest)
+        same = F.col("source").eqNullSafe(F.col("_source"))
+        ends = found.select(F.col("source").alias("_source"), F.col("stop").alias(f"stop{i}"), F.col("rest").alias(f"budget{i + 1}"))
+        later = materialize(state.join(ends, same, "left").drop("_source"), "sources")
+        discard(state, found)
+        state = later
+        taken |= left & F.coalesce(place < stop, F.lit(True))
+    out = _with_source(pool, state)
+    return out.select(F.col("key").alias(key), "source", "size", "copy", "source_size", "target", (F.col("whole") + taken.cast("long")).alias("copies"))
 
 
 def mix_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
@@ -145,7 +160,7 @@ def _round_sql(i: int) -> str:
             LEFT JOIN (SELECT source, sum(size) AS words FROM ({before}) GROUP BY source) w ON p.source IS NOT DISTINCT FROM w.source
             WHERE p.rank IS NOT NULL AND p.budget > 0 AND p.row NOT IN (SELECT row FROM ({before}))) WHERE size <= b"""
     return f"""taken{i} AS (SELECT row, source, size FROM (SELECT row, source, size, b,
-        sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, copy ROWS UNBOUNDED PRECEDING) AS running FROM ({left})) WHERE running <= b)"""
+        sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id NULLS FIRST, copy, size ROWS UNBOUNDED PRECEDING) AS running FROM ({left})) WHERE running <= b)"""
 
 
 ORACLE = {

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -295,6 +296,45 @@ def test_mixing_nears_its_targets(spark, rows):
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
+def brute_prefixes(rows, rounds=mixing.ROUNDS):
+    """Copies of rows (key, source, size, copy, rank, whole, budget), each round's longest prefix found by walking it."""
+    took = set()
+    for source in {r[1] for r in rows}:
+        mine = sorted((r for r in rows if r[1] == source and r[4] is not None), key=lambda r: (r[4], r[0], r[3], r[2]))
+        left = mine[0][6] if mine else 0
+        for i in range(rounds):
+            budget = left
+            for r in [r for r in mine if r not in took and (not i or r[2] <= budget)]:
+                if r[2] > left:
+                    break
+                left -= r[2]
+                took.add(r)
+    return Counter({r[:4]: r[5] + (r in took) for r in rows})
+
+
+def test_mixing_equals_walked_prefixes(spark):
+    sizes = [(i % 37, None if i % 5 == 0 else f"s{min(i % 7, 3)}", (i * 7919) % 400 if i % 11 else 0) for i in range(900)]
+    light = spark.createDataFrame([*sizes, *sizes[:40], (None, None, 9), (None, "lone", 1000)], "doc_id long, source string, size long")
+    seen = mixing.mix(light, "doc_id")
+    got = Counter({(r["doc_id"], r["source"], r["size"], r["copy"]): r["copies"] for r in seen.collect()})
+    rows = []
+    for r in seen.withColumn("u", mixing.uniform("doc_id", "source", "copy", seed=42)).collect():
+        ratio = r["target"] / r["source_size"] if r["source_size"] else 0.0
+        whole = math.floor(ratio)
+        odds = (r["u"] / (1 - r["u"])) / ((ratio - whole) / (1 - ratio + whole)) if ratio > whole else None
+        rank = None if odds is None else odds / (1 + odds)
+        rows.append((-1 if r["doc_id"] is None else r["doc_id"], r["source"], r["size"], r["copy"], rank, whole, r["target"] - whole * r["source_size"]))
+    want = Counter({(None if k == -1 else k, s, n, c): v for (k, s, n, c), v in brute_prefixes(rows).items()})
+    assert got == want
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where sources are too many to broadcast
+    try:
+        again = Counter({(r["doc_id"], r["source"], r["size"], r["copy"]): r["copies"] for r in mixing.mix(light, "doc_id").collect()})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert again == got
+
+
 def brute_shuffle(rows, shards):
     """Where the law `rows` lets records be: every (shard, slot) once, shards in equal parts."""
     edges = [s * len(rows) // shards for s in range(shards + 1)]
