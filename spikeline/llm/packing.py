@@ -39,6 +39,7 @@ from .common import materialize, read, utf8
 CAPACITY = 4096
 END = 1
 GROUP = 20_000
+GROUP_IDS = 4 << 20  # token ids carried by such a group, at most about
 WORDS = 1_500_000  # that a Python worker remembers the ids of, some 300 MB; beyond, it starts anew
 
 
@@ -242,7 +243,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
     runs, _ = plan(counts, capacity)
     names, told = rows.columns, [x.split()[0] for x in PIECE.split(", ")]
-    cut = {n: -(-c // GROUP) for n, c in counts.items() if c > GROUP}
+    most = {n: min(GROUP, max(1, GROUP_IDS // n)) if "ids" in names else GROUP for n in counts}
+    cut = {n: -(-c // most[n]) for n, c in counts.items() if c > most[n]}
     salts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in cut.items() for x in pair]), "length"), F.lit(1)) if cut else F.lit(1)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*told), salts).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

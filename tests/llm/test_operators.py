@@ -207,6 +207,22 @@ def test_packed_sequences_hold_the_ids(spark, rows):
         assert read == whole
 
 
+def test_groups_that_carry_ids_are_parted(spark, monkeypatch):
+    rows = [(i, "word " * 20 + f"n{i}") for i in range(80)] + [(100, "more words " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    plain = packing.pack_documents(docs, 64).collect()
+    monkeypatch.setattr(packing, "GROUP_IDS", 256)
+    parted = packing.pack_documents(docs, 64, ids=True).collect()
+    assert sorted(tuple(r[c] for c in told) for r in plain) == sorted(tuple(r[c] for c in told) for r in parted)
+    assert len({r["sequence_id"] for r in plain}) == len({r["sequence_id"] for r in parted})
+    ends = Counter()
+    for r in sorted(parted, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends[r["sequence_id"]] and len(r["ids"]) == r["length"]
+        ends[r["sequence_id"]] += r["length"]
+    assert max(ends.values()) <= 64
+
+
 def test_ranges_part_nulls_and_hot_keys(spark):
     rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, i) for i in range(3000)] + [(-(1 << 63), 1), ((1 << 63) - 1, 2)]
     docs = spark.createDataFrame(rows, "k long, v long")
