@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, media, mixing, near, packing, quality, sharding, substring, suffixes, warc
+from . import clustering, fingerprint, media, mixing, near, packing, periods, quality, search, sharding, substring, suffixes, warc
 
-MODULES = (quality, suffixes, near, fingerprint, mixing, media, sharding, substring, warc, packing)
+MODULES = (quality, suffixes, near, fingerprint, mixing, media, sharding, substring, warc, packing, clustering, periods, search)
 
 
 def queries() -> dict:
