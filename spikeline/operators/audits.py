@@ -18,7 +18,10 @@ def coverage_gate(report: DataFrame, least: float = 30.0) -> DataFrame:
 
 
 def price_integrity(prices: DataFrame, symbols: DataFrame, benchmark: str, slack: int = 21, most_missing: float = 5.0) -> DataFrame:
-    """Per symbol: rows, first and last day, missing share of the benchmark's rows, closes at or below 0, jumps, status."""
+    """Per symbol: rows, first and last day, missing share of the benchmark's rows, closes at or below 0, jumps, status.
+    ValueError where the benchmark has no price: nothing could be held against it."""
+    if prices.where((F.col("ticker") == benchmark) & F.col("close").isNotNull()).isEmpty():
+        raise ValueError(f"the benchmark {benchmark} has no prices")
     order = Window.partitionBy("ticker").orderBy("date")
     known = prices.where(F.col("close").isNotNull()).withColumn("_r", F.ln(F.try_divide(F.col("close"), F.lag("close").over(order))))
     per = known.groupBy("ticker").agg(F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count_if(F.col("close") <= 0).alias("nonpositive_close"), F.count_if(F.abs("_r") > 0.5).alias("extreme_moves"))

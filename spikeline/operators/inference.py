@@ -1,20 +1,23 @@
-"""Permutation null by hash-ordered draws, p-values, false discovery rate, verdict."""
+"""Permutation null by keyed permutations, p-values, false discovery rate, verdict."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import exact_quantiles
+
 SEED, PERMUTATIONS, NEAR, FIRST = 42, 1000, 5, 141
+MIXING = 6  # rounds of a permutation; an even number
 
 
 def tercile_edges(df: DataFrame, column: str) -> DataFrame:
-    """One row: e0..e3, the linear-interpolated terciles; an error if two of them tie, nulls without values."""
-    value = F.nanvl(F.col(column), F.lit(None).cast("double"))
-    q = F.percentile(value, F.array(F.lit(0.0), F.lit(1 / 3), F.lit(2 / 3), F.lit(1.0)))
-    tied = F.exists(F.sequence(F.lit(0), F.lit(2)), lambda i: F.get("q", i) >= F.get("q", i + 1))
-    checked = F.when(tied, F.raise_error(F.lit(f"edges of the terciles of {column} tie"))).otherwise(F.col("q"))
-    return df.agg(q.alias("q")).select(checked.alias("q")).select(*[F.get("q", F.lit(i)).alias(f"e{i}") for i in range(4)])
+    """One row: e0..e3, the linear-interpolated terciles; an error if two of them tie, nulls without values. Reads df
+    several times, and no more than some thousand values of it at once."""
+    q = exact_quantiles(df, column, [0.0, 1 / 3, 2 / 3, 1.0])
+    if q[0] is not None and any(a >= b for a, b in zip(q, q[1:])):
+        raise ValueError(f"edges of the terciles of {column} tie: {q}")
+    return df.sparkSession.createDataFrame([tuple(q)], "e0 double, e1 double, e2 double, e3 double")
 
 
 def tercile(column: str) -> Column:
@@ -38,26 +41,51 @@ def slots(cars: DataFrame) -> DataFrame:
     return cars.join(F.broadcast(edges), how="cross").select("ticker", "event_date", "direction", label.alias("tercile"), F.row_number().over(Window.partitionBy("ticker").orderBy("event_date")).alias("slot"))
 
 
+def _mix(seed: int, number: Column, value: Column) -> Column:
+    """32 bits of a round's function of one half."""
+    key = F.md5(F.concat_ws("|", F.lit(seed), "perm", "ticker", number.cast("string"), value.cast("string")))
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
+
+
+def permuted(rows: DataFrame, seed: int = SEED) -> DataFrame:
+    """rows (perm, ticker, j, m, ...) with `at`: where a permutation of 0..m-1, keyed by seed, perm and ticker, puts j.
+
+    The numbers below a * b, the least product of near-square roots that reaches m, are pairs (j mod a, j div a); rounds add
+    to one half a hash of the other, which is one-to-one. What lands at m or beyond, less than one in the root
+    of m, walks on along its cycle until it lands below: so each j is computed by itself, without looking at the others."""
+    sized = rows.withColumn("_a", F.greatest(F.ceil(F.sqrt("m")), F.lit(1)).cast("long")).withColumn("_b", F.greatest(F.ceil(F.col("m") / F.col("_a")), F.lit(1)).cast("long"))
+    out = sized.withColumn("_l", F.col("j") % F.col("_a")).withColumn("_r", F.floor(F.col("j") / F.col("_a")))
+    for i in range(MIXING):
+        half, other, size = ("_l", "_r", "_a") if i % 2 == 0 else ("_r", "_l", "_b")
+        out = out.withColumn(half, (F.col(half) + _mix(seed, F.lit(i), F.col(other))) % F.col(size))
+    at = F.col("_r") * F.col("_a") + F.col("_l")
+
+    def step(s: Column, e: Column) -> Column:
+        i = e % MIXING
+        landed = s["done"] | ((i == 0) & (s["r"] * F.col("_a") + s["l"] < F.col("m")))
+        left = F.when(i % 2 == 0, (s["l"] + _mix(seed, i, s["r"])) % F.col("_a")).otherwise(s["l"])
+        right = F.when(i % 2 == 1, (s["r"] + _mix(seed, i, s["l"])) % F.col("_b")).otherwise(s["r"])
+        return F.struct(F.when(landed, s["l"]).otherwise(left).alias("l"), F.when(landed, s["r"]).otherwise(right).alias("r"), landed.alias("done"))
+
+    start = F.struct(F.col("_l").alias("l"), F.col("_r").alias("r"), F.lit(False).alias("done"))
+    rounds = F.sequence(F.lit(0).cast("long"), MIXING * (F.col("_a") * F.col("_b") - F.col("m")))  # a cycle leaves the rest after so many at most
+    walked = F.aggregate(rounds, start, step, lambda s: s["r"] * F.col("_a") + s["l"])
+    return out.select(*rows.columns, F.when(at < F.col("m"), at).otherwise(walked).alias("at"))
+
+
 def draws(pool: DataFrame, numbered: DataFrame, permutations: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
     """perm, ticker, slot, idx: as many days per ticker and permutation as it has events, without
     replacement; an error where a ticker has more events than days.
 
-    The order within a permutation is that of md5(seed|perm|ticker|idx), the same however the data are
-    partitioned. Only days whose hash lies below a cut are sorted: it leaves slots + 8 deviations + 40 of them
-    on average, and if that were ever too few for a permutation, the check of its last slot raises."""
+    Slot j of a permutation is the day where a keyed permutation of the ticker's candidate days puts j: the work is that of
+    the draws, whatever the number of days, and the same however the data are partitioned."""
+    days = pool.select("ticker", "idx", (F.row_number().over(Window.partitionBy("ticker").orderBy("idx")) - 1).cast("long").alias("at"))
     wanted = numbered.groupBy("ticker").agg(F.count(F.lit(1)).alias("k"))
     sizes = wanted.join(pool.groupBy("ticker").agg(F.count(F.lit(1)).alias("m")), "ticker", "left")
-    share = (F.col("k") + 8 * F.sqrt("k") + 40) / F.coalesce("m", F.lit(1))
-    limit = F.lpad(F.lower(F.hex(F.floor(F.least(share, F.lit(1.0)) * (2.0**40)).cast("long"))), 10, "0")
-    cut = F.when(share < 1, limit)  # null: every day
-    checked = F.when(F.col("k") > F.coalesce("m", F.lit(0)), F.raise_error(F.concat(F.lit("fewer candidate days than events: "), "ticker"))).otherwise(F.col("k"))
-    tried = pool.join(sizes.select("ticker", checked.alias("k"), cut.alias("cut")), "ticker", "right")
-    tried = tried.select("*", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    tried = tried.withColumn("key", F.md5(F.concat_ws("|", F.lit(seed), "perm", "ticker", "idx"))).where(F.col("cut").isNull() | (F.substring("key", 1, 10) < F.col("cut")))
-    group = Window.partitionBy("perm", "ticker")
-    ranked = tried.withColumn("slot", F.row_number().over(group.orderBy("key", "idx"))).withColumn("n", F.count(F.lit(1)).over(group))
-    enough = F.when(F.col("n") < F.col("k"), F.raise_error(F.lit("a permutation has too few draws"))).otherwise(F.col("slot"))
-    return ranked.select("perm", "ticker", enough.alias("slot"), "idx", "k").where("slot <= k").select("perm", "ticker", "slot", "idx")
+    enough = F.when(F.col("k") > F.coalesce("m", F.lit(0)), F.raise_error(F.concat(F.lit("fewer candidate days than events: "), "ticker"))).otherwise(F.col("k"))
+    each = sizes.select("ticker", "m", enough.alias("k"), F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+    asked = each.select("perm", "ticker", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
+    return permuted(asked, seed).join(days, ["ticker", "at"]).select("perm", "ticker", (F.col("j") + 1).cast("int").alias("slot"), "idx")
 
 
 def statistics(rows: DataFrame, *by: str) -> DataFrame:
@@ -114,16 +142,14 @@ def verdict(p: DataFrame, q: float = 0.10, alpha: float = 0.05) -> DataFrame:
     return both.withColumn("verdict", F.when((F.col("primary_p") < alpha) | (F.col("survivors") > 0), "SIGNAL").otherwise("NULL"))
 
 
-def lock(statistic: DataFrame, path: str) -> None:
-    """Stores a one-row statistic (column `locked`) for later runs; replaces what is stored."""
-    statistic.select(F.col("locked").cast("double").alias("locked")).coalesce(1).write.mode("overwrite").parquet(path)
+def staleness(recomputed: DataFrame, locked: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Every row of `locked` beside the one `recomputed` value: stale where they differ, or where only one is known."""
+    apart = F.coalesce(F.abs(F.col("recomputed") - F.col("locked")) >= tolerance, F.col("recomputed").isNull() != F.col("locked").isNull())
+    return locked.crossJoin(F.broadcast(recomputed)).withColumn("stale", apart)  # one row
 
 
-def against_locked(recomputed: DataFrame, locked: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """recomputed, locked, stale, of one row each; raises where they differ, or where only one is known."""
-    apart = F.coalesce(F.abs(F.col("recomputed") - F.col("locked")) >= tolerance, F.col("recomputed").isNull() != F.col("locked").isNull())
-    both = recomputed.crossJoin(locked).withColumn("stale", apart)  # a row each
-    rows = both.collect()
+def require_current(recomputed: DataFrame, locked: DataFrame, tolerance: float = 1e-9) -> None:
+    """ValueError unless there is one locked value and the recomputed one equals it."""
+    rows = staleness(recomputed, locked.select(F.col("locked").cast("double").alias("locked")), tolerance).collect()
     if len(rows) != 1 or rows[0]["stale"]:
         raise ValueError(f"the recomputed T5 statistic doesn't match the locked one: {rows}")
-    return both

@@ -5,31 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.written import written
 from .inference import tercile, tercile_edges
+from .ordered import running
 
 FORBIDDEN = {"car_t1", "car_t5", "car_t20", "expected_return", "prediction", "signal"}
 DISCLAIMER = "Historical group mean; no evidence of predictive power."
 
 
-CELL = 0.001  # of |vol_z|: as many values as fall into a cell are ordered together
-
-
 def intensity(events: DataFrame, reference: DataFrame) -> DataFrame:
     """intensity_percentile: mean of the shares below and at most |vol_z| in the reference.
 
-    Values are ordered within cells of |vol_z|; a running sum over the cells, one row each, says what lies below a cell."""
+    Both sides are counted by value first, infinite and tied ones too, so a value is one row of the order; a
+    running count over the values, in ranges, is joined back to the events."""
     size = lambda: F.round(F.abs(F.nanvl("vol_z", F.lit(None).cast("double"))), 12)  # noqa: E731  digits beyond are noise of the sums
-    ref = reference.select(size().alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    both = ref.select("x", "c", F.lit(None).cast("string").alias("ticker"), F.lit(None).cast("date").alias("event_date")).unionByName(events.select(size().alias("x"), F.lit(0).cast("long").alias("c"), "ticker", "event_date").where("x IS NOT NULL"))
-    cell = F.floor(F.least(F.col("x") / CELL, F.lit(1e15)))
-    celled = both.withColumn("cell", cell)
-    below = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # over one row a cell
-    cells = celled.groupBy("cell").agg(F.sum("c").alias("own")).select("cell", F.coalesce(F.sum("own").over(below), F.lit(0)).alias("before"), F.sum("own").over(Window.partitionBy()).alias("n"))
-    inside = Window.partitionBy("cell").orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
-    same = F.sum("c").over(Window.partitionBy("cell", "x"))
-    ranked = celled.withColumn("at_most", F.sum("c").over(inside)).withColumn("same", same).where("event_date IS NOT NULL").join(cells, "cell")
-    score = (2 * (F.col("before") + F.col("at_most")) - F.col("same") + F.when(F.col("same") > 0, 1).otherwise(0)) * 50.0 / F.col("n")
-    return ranked.select("ticker", "event_date", score.alias("intensity_percentile"))
+    values = lambda df, c: df.select(size().alias("x"), F.lit(c).cast("long").alias("c")).where("x IS NOT NULL")
+    counted = written(values(reference, 1).unionByName(values(events, 0)).groupBy("x").agg(F.sum("c").alias("same")), "values")
+    placed = running(counted, "x", F.col("same"), "at_most")
+    n = F.broadcast(counted.agg(F.sum("same").alias("n")))  # one row
+    score = (2 * F.col("at_most") - F.col("same") + F.when(F.col("same") > 0, 1).otherwise(0)) * 50.0 / F.col("n")
+    return events.withColumn("x", size()).join(placed, "x").crossJoin(n).select("ticker", "event_date", score.alias("intensity_percentile"))
 
 
 def novelty(events: DataFrame) -> DataFrame:
@@ -71,7 +66,28 @@ def claims_audit(scored: DataFrame) -> DataFrame:
     return scored
 
 
-def guard(verdict: str) -> None:
-    """Scoring is for NULL verdicts."""
-    if verdict != "NULL":
-        raise ValueError(f"verdict is {verdict}")
+def guard(verdict: str | DataFrame) -> None:
+    """Scoring is for NULL verdicts: ValueError for any other, or where there isn't exactly one."""
+    found = [r["verdict"] for r in verdict.select("verdict").limit(2).collect()] if isinstance(verdict, DataFrame) else [verdict]
+    if found != ["NULL"]:
+        raise ValueError(f"the verdict is {found}")
+
+
+def score(events: DataFrame, known: DataFrame, reference: DataFrame, terciles: DataFrame, verdict: str | DataFrame) -> DataFrame:
+    """What may be published of new events: intensity, novelty, tercile and its history, and the disclaimer.
+
+    The verdict comes first: without NULL nothing is read. known: all events so far, the new ones among them, for
+    novelty; reference: the events whose sizes intensity is a share of; terciles: tercile_reference(). The claims are audited last."""
+    guard(verdict)
+    key = ["ticker", "event_date"]
+    labelled = calibrate(events, terciles)
+    since = novelty(known.select(*key).distinct())
+    return claims_audit(labelled.join(intensity(events, reference), key, "left").join(since, key, "left"))
+
+
+def attach(events: DataFrame, scores: DataFrame) -> DataFrame:
+    """events with the scores that a table holds for their ticker and day; null where it has none. An error where it has two."""
+    key = ["ticker", "event_date"]
+    once = scores.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in scores.columns if c not in {*key, *events.columns}])
+    checked = once.withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("scored twice: "), F.concat_ws(" ", *key)))).otherwise(F.col("_n"))).where("_n = 1")
+    return events.join(checked.drop("_n"), key, "left")

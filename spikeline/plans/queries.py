@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from ..functions import normal
 from ..functions.text import alert_message, query_string
 from ..operators import audits, eventstudy, incremental, inference, scoring, signals
 from ..sources import tables
-from ..sources.written import exists, load_or_bootstrap, new_path, swap_parquet, write_csv, write_json, write_raw, written
+from ..sources.written import load_or_bootstrap, new_path, swap_parquet, write_csv, write_json, write_raw, written
 from ..streaming import daily
 
 QUERIES: dict = {}
@@ -43,7 +41,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "rets": (("grid",), "SELECT a.ticker, a.idx, a.date, a.r, b.r AS m FROM grid a JOIN grid b ON a.idx = b.idx AND b.ticker = '^ALL' WHERE a.ticker <> '^ALL'"),
     "entered": (("ev", "cal"), "SELECT e.*, c.idx AS entry_idx, c.date AS entry_date FROM ev e ASOF LEFT JOIN cal c ON e.event_date < c.date"),
     "models": (("entered", "rets"), """SELECT e.*, CASE WHEN n >= 90 THEN a ELSE 0.0 END AS alpha, CASE WHEN n >= 90 THEN b ELSE 1.0 END AS beta, n AS n_est_obs,
-            CASE WHEN n >= 90 THEN 'estimated' ELSE 'fallback' END AS beta_source
+            CASE WHEN n >= 90 THEN 'market_model' ELSE 'market_adjusted' END AS beta_source
         FROM entered e JOIN (SELECT e.ticker, e.event_date, regr_slope(r, m) AS b, regr_intercept(r, m) AS a, CAST(regr_count(r, m) AS BIGINT) AS n
             FROM entered e JOIN rets ON rets.ticker = e.ticker AND rets.idx BETWEEN e.entry_idx - 140 AND e.entry_idx - 21
             WHERE e.entry_idx >= 140 GROUP BY ALL) USING (ticker, event_date)"""),
@@ -68,8 +66,14 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "edges": (("cars",), "SELECT quantile_cont(tone_z, 1/3.0::DOUBLE) AS e1, quantile_cont(tone_z, 2/3.0::DOUBLE) AS e2 FROM cars WHERE CAR_t5 IS NOT NULL"),
     "slots": (("cars", "edges"), """SELECT ticker, event_date, direction, CASE WHEN CAR_t5 IS NOT NULL AND tone_z IS NOT NULL THEN CASE WHEN tone_z <= e1 THEN 'bottom' WHEN tone_z <= e2 THEN 'mid' ELSE 'top' END END AS tercile,
         row_number() OVER (PARTITION BY ticker ORDER BY event_date) AS slot FROM cars, edges"""),
-    "drawn": (("pool", "slots"), f"""SELECT perm, ticker, slot, idx FROM (SELECT perm, p.ticker, idx, k, row_number() OVER (PARTITION BY perm, p.ticker ORDER BY md5('{inference.SEED}|' || perm || '|' || p.ticker || '|' || idx), idx) AS slot
-        FROM pool p JOIN (SELECT ticker, count(*) AS k FROM slots GROUP BY ticker) USING (ticker), (SELECT CAST(unnest(range(1, {inference.PERMUTATIONS + 1})) AS INTEGER) AS perm)) WHERE slot <= k"""),
+    "seats": (("pool", "slots"), """SELECT ticker, k, m, a, greatest(CAST(ceil(m / CAST(a AS DOUBLE)) AS BIGINT), 1) AS b FROM (SELECT ticker, count(*) AS m, greatest(CAST(ceil(sqrt(count(*))) AS BIGINT), 1) AS a FROM pool GROUP BY ticker)
+        JOIN (SELECT ticker, count(*) AS k FROM slots GROUP BY ticker) USING (ticker)"""),
+    "walk": (("seats",), f"""SELECT perm, ticker, m, a, b, j, 0 AS i, j % a AS l, j // a AS r FROM (SELECT *, unnest(range(0, k)) AS j FROM seats), (SELECT CAST(unnest(range(1, {inference.PERMUTATIONS + 1})) AS INTEGER) AS perm)
+        UNION ALL SELECT perm, ticker, m, a, b, j, i + 1, CASE WHEN i % 2 = 0 THEN (l + CAST('0x' || substr(md5('{inference.SEED}|' || perm || '|' || ticker || '|' || (i % {inference.MIXING}) || '|' || r), 1, 8) AS BIGINT)) % a ELSE l END,
+            CASE WHEN i % 2 = 1 THEN (r + CAST('0x' || substr(md5('{inference.SEED}|' || perm || '|' || ticker || '|' || (i % {inference.MIXING}) || '|' || l), 1, 8) AS BIGINT)) % b ELSE r END
+        FROM walk WHERE i = 0 OR i % {inference.MIXING} <> 0 OR r * a + l >= m"""),
+    "drawn": (("pool", "walk"), f"""SELECT perm, ticker, j + 1 AS slot, idx FROM walk JOIN (SELECT ticker, idx, row_number() OVER (PARTITION BY ticker ORDER BY idx) - 1 AS pos FROM pool) days USING (ticker)
+        WHERE i > 0 AND i % {inference.MIXING} = 0 AND pos = r * a + l"""),
     "nulls": (("drawn", "slots", "daycars"), """SELECT perm, avg(direction * car1) AS T1, avg(direction * car5) AS T5, avg(direction * car20) AS T20, avg(abs(car1)) AS M1, avg(abs(car5)) AS M5, avg(abs(car20)) AS M20,
         avg(direction * adj5) AS T5_adj, avg(car5) FILTER (tercile = 'top') - avg(car5) FILTER (tercile = 'bottom') AS tercile_spread
         FROM drawn JOIN slots USING (ticker, slot) JOIN daycars USING (ticker, idx) GROUP BY perm"""),
@@ -100,7 +104,7 @@ def sql(*parts: str, select: str) -> str:
 
     for name in parts:
         need(name)
-    return "WITH " + ", ".join(f"{n} AS ({PARTS[n][1]})" for n in found) + " " + select if found else select
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({PARTS[n][1]})" for n in found) + " " + select if found else select
 
 
 def query(name: str, *parts: str, select: str | None = None):
@@ -149,7 +153,9 @@ def rets(spark: SparkSession, d: str, sound: DataFrame | None = None) -> DataFra
 
 
 def entered(spark: SparkSession, d: str, sound: DataFrame | None = None) -> DataFrame:
-    return eventstudy.entries(events(spark, d), eventstudy.calendar(prices(spark, d) if sound is None else sound, tables.BENCHMARK))
+    """Events with their entry days; a table of its own, read by all that follows."""
+    days = eventstudy.calendar(prices(spark, d) if sound is None else sound, tables.BENCHMARK)
+    return written(eventstudy.entries(written(events(spark, d), "events"), days), "entered")
 
 
 def entered_and_returns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -157,23 +163,36 @@ def entered_and_returns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFra
     return entered(spark, d, sound), rets(spark, d, sound)
 
 
-def cars(spark: SparkSession, d: str) -> DataFrame:
+def entered_and_days(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events with entries, returns, what each day would be as an entry), all written."""
     e, r = entered_and_returns(spark, d)
-    return eventstudy.cars(eventstudy.market_models(e, r), r)
+    return e, r, written(eventstudy.day_table(r), "days")
+
+
+def cars_of(e: DataFrame, days: DataFrame) -> DataFrame:
+    return written(eventstudy.cars(eventstudy.market_models(e, days), days), "cars")
+
+
+def cars(spark: SparkSession, d: str) -> DataFrame:
+    e, _, days = entered_and_days(spark, d)
+    return cars_of(e, days)
 
 
 def study(spark: SparkSession, d: str):
-    """(cars, returns, slots, pool); cars and returns are written, each computed once."""
-    e, r = entered_and_returns(spark, d)
-    c = written(eventstudy.cars(eventstudy.market_models(e, r), r), "cars")
-    return c, r, inference.slots(c), inference.candidate_pool(r.select("ticker", "idx", "date"), c)
+    """(cars, days, slots, pool); each computed once."""
+    e, _, days = entered_and_days(spark, d)
+    c = cars_of(e, days)
+    return c, days, written(inference.slots(c), "slots"), written(inference.candidate_pool(days.select("ticker", "idx", "date"), c), "pool")
 
 
 def nulls(spark: SparkSession, d: str):
     """(cars, slots, the null distribution, written: a row a permutation)."""
-    c, r, numbered, pool = study(spark, d)
-    null = inference.null_distribution(inference.draws(pool, numbered), numbered, eventstudy.cars_of_all_days(r))
-    return c, numbered, written(null, "nulls")
+    c, days, numbered, pool = study(spark, d)
+    return c, numbered, null_of(days, numbered, pool)
+
+
+def null_of(days: DataFrame, numbered: DataFrame, pool: DataFrame) -> DataFrame:
+    return written(inference.null_distribution(inference.draws(pool, numbered), numbered, eventstudy.cars_of_all_days(days)), "nulls")
 
 
 def observed_of(c: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -363,13 +382,14 @@ def _(spark, d):
 
 @query("market_model_ols", "models", select="SELECT ticker, event_date, entry_date, " + _round_sql("alpha beta") + ", n_est_obs, beta_source FROM models")
 def _(spark, d):
-    return rounded(eventstudy.market_models(*entered_and_returns(spark, d)).select("ticker", "event_date", "entry_date", "alpha", "beta", "n_est_obs", "beta_source"))
+    e, _, days = entered_and_days(spark, d)
+    return rounded(eventstudy.market_models(e, days).select("ticker", "event_date", "entry_date", "alpha", "beta", "n_est_obs", "beta_source"))
 
 
 @query("abnormal_returns", "ars", select="SELECT ticker, event_date, d, round(ar, 6) AS ar FROM ars")
 def _(spark, d):
-    e, r = entered_and_returns(spark, d)
-    return rounded(eventstudy.abnormal(eventstudy.market_models(e, r), r))
+    e, r, days = entered_and_days(spark, d)
+    return rounded(eventstudy.abnormal(eventstudy.market_models(e, days), r))
 
 
 @query("car_by_event", "cars", select="SELECT ticker || '_' || event_date AS event_id, ticker, event_date, entry_date, direction, " + _round_sql("CAR_t1 CAR_t5 CAR_t20") + " FROM cars")
@@ -380,8 +400,8 @@ def _(spark, d):
 
 @query("car_market_adjusted", "adjusted", select="SELECT ticker, event_date, round(CAR_t5, 6) AS CAR_t5 FROM adjusted")
 def _(spark, d):
-    e, r = entered_and_returns(spark, d)
-    return rounded(eventstudy.cars(eventstudy.market_adjusted(e), r).select("ticker", "event_date", "CAR_t5"))
+    e, _, days = entered_and_days(spark, d)
+    return rounded(eventstudy.cars(eventstudy.market_adjusted(e), days).select("ticker", "event_date", "CAR_t5"))
 
 
 @query("candidate_pool", "pool", select="SELECT ticker, idx FROM pool")
@@ -459,23 +479,22 @@ def standard_errors(spark, d):
     return rounded(errors_of(c, null))
 
 
-def locked_path(spark: SparkSession, d: str) -> str:
-    """Where the T5 statistic of these tables is stored: under spark.spikeline.locked, else in the warehouse."""
-    base = spark.conf.get("spark.spikeline.locked", None) or spark.conf.get("spark.sql.warehouse.dir") + "/locked-statistics"
-    return f"{base.rstrip('/')}/{hashlib.md5(d.rstrip('/').encode()).hexdigest()}"
+def t5(c: DataFrame, name: str) -> DataFrame:
+    return c.agg(F.avg(F.col("direction") * F.col("CAR_t5")).alias(name))
 
 
-def fresh_statistic(spark: SparkSession, d: str) -> DataFrame:
-    """recomputed, locked and stale of the T5 statistic; raises if an earlier run stored another. The first run over the tables stores it."""
-    return against_stored(spark, d, cars(spark, d))
+def locked_statistic(spark: SparkSession, d: str) -> DataFrame | None:
+    """The stored T5 statistic of these tables (column locked), where spark.spikeline.locked names the table that holds it."""
+    path = spark.conf.get("spark.spikeline.locked", None)
+    return spark.read.schema("locked double").parquet(path) if path else None
 
 
-def against_stored(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
-    recomputed = written(c.agg(F.avg(F.col("direction") * F.col("CAR_t5")).alias("recomputed")), "statistic")
-    path = locked_path(spark, d)
-    if not exists(spark, path):
-        inference.lock(recomputed.withColumnRenamed("recomputed", "locked"), path)
-    return inference.against_locked(recomputed, spark.read.schema("locked double").parquet(path))
+def by_day(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(cars, the T5 statistic by the long way: every abnormal return of every event, added up)."""
+    e, r, days = entered_and_days(spark, d)
+    models = eventstudy.market_models(e, days)
+    five = eventstudy.abnormal(models, r).where("d <= 5").groupBy("ticker", "event_date").agg(F.when(F.count("ar") == 5, F.sum("ar")).alias("CAR_t5"))
+    return cars_of(e, days), t5(models.select("ticker", "event_date", "direction").join(five, ["ticker", "event_date"]), "by_day")
 
 
 Z = {0.5: 0.0, 0.8: 0.8416212335729143, 0.9: 1.2815515655446004, 0.95: 1.6448536269514722}  # quantiles of the normal distribution: fixed values
@@ -491,15 +510,24 @@ Z = {0.5: 0.0, 0.8: 0.8416212335729143, 0.9: 1.2815515655446004, 0.95: 1.6448536
 def _(spark, d):
     """Least detectable effects and achieved power of the empirical standard error: three scalars through the driver."""
     c, _, null = nulls(spark, d)
-    against_stored(spark, d, c)
+    if (locked := locked_statistic(spark, d)) is not None:
+        inference.require_current(t5(c, "recomputed"), locked)
     se = errors_of(c, null).first()["empirical_se"]
     rows = [("mde", x, normal.mde(se, x)) for x in (0.5, 0.8, 0.9)] + [("power", x, normal.achieved_power(x, se)) for x in (0.0, 0.005, 0.01)] if se else []
     return rounded(spark.createDataFrame(rows, "kind string, at double, value double"))
 
 
-@query("staleness_check", "cars", select="SELECT round(avg(direction * CAR_t5), 6) AS recomputed, round(avg(direction * CAR_t5), 6) AS locked, FALSE AS stale FROM cars")
+@query("staleness_check", "cars", "ars", select="""SELECT off, round(x, 6) AS recomputed, round(l + off, 6) AS locked, coalesce(abs(x - (l + off)) >= 1e-9, x IS NULL <> (l IS NULL)) AS stale FROM (SELECT avg(direction * CAR_t5) AS x FROM cars),
+    (SELECT avg(direction * c) AS l FROM models JOIN (SELECT ticker, event_date, CASE WHEN count(ar) = 5 THEN sum(ar) END AS c FROM ars WHERE d <= 5 GROUP BY ALL) USING (ticker, event_date)), (VALUES (0.0::DOUBLE), (1e-10), (1e-8), (-1e-8)) o(off)""")
 def _(spark, d):
-    return rounded(fresh_statistic(spark, d))
+    """The T5 statistic against the one by the long way, and against that moved by less and by more than the tolerance; where a
+    stored one is named, against that too: another value raises."""
+    c, long_way = by_day(spark, d)
+    recomputed = written(t5(c, "recomputed"), "statistic")
+    if (locked := locked_statistic(spark, d)) is not None:
+        inference.require_current(recomputed, locked)
+    moved = long_way.select(F.explode(F.array(*[F.lit(x) for x in (0.0, 1e-10, 1e-8, -1e-8)])).alias("off"), "by_day").select("off", (F.col("by_day") + F.col("off")).alias("locked"))
+    return inference.staleness(recomputed, moved).select("off", F.round("recomputed", 6).alias("recomputed"), F.round("locked", 6).alias("locked"), "stale")
 
 
 @query("tercile_reference", "reference", select="SELECT tercile_label, " + _round_sql("e1 e2 tercile_mean_car5") + ", tercile_n FROM reference")
@@ -511,10 +539,19 @@ SCORED = """SELECT e.ticker, event_date, t.tercile_label, round(tercile_mean_car
     (SELECT ev.*, CASE WHEN tone_z <= e1 THEN 'bottom' WHEN tone_z <= e2 THEN 'mid' ELSE 'top' END AS tercile_label FROM ev, edges) e LEFT JOIN reference t ON t.tercile_label = e.tercile_label"""
 
 
+def published(spark: SparkSession, d: str):
+    """(cars, the verdict, tercile reference, all events), written, after the guard: without a NULL verdict there are no scores."""
+    c, days, numbered, pool = study(spark, d)
+    null = null_of(days, numbered, pool)
+    verdict = written(inference.verdict(inference.p_values(null, observed_of(c, numbered))), "verdict")
+    scoring.guard(verdict)
+    return c, verdict, written(scoring.tercile_reference(c), "reference"), written(events(spark, d), "events")
+
+
 @query("calibration_attach", "ev", "reference", select=SCORED)
 def _(spark, d):
-    reference = written(scoring.tercile_reference(cars(spark, d)), "reference")  # three rows
-    out = scoring.claims_audit(scoring.calibrate(events(spark, d), reference))
+    c, _, terciles, now = published(spark, d)
+    out = scoring.claims_audit(scoring.calibrate(now, terciles))
     return rounded(out.select("ticker", "event_date", "tercile_label", "tercile_mean_car5", "tercile_n"))
 
 
@@ -556,12 +593,32 @@ def _(spark, d):
     return _events_out(incremental.new_events(now, now.where(F.col("event_date") < F.to_date(F.lit(CUT)))))
 
 
-@query("score_new_events", "ev", "reference", select=f"SELECT * FROM ({SCORED}) WHERE event_date >= DATE '{CUT}'")
-def _(spark, d):
-    now = events(spark, d)
+NEW_SCORES = f"""SELECT s.*, round(i.intensity_percentile, 6) AS intensity_percentile, n.novelty_days FROM ({SCORED}) s JOIN intensities i USING (ticker, event_date)
+    JOIN (SELECT ticker, event_date, CAST(date_diff('day', lag(event_date) OVER (PARTITION BY ticker ORDER BY event_date), event_date) AS INTEGER) AS novelty_days FROM ev) n USING (ticker, event_date) WHERE event_date >= DATE '{CUT}'"""
+
+
+def new_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(events since CUT, their scores)."""
+    _, verdict, terciles, now = published(spark, d)
     new = incremental.new_events(now, now.where(F.col("event_date") < F.to_date(F.lit(CUT))))
-    out = scoring.calibrate(new, written(scoring.tercile_reference(cars(spark, d)), "reference"))  # three rows
-    return rounded(out.select("ticker", "event_date", "tercile_label", "tercile_mean_car5", "tercile_n"))
+    return new, scoring.score(new, now, signals.spike_events(scored(spark, d), 2.0, 3.0), terciles, verdict)
+
+
+@query("score_new_events", "ev", "reference", "intensities", select=NEW_SCORES)
+def _(spark, d):
+    out = new_scores(spark, d)[1]
+    return rounded(out.select("ticker", "event_date", "tercile_label", "tercile_mean_car5", "tercile_n", "intensity_percentile", "novelty_days"))
+
+
+@query("scores_attached", "ev", "reference", "intensities", select=f"""SELECT e.ticker, e.event_date, round(e.vol_z, 6) AS vol_z, x.tercile_label, x.intensity_percentile, x.novelty_days FROM ev e
+    LEFT JOIN (SELECT * FROM ({NEW_SCORES}) WHERE length(ticker) > 8) x ON x.ticker = e.ticker AND x.event_date = e.event_date WHERE e.event_date >= DATE '{CUT}'""")
+def _(spark, d):
+    """New events beside a stored table of scores, by ticker and day; here it lacks the tickers with short names."""
+    new, scores = new_scores(spark, d)
+    path = new_path(spark, "scores")
+    swap_parquet(scores.where(F.length("ticker") > 8), path)
+    out = scoring.attach(new, spark.read.schema(scores.schema).parquet(path))
+    return rounded(out.select("ticker", "event_date", "vol_z", "tercile_label", "intensity_percentile", "novelty_days"))
 
 
 @query("feed_latest30", "ev", select=f"SELECT {EVENT} FROM ev ORDER BY event_date DESC, ticker LIMIT 30")
@@ -697,7 +754,8 @@ def _(spark, d):
 
 @query("beta_source_counts", "models", select="SELECT beta_source, count(*) AS n FROM models GROUP BY beta_source")
 def _(spark, d):
-    return eventstudy.market_models(*entered_and_returns(spark, d)).groupBy("beta_source").agg(F.count(F.lit(1)).alias("n"))
+    e, _, days = entered_and_days(spark, d)
+    return eventstudy.market_models(e, days).groupBy("beta_source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sector_list", select="SELECT string_agg(DISTINCT r_name, ', ' ORDER BY r_name) AS sectors FROM nation JOIN region ON n_regionkey = r_regionkey")
