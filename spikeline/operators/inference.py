@@ -70,7 +70,8 @@ def permuted(rows: DataFrame, seed: int = SEED) -> DataFrame:
     start = F.struct(F.col("_l").alias("l"), F.col("_r").alias("r"), F.lit(False).alias("done"))
     rounds = F.sequence(F.lit(0).cast("long"), MIXING * (F.col("_a") * F.col("_b") - F.col("m")))  # a cycle leaves the rest after so many at most
     walked = F.aggregate(rounds, start, step, lambda s: s["r"] * F.col("_a") + s["l"])
-    return out.select(*rows.columns, F.when(at < F.col("m"), at).otherwise(walked).alias("at"))
+    landed = F.coalesce(F.when(at < F.col("m"), at).otherwise(walked), F.lit(-1))  # never null, so that a join on it doesn't ask twice
+    return out.select(*rows.columns, landed.alias("at"))
 
 
 def draws(pool: DataFrame, numbered: DataFrame, permutations: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
@@ -85,6 +86,8 @@ def draws(pool: DataFrame, numbered: DataFrame, permutations: int = PERMUTATIONS
     enough = F.when(F.col("k") > F.coalesce("m", F.lit(0)), F.raise_error(F.concat(F.lit("fewer candidate days than events: "), "ticker"))).otherwise(F.col("k"))
     each = sizes.select("ticker", "m", enough.alias("k"), F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
     asked = each.select("perm", "ticker", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
+    # few rows, from which all draws grow: dealt out anew, so that every core hashes, and Spark sees how many they are
+    asked = asked.repartition(int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")), "perm")
     return permuted(asked, seed).join(days, ["ticker", "at"]).select("perm", "ticker", (F.col("j") + 1).cast("int").alias("slot"), "idx")
 
 

@@ -29,13 +29,11 @@ def with_range(df: DataFrame, key: str, rows: int = ROWS) -> DataFrame | None:
     """df with `_range`, a number that grows with the key (a number, date or time): about `rows` rows each; null keys are in
     the first. None where one range holds them all."""
     number = _number(key, dict(df.dtypes)[key])
-    at = F.array(*[F.lit(i / 1024) for i in range(1, 1024)])
-    n, found = df.agg(F.count(F.lit(1)), F.percentile_approx(number, at, 20_000)).first()
-    wanted = min(MOST_RANGES, -(-n // rows))
-    if wanted > 1024:
-        finer = F.array(*[F.lit(i / wanted) for i in range(1, wanted)])
-        found = df.agg(F.percentile_approx(number, finer, 4 * wanted)).first()[0]
-    cuts = np.unique([found[i * (len(found) + 1) // wanted - 1] for i in range(1, wanted)]) if found and wanted > 1 else np.zeros(0)
+    wanted = min(MOST_RANGES, -(-df.count() // rows))
+    if wanted < 2:
+        return None
+    shares = F.array(*[F.lit(i / wanted) for i in range(1, wanted)])
+    cuts = np.unique(df.agg(F.percentile_approx(number, shares, max(10_000, 4 * wanted))).first()[0] or [])
     if not len(cuts):
         return None
 
