@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 import tempfile
 import uuid
@@ -112,14 +114,29 @@ def distinct_texts(docs: DataFrame, least: int) -> DataFrame:
     return materialize(one.select("text", "doc_id", "h1", "h2", F.length("text").cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row")), "texts")
 
 
-CELLS = 8192  # counts that the driver sees at once
+CELLS = 1024  # counts of the first look at a range of keys, at least
+
+
+def numbers(values: list[int]) -> Column:
+    """A constant array: one literal, however many values it has."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def place(value: Column, starts: list[int]) -> Column:
+    """Number of the last of the ascending starts that is at most value, -1 where there is none: two looks at about
+    the root of their number each, in an expression that doesn't grow with them."""
+    step = max(1, math.isqrt(len(starts)))
+    group = F.size(F.filter(numbers(starts[::step]), lambda t: t <= value)) - 1
+    inside = F.slice(numbers(starts), F.greatest(group, F.lit(0)) * step + 1, F.lit(step))
+    return F.when(group < 0, F.lit(-1)).otherwise(group * step + F.size(F.filter(inside, lambda t: t <= value)) - 1)
 
 
 class Ranges:
     """Ranges of (key, tie) with about as much weight each, in the same places however rows are dealt out.
 
     key: an integer column, tie: a 64-bit number that parts rows of one key (null keys, or one that
-    many rows have). The driver sees CELLS sums a round for every cell of over two shares.
+    many rows have). Weights are summed in cells; all cells of over two shares are looked at again, finer, in one
+    job a round. The driver sees some four sums for every range that is wanted.
     """
 
     def __init__(self, df: DataFrame, key: str, tie: Column, n: int, weight: Column):
@@ -128,15 +145,15 @@ class Ranges:
         self.key, self.tie = key, tie
         share = max(1.0, (total or 0) / max(1, n))
         pieces = lambda w: max(1, min(n, round(w / share)))
-        done, todo = [], [] if lo is None else [(int(lo), int(hi))]
+        done, todo, least = [], [] if lo is None else [(int(lo), int(hi), total)], CELLS
         while todo:
-            a, b = todo.pop()
-            width = (b - a) // CELLS + 1
-            cell = F.expr(f"cast((cast({key} as decimal(20)) - {a}) div {width} as bigint)")
-            for c, w in df.where(F.col(key).between(a, b)).groupBy(cell.alias("c")).agg(F.sum(weight)).collect():
+            looked = [(a, b, (b - a) // max(least, 4 * pieces(w)) + 1) for a, b, w in sorted(todo)]
+            todo, least = [], 16
+            for i, c, w in self._sums(df, weight, looked):
+                a, b, width = looked[i]
                 first, last = a + c * width, min(b, a + (c + 1) * width - 1)
                 if w > 2 * share and width > 1:
-                    todo.append((first, last))
+                    todo.append((first, last, w))
                 else:
                     done.append((first, w, width == 1))
         #: where ranges start, and how many parts by tie the keys from there on have
@@ -151,24 +168,29 @@ class Ranges:
                 held = 0.0
             held += share if hot else w
         self.nulls = pieces(null) if null else 1
-        self.before = [self.nulls + sum(self.parts[:i]) for i in range(len(self.parts))]
+        self.before = [self.nulls + x for x in itertools.accumulate(self.parts, initial=0)][:-1]
         self.count = self.nulls + sum(self.parts)
 
-    def _part(self, n: int) -> Column:
+    def _sums(self, df: DataFrame, weight: Column, looked: list[tuple[int, int, int]]) -> list:
+        """(number, cell, weight) of the cells of the ranges looked at: first key, last key, a cell's width."""
+        at = lambda i: F.element_at(numbers([x[i] for x in looked]), F.col("_i") + 1)
+        rows = df.where(F.col(self.key).isNotNull()).select(F.col(self.key).cast("long").alias("_k"), weight.alias("_w"))
+        rows = rows.withColumn("_i", place(F.col("_k"), [x[0] for x in looked])).where("_i >= 0").withColumns({"_a": at(0), "_b": at(1), "_width": at(2)}).where("_k <= _b")
+        cell = F.expr("cast((cast(_k as decimal(20)) - cast(_a as decimal(20))) div cast(_width as decimal(20)) as bigint)")
+        return rows.groupBy("_i", cell.alias("_c")).agg(F.sum("_w")).collect()
+
+    def _part(self, n: Column) -> Column:
         """A number below n, in the order of tie."""
-        return F.floor((self.tie / 2.0**64 + 0.5) * n).cast("int") if n > 1 else F.lit(0)
+        return F.least(F.floor((self.tie / 2.0**64 + 0.5) * n), n - 1).cast("int")
 
     def number(self) -> Column:
-        """The range a row is in: a balanced tree of comparisons. Null keys come first."""
-
-        def tree(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return F.lit(self.before[lo]) + F.least(self._part(self.parts[lo]), F.lit(self.parts[lo] - 1))
-            mid = (lo + hi + 1) // 2
-            return F.when(F.col(self.key) >= F.lit(self.starts[mid]), tree(mid, hi)).otherwise(tree(lo, mid - 1))
-
-        null = F.least(self._part(self.nulls), F.lit(self.nulls - 1))
-        return (F.when(F.col(self.key).isNull(), null).otherwise(tree(0, len(self.starts) - 1)) if self.starts else null).cast("int")
+        """The range a row is in. Null keys come first."""
+        null = self._part(F.lit(self.nulls))
+        if not self.starts:
+            return null
+        at = F.greatest(place(F.col(self.key), self.starts), F.lit(0)) + 1
+        found = F.element_at(numbers(self.before), at) + self._part(F.element_at(numbers(self.parts), at))
+        return F.when(F.col(self.key).isNull(), null).otherwise(found).cast("int")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -21,6 +21,9 @@ from .common import discard, materialize, partitions
 CONTEXTS = 20_000  # that are solved at once, at least; a key's contexts stay together, HEAVY at most
 HEAVY = 4096  # occurrences of a key, contexts of a string: with more, they aren't brought to one task
 NEVER = (1 << 63) - 1  # no document is less
+BROADCAST = 50_000  # rows that go to every task at most; more are joined
+SALTS = 32  # parts of a key where they are joined
+CODE = ["key", "code", "more"]  # a context: its key and 128 bits of its payload
 MOST = 48  # strings in a context
 
 
@@ -37,7 +40,7 @@ def _answers(solve: Callable[[np.ndarray, list, np.ndarray], list[list[int]]]):
             for i, x in zip(many.tolist(), found):
                 firsts[i] = x if len({*x}) > 1 else x[:1]
         some = np.array([min(x) < y for x, y in zip(firsts, last.tolist())], bool)  # else no document loses by it
-        out = pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), t.column("code").combine_chunks(), pa.array(firsts, pa.list_(pa.int64()))], names=["key", "code", "firsts"])
+        out = pa.RecordBatch.from_arrays([*(t.column(x).combine_chunks() for x in CODE), pa.array(firsts, pa.list_(pa.int64()))], names=[*CODE, "firsts"])
         return out.filter(pa.array(some))
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,19 +63,30 @@ def _answers(solve: Callable[[np.ndarray, list, np.ndarray], list[list[int]]]):
     return answered
 
 
+def _met(rows: DataFrame, few: DataFrame, keys: list[str], how: str, n: int) -> DataFrame:
+    """rows joined with the n rows of `few`, unique by keys, each of which many rows may have: broadcast while n is
+    small, and beyond that joined in SALTS parts a key, each row in one of them."""
+    if n <= BROADCAST:
+        return rows.join(F.broadcast(few), keys, how)
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return spread.join(salted.hint("merge"), [*keys, "salt"], how).drop("salt")
+
+
 def _by_string(contexts: DataFrame, strings: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """key, code and firsts of the contexts (key, code, payload, first, last) of heavy keys; the written table that this reads.
+    """key, codes and firsts of the contexts (key, code, more, payload, first, last) of heavy keys; the written table that this reads.
 
-    Strings are counted on the map side before they meet. Those in more than HEAVY contexts,
-    of which there can't be many, are broadcast to their contexts; the others are joined."""
-    single = contexts.select("key", "code", "last", F.posexplode(strings(F.col("payload"))).alias("i", "string"), "first")
+    Strings are counted on the map side before they meet. Those in more than HEAVY contexts
+    go to their contexts by _met(); the others are joined."""
+    single = contexts.select(*CODE, "last", F.posexplode(strings(F.col("payload"))).alias("i", "string"), "first")
     seen = single.groupBy("key", "string").agg(F.min("first").alias("least"), F.max("last").alias("most"), F.count(F.lit(1)).alias("n"))
     known = materialize(seen.where("least < most").select("key", "string", "least", "n"), "strings")
-    hot = F.broadcast(known.where(F.col("n") > HEAVY).drop("n"))
+    hot = known.where(F.col("n") > HEAVY).drop("n")
+    n = hot.count()
     single = single.drop("first")
-    met = single.join(hot, ["key", "string"]).unionByName(single.join(hot, ["key", "string"], "left_anti").join(known.where(F.col("n") <= HEAVY).drop("n").hint("merge"), ["key", "string"], "left"))
-    every = met.groupBy("key", "code").agg(F.max("last").alias("last"), F.array_sort(F.collect_list(F.struct("i", F.coalesce("least", F.lit(NEVER)).alias("least")))).alias("found"))
-    return every.select("key", "code", F.col("found.least").alias("firsts"), "last").where(F.exists("firsts", lambda x: x < F.col("last"))).drop("last"), known
+    met = _met(single, hot, ["key", "string"], "inner", n).unionByName(_met(single, hot.drop("least"), ["key", "string"], "left_anti", n).join(known.where(F.col("n") <= HEAVY).drop("n").hint("merge"), ["key", "string"], "left"))
+    every = met.groupBy(*CODE).agg(F.max("last").alias("last"), F.array_sort(F.collect_list(F.struct("i", F.coalesce("least", F.lit(NEVER)).alias("least")))).alias("found"))
+    return every.select(*CODE, F.col("found.least").alias("firsts"), "last").where(F.exists("firsts", lambda x: x < F.col("last"))).drop("last"), known
 
 
 def losses(found: DataFrame, payload: str, size, strings: Callable[[Column], Column], solve: Callable[[np.ndarray, list, np.ndarray], list[list[int]]]) -> DataFrame:
@@ -81,26 +95,26 @@ def losses(found: DataFrame, payload: str, size, strings: Callable[[Column], Col
 
     found: key, payload, doc_id, row (a text's number), at, of a table that materialize() wrote; it is deleted. size: how many strings a payload
     holds, MOST at most. strings: a payload's strings as an array. solve: from keys, payloads and first documents, each string's first."""
-    coded = found.withColumn("code", F.xxhash64(payload))
+    coded = found.withColumns({"code": F.xxhash64(payload), "more": F.xxhash64(F.lit(7), payload)})
     heavy = materialize(found.groupBy("key").count().where(F.col("count") > HEAVY).select("key"), "heavy")
     written = [found, heavy]
-    some = not heavy.isEmpty()
+    n_heavy = heavy.count()
 
     def distinct(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key", "code", "payload").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        return rows.groupBy(*CODE, "payload").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
-    coded_payload = coded.select("key", "code", F.col(payload).alias("payload"), "doc_id")
-    light = coded_payload.join(F.broadcast(heavy), "key", "left_anti") if some else coded_payload
+    coded_payload = coded.select(*CODE, F.col(payload).alias("payload"), "doc_id")
+    light = _met(coded_payload, heavy, ["key"], "left_anti", n_heavy) if n_heavy else coded_payload
     # dealt once, by key: a key has HEAVY contexts at most here, so that those equal needn't meet before
     ordered = distinct(light.repartition(partitions(found), "key")).sortWithinPartitions("key", "code")
-    firsts = ordered.mapInArrow(_answers(solve), "key long, code long, firsts array<long>")
-    if some:
-        contexts = materialize(distinct(coded_payload.join(F.broadcast(heavy), "key", "left_semi")), "heavy-contexts")
+    firsts = ordered.mapInArrow(_answers(solve), "key long, code long, more long, firsts array<long>")
+    if n_heavy:
+        contexts = materialize(distinct(_met(coded_payload, heavy, ["key"], "left_semi", n_heavy)), "heavy-contexts")
         split, known = _by_string(contexts, strings)
         written += [contexts, known]
         firsts = firsts.unionByName(split)
     firsts = materialize(firsts, "firsts")
-    joined = coded.select("key", "code", "doc_id", "row", "at", size.cast("int").alias("n")).join(firsts.hint("merge"), ["key", "code"])
+    joined = coded.select(*CODE, "doc_id", "row", "at", size.cast("int").alias("n")).join(firsts.hint("merge"), CODE)
     one = F.lit(1).cast("long")
     none = F.lit(0).cast("long")
     bits = F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.call_function("shiftleft", one, i)).otherwise(none))

@@ -109,12 +109,15 @@ def _bounded(solve, most):
     return checked
 
 
-def test_keys_with_many_contexts_are_split(spark, monkeypatch):
-    """A passage with other text around it in each document: one key, a context a document."""
-    monkeypatch.setattr(groups, "HEAVY", 20, raising=False)
+@pytest.mark.parametrize("heavy, broadcast", [(20, groups.BROADCAST), (2, 0)])
+def test_keys_with_many_contexts_are_split(spark, monkeypatch, heavy, broadcast):
+    """A passage with other text around it in each document: one key, a context a document. Also where nearly all
+    keys are heavy and too many to broadcast."""
+    monkeypatch.setattr(groups, "HEAVY", heavy)
+    monkeypatch.setattr(groups, "BROADCAST", broadcast)
     solve, solved = substring._solve, suffixes._solved
-    monkeypatch.setattr(substring, "_solve", _bounded(solve, 20))
-    monkeypatch.setattr(suffixes, "_solved", lambda length: _bounded(solved(length), 20))
+    monkeypatch.setattr(substring, "_solve", _bounded(solve, heavy))
+    monkeypatch.setattr(suffixes, "_solved", lambda length: _bounded(solved(length), heavy))
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
     prose = lambda k: " ".join(word() for _ in range(k))

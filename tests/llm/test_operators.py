@@ -238,6 +238,25 @@ def test_ranges_part_nulls_and_hot_keys(spark):
     assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
 
 
+def test_many_ranges_take_few_jobs_and_a_small_plan(spark):
+    """20,000 ranges, over even keys and over keys that crowd together: a job a round, no code that grows with them."""
+    import time
+
+    for key, rounds in (("id", 1), ("cast(pow(id, 3) as bigint) % 1000000007 * if(id % 2 = 0, 1, 9000000)", 4)):
+        docs = spark.range(100_000).select(F.expr(key).alias("k"))
+        spark.sparkContext.setJobGroup(f"ranges-{rounds}", "")
+        ranges = common.Ranges(docs, "k", F.xxhash64("k"), 20_000, F.lit(1))
+        began = time.time()
+        part = docs.select("k", ranges.number().alias("part"))
+        part._jdf.queryExecution().executedPlan()
+        assert time.time() - began < 2
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"ranges-{rounds}")) <= 2 * (1 + rounds)
+        got = part.groupBy("part").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+        assert len(got) > 9000 and max(r["n"] for r in got) <= 20
+        assert all(x["b"] < y["a"] for x, y in zip(got, got[1:]))
+    spark.sparkContext.setJobGroup("", "")
+
+
 def test_fingerprints_of_many_unnamed_and_repeated_ids(spark):
     """Every row has the one after it as next, whatever its range."""
     r = np.random.default_rng(3)
