@@ -33,6 +33,24 @@ def price_integrity(prices: DataFrame, symbols: DataFrame, benchmark: str, slack
     return joined.select("ticker", F.coalesce("rows", F.lit(0)).alias("rows"), "first_date", "last_date", F.round("missing", 4).alias("missing_pct"), F.coalesce("nonpositive_close", F.lit(0)).alias("nonpositive_close"), F.coalesce("extreme_moves", F.lit(0)).alias("extreme_moves"), status.alias("status"))
 
 
+def level_breaks(stored: DataFrame, fetched: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """Per ticker with days in both: days, first_day, ratio (median of fetched / stored close), spread (median distance from it),
+    jump (log of the last stored close before the overlap to the first fetched one) and verdict.
+
+    Adjusted prices move as a whole: after a split or dividend the fetched days stand at another level than those stored before, and
+    an upsert leaves a break at the first fetched day. One ratio for all of them, away from 1, says so (BREAK);
+    ratios of which half or more differ say that the days themselves were revised (REVISED). The overlap is the days fetched again, some
+    ten a ticker."""
+    key = ["ticker", "date"]
+    known = lambda df, name: df.where(F.col("close") > 0).select(*key, F.col("close").alias(name))
+    both = known(stored, "before").join(known(fetched, "after"), key).withColumn("r", F.col("after") / F.col("before"))
+    middle = both.groupBy("ticker").agg(F.count(F.lit(1)).alias("days"), F.min("date").alias("first_day"), F.median("r").alias("ratio"), F.min_by("after", "date").alias("opens"), F.collect_list("r").alias("rs"))
+    spread = middle.select("ticker", "days", "first_day", "ratio", "opens", F.explode("rs").alias("r")).groupBy("ticker", "days", "first_day", "ratio", "opens").agg(F.median(F.abs(F.col("r") - F.col("ratio"))).alias("spread"))
+    last = known(stored, "close").join(middle.select("ticker", "first_day"), "ticker").where("date < first_day").groupBy("ticker").agg(F.max_by("close", "date").alias("closes"))
+    verdict = F.when(F.col("spread") > tolerance, "REVISED").when(F.abs(F.col("ratio") - 1) > tolerance, "BREAK").otherwise("SAME")
+    return spread.join(last, "ticker", "left").select("ticker", "days", "first_day", "ratio", "spread", F.ln(F.col("opens") / F.col("closes")).alias("jump"), verdict.alias("verdict"))
+
+
 def sound_prices(prices: DataFrame, benchmark: str) -> DataFrame:
     """The prices of symbols whose integrity status is OK."""
     report = price_integrity(prices, prices.select("ticker").distinct(), benchmark)

@@ -86,6 +86,22 @@ def gated_events(scored: DataFrame, gate: int = 150, strict: tuple = (3.0, 5.0),
     return found.crossJoin(F.broadcast(few)).where(F.when(F.col("_few"), F.col("_loose")).otherwise(F.col("_strict"))).select(*_event_columns())  # one row
 
 
+def joined_series(vol: DataFrame, tone: DataFrame) -> DataFrame:
+    """ticker, date, v, tone of the days that both series (ticker, date, value) have: a day that one lacks is left out, so that its
+    neighbours follow each other in windows over rows."""
+    key = ["ticker", "date"]
+    return vol.select(*key, F.col("value").alias("v")).join(tone.select(*key, F.col("value").alias("tone")), key)
+
+
+ARTICLES = "articles array<struct<title:string,url:string,seendate:string>>"
+
+
+def parse_articles(documents: DataFrame, column: str = "document") -> DataFrame:
+    """Columns beside `column`, and articles, in the document's order: null where it is broken or has no list of them."""
+    others = [c for c in documents.columns if c != column]
+    return documents.select(*others, F.from_json(column, ARTICLES)["articles"].alias("articles"))
+
+
 def top_spikes(events: DataFrame, n: int = 20) -> DataFrame:
     return events.orderBy(F.abs("vol_z").desc(), "ticker", "event_date").limit(n)
 

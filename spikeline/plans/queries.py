@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal
-from ..functions.text import alert_message, query_string
+from ..functions.text import alert_message, counted, query_string, signed_percent
 from ..operators import audits, eventstudy, incremental, inference, scoring, signals
-from ..sources import tables
+from ..sources import staged, store, tables
 from ..sources.written import load_or_bootstrap, new_path, swap_parquet, write_csv, write_json, write_raw, written
-from ..streaming import daily
+from ..streaming import daily, outbox, spikes
+from . import live
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -279,8 +280,8 @@ def _(spark, d):
     top = signals.top_spikes(events(spark, d))
     k = F.expr(ARTICLES)
     story = lambda i: F.struct(F.when(i == 1, None).otherwise(F.concat(F.lit("story "), i.cast("string"))).alias("title"), F.concat(F.lit("https://example.org/"), "ticker", F.lit("/"), i.cast("string")).alias("url"), F.col("event_date").cast("string").alias("seendate"))
-    articles = top.where(k > 0).select("ticker", "event_date", F.transform(F.sequence(F.lit(1), k), story).alias("articles"))
-    return rounded(signals.with_headlines(top, articles))
+    sent = top.where(k > 0).select("ticker", "event_date", F.to_json(F.struct(F.transform(F.sequence(F.lit(1), k), story).alias("articles"))).alias("document"))
+    return rounded(signals.with_headlines(top, signals.parse_articles(sent)))
 
 
 @query("timeline_daily_sum", "points", select="SELECT ticker, CAST(ts AS DATE) AS date, sum(vol) AS value FROM points GROUP BY ALL")
@@ -691,6 +692,15 @@ def _(spark, d):
 PART = "least((day(date) - 1) // 10, 2)"
 
 
+def parts_of_months(spark: SparkSession, d: str) -> DataFrame:
+    """A document for each ticker and third of a month, as years would have them; one is missing for tickers of five letters."""
+    day = F.to_date("ts")
+    part = F.least(F.floor((F.day(day) - 1) / 10), F.lit(2)).cast("int")
+    stamp = F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")
+    series = tables.timeline_points(spark, d).groupBy("ticker", part.alias("year")).agg(F.sort_array(F.collect_list(F.struct(stamp.alias("date"), F.col("tone").alias("value")))).alias("data"))
+    return series.where(~((F.length("ticker") == 5) & (F.col("year") == 2))).select("ticker", "year", F.to_json(F.struct(F.array(F.struct(F.lit("tone").alias("series"), "data")).alias("timeline"))).alias("document"))
+
+
 @query(
     "timeline_strict_years",
     "points",
@@ -698,13 +708,20 @@ PART = "least((day(date) - 1) // 10, 2)"
     WHERE ticker IN (SELECT ticker FROM (SELECT ticker, CAST(ts AS DATE) AS date FROM points) WHERE NOT (length(ticker) = 5 AND {PART} = 2) GROUP BY ticker HAVING count(DISTINCT {PART}) = 3) GROUP BY ALL""",
 )
 def _(spark, d):
-    """A document for each ticker and third of a month; tickers that lack one (here those of five letters) are left out whole."""
-    day = F.to_date("ts")
-    part = F.least(F.floor((F.day(day) - 1) / 10), F.lit(2)).cast("int")
-    stamp = F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")
-    series = tables.timeline_points(spark, d).groupBy("ticker", part.alias("year")).agg(F.sort_array(F.collect_list(F.struct(stamp.alias("date"), F.col("tone").alias("value")))).alias("data"))
-    sent = series.where(~((F.length("ticker") == 5) & (F.col("year") == 2))).select("ticker", "year", F.to_json(F.struct(F.array(F.struct(F.lit("tone").alias("series"), "data")).alias("timeline"))).alias("document"))
-    return rounded(rounded(signals.strict_timelines(sent, [0, 1, 2]), 10))
+    """Tickers that lack a document for one of the thirds of a month (here those of five letters) are left out whole."""
+    path = new_path(spark, "staged")
+    write_raw(parts_of_months(spark, d), path)
+    return rounded(rounded(signals.strict_timelines(staged.staged_timelines(spark, path, [0, 1, 2]), [0, 1, 2]), 10))
+
+
+@query("timeline_missing_years", "points", select=f"""SELECT ticker, string_agg(part, ',' ORDER BY part) AS missing FROM (SELECT DISTINCT event_type AS ticker FROM events) CROSS JOIN (VALUES (0), (1), (2), (3)) p(part)
+    WHERE part = 3 OR length(ticker) = 5 AND part = 2 OR NOT EXISTS (SELECT 1 FROM (SELECT ticker AS t, {PART} AS q FROM (SELECT ticker, CAST(ts AS DATE) AS date FROM points)) WHERE t = ticker AND q = part) GROUP BY ticker""")
+def _(spark, d):
+    """What a load has to fetch: of the thirds of a month as above and a year that nobody has."""
+    path = new_path(spark, "staged")
+    write_raw(parts_of_months(spark, d), path)
+    out = staged.missing_years(staged.staged_timelines(spark, path, [0, 1, 2, 3]))
+    return out.select("ticker", F.array_join(F.transform("missing", lambda y: y.cast("string")), ",").alias("missing"))
 
 
 @query("csv_roundtrip", "obs", select="SELECT ticker, date, v, round(tone, 4) AS tone FROM obs")
@@ -725,8 +742,8 @@ def _(spark, d):
 def _(spark, d):
     """Raw documents are stored as they came; the daily series is made from what is stored."""
     path = new_path(spark, "raw")
-    write_raw(documents(spark, d, "vol"), path)
-    return signals.daily(signals.parse_timeline(spark.read.text(path).select("ticker", F.col("value").alias("document"))), "vol")
+    write_raw(documents(spark, d, "vol").select("ticker", F.lit(2024).alias("year"), "document"), path)
+    return signals.daily(signals.parse_timeline(staged.staged_timelines(spark, path, [2024]).drop("year")), "vol")
 
 
 @query("store_swap_upsert", "obs", select=f"SELECT ticker, date, CASE WHEN date >= DATE '{CUT}' THEN v + 1 ELSE v END AS v FROM obs")
@@ -765,10 +782,8 @@ def _(spark, d):
 
 @query("prices_wide_to_long", "prices", select=f"SELECT ticker, date, {CLOSE} FROM prices WHERE close IS NOT NULL")
 def _(spark, d):
-    """The panel as a download has it, a column a symbol, and back."""
-    closes = panel(spark, d)
-    symbols = sorted(r[0] for r in closes.select("ticker").distinct().collect())  # the columns of the wide table
-    return _close(tables.wide_to_long(closes.groupBy("date").pivot("ticker", symbols).agg(F.first("close")), symbols))
+    """The panel as downloads have it, a day of a batch of symbols a row, and back."""
+    return _close(tables.maps_to_long(tables.wide_by_day(panel(spark, d))))
 
 
 @query(
@@ -794,3 +809,108 @@ SOURCES = ("orders", "lineitem", "events", "absent")
 @query("source_probe", select="SELECT * FROM (VALUES ('orders', (SELECT count(*) > 0 FROM orders)), ('lineitem', (SELECT count(*) > 0 FROM lineitem)), ('events', (SELECT count(*) > 0 FROM events)), ('absent', FALSE)) t(source, ok)")
 def _(spark, d):
     return tables.probe(spark, d, list(SOURCES))
+
+
+@query(
+    "timeline_join",
+    "points",
+    select="""SELECT ticker, date, v, round(tone, 6) AS tone, CAST(date_diff('day', lag(date) OVER w, date) AS INTEGER) AS days_before, round(v - avg(v) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS above
+    FROM (SELECT ticker, CAST(ts AS DATE) AS date, sum(vol) AS v, round(avg(tone), 10) AS tone FROM points GROUP BY ALL) WHERE day(date) % 7 <> 3 AND day(date) % 5 <> 1 WINDOW w AS (PARTITION BY ticker ORDER BY date)""",
+)
+def _(spark, d):
+    """Volume and tone, of which each lacks some days, by day: rows on both sides of a missing day are neighbours."""
+    points = tables.timeline_points(spark, d).withColumn("date", F.to_date("ts"))
+    vol = signals.daily(points.select("ticker", "date", F.col("vol").alias("value")), "vol").where(F.day("date") % 7 != 3)
+    tone = signals.daily(points.select("ticker", "date", F.col("tone").alias("value")), "tone").where(F.day("date") % 5 != 1)
+    order = Window.partitionBy("ticker").orderBy("date")
+    both = signals.joined_series(vol, tone)
+    return both.select("ticker", "date", "v", F.round(F.round("tone", 10), 6).alias("tone"), F.datediff("date", F.lag("date").over(order)).alias("days_before"), F.round(F.col("v") - F.avg("v").over(order.rowsBetween(-3, -1)), 6).alias("above"))
+
+
+@query("store_by_month", "obs", select=f"SELECT ticker, date, CASE WHEN date >= DATE '{CUT}' AND date < DATE '{CUT}' + 40 THEN v + 1 ELSE v END AS v FROM obs")
+def _(spark, d):
+    """A store by month that gets late rows of two of its months; the others stay the files they were."""
+    path = new_path(spark, "store")
+    obs = written(tables.obs_daily(spark, d).select("ticker", "date", "v"), "obs")
+    cut = F.to_date(F.lit(CUT))
+    store.write_version(obs, path, 0)
+    store.write_version(obs.where((F.col("date") >= cut) & (F.col("date") < F.date_add(cut, 40))).withColumn("v", F.col("v") + 1), path, 1)
+    return store.read_store(spark, path)
+
+
+@query("stream_spike_events", "strict_events", select=f"SELECT {EVENT} FROM strict_events")
+def _(spark, d):
+    """The daily series as a stream, its years one after the other; events come from each ticker's state."""
+    path = new_path(spark, "days")
+    obs = written(tables.obs_daily(spark, d), "obs")
+    years = sorted(r[0] for r in obs.select(F.year("date")).distinct().collect())
+    for y in years:
+        obs.where(F.year("date") == y).coalesce(1).write.mode("append").parquet(path)
+    out = new_path(spark, "events")
+    days = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    spikes.stream_spike_events(days).writeStream.format("parquet").option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).start(out).awaitTermination()
+    return _events_out(spark.read.schema(spikes.EVENTS).parquet(out))
+
+
+@query(
+    "price_level_breaks",
+    "prices",
+    select=f"""SELECT ticker, days, first_day, round(ratio, 6) AS ratio, round(spread, 6) AS spread, round(ln(opens / closes), 6) AS jump, CASE WHEN spread > 0.005 THEN 'REVISED' WHEN abs(ratio - 1) > 0.005 THEN 'BREAK' ELSE 'SAME' END AS verdict
+    FROM (SELECT ticker, count(*) AS days, min(date) AS first_day, max(ratio) AS ratio, median(abs(r - ratio)) AS spread, arg_min(after, date) AS opens FROM
+        (SELECT *, median(r) OVER (PARTITION BY ticker) AS ratio FROM (SELECT ticker, date, close * f AS after, f AS r FROM
+            (SELECT ticker, date, close, CASE WHEN ticker = 'FURNITURE' THEN 0.5 WHEN ticker = 'MACHINERY' THEN 1 + 0.05 * (day(date) % 3) ELSE 1.0 END::DOUBLE AS f FROM prices WHERE date >= DATE '{CUT}' - 10 AND date < DATE '{CUT}'))) GROUP BY ticker)
+    LEFT JOIN (SELECT ticker, arg_max(close, date) AS closes FROM prices WHERE date < DATE '{CUT}' - 10 GROUP BY ticker) USING (ticker)""",
+)
+def _(spark, d):
+    """Ten days fetched again, with a split in one segment and revised days in another."""
+    closes = panel(spark, d)
+    cut = F.to_date(F.lit(CUT))
+    factor = F.when(F.col("ticker") == "FURNITURE", 0.5).when(F.col("ticker") == "MACHINERY", 1 + 0.05 * (F.day("date") % 3)).otherwise(1.0)
+    fetched = closes.where(F.col("date") >= F.date_sub(cut, 10)).withColumn("close", F.col("close") * factor)
+    return rounded(audits.level_breaks(closes.where(F.col("date") < cut), fetched))
+
+
+@query("alert_outbox", "ev", "intensities", select="SELECT ticker, event_date, count(*) AS n_sent FROM ev JOIN intensities USING (ticker, event_date) GROUP BY ALL")
+def _(spark, d):
+    """Messages of two versions that share events, the second put down twice: each is sent once while all goes well."""
+    box, sent = new_path(spark, "outbox"), new_path(spark, "sent")
+    joined = events(spark, d).join(intensities(spark, d), ["ticker", "event_date"])
+    rows = written(joined.select("ticker", "event_date", alert_message().alias("message")), "messages")
+    send = lambda batch: batch.write.mode("append").parquet(sent)
+    outbox.enqueue(rows.where(F.day("event_date") < 20), box, 0)
+    outbox.deliver(spark, box, send)
+    for _ in range(2):
+        outbox.enqueue(rows.where(F.day("event_date") > 10), box, 1)
+        outbox.deliver(spark, box, send)
+    return spark.read.schema("ticker string, event_date date, message string, id string").parquet(sent).groupBy("ticker", "event_date").agg(F.count(F.lit(1)).alias("n_sent"))
+
+
+@query("site_feed", "ev", select=f"SELECT {EVENT} FROM ev ORDER BY event_date DESC, ticker LIMIT 30")
+def _(spark, d):
+    """The feed of a site whose store is fresh on the day after its last; a stale one raises."""
+    obs = written(tables.obs_daily(spark, d), "obs")
+    today = obs.agg((F.max("date") + F.expr("INTERVAL 1 DAY")).cast("date")).first()[0]
+    incremental.require_fresh(obs, str(today))
+    return _events_out(incremental.latest(signals.gated_events(signals.with_zscores(obs))))
+
+
+@query("ticker_lines", "cars", select="""SELECT ticker, format('{:,}', n) || CASE WHEN n = 1 THEN ' event' ELSE ' events' END AS events, printf('%+.2f%%', 100 * x) AS mean_car FROM (SELECT ticker, count(*) AS n, avg(CAR_t5) AS x FROM cars GROUP BY ticker) WHERE x IS NOT NULL""")
+def _(spark, d):
+    """The line of a ticker's page: how many events, and their mean return as a percentage."""
+    per = cars(spark, d).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.avg("CAR_t5").alias("x")).where("x IS NOT NULL")
+    return per.select("ticker", counted("n", "event").alias("events"), signed_percent("x").alias("mean_car"))
+
+
+@query("daily_run", "ev", "reference", "intensities", select=NEW_SCORES)
+def _(spark, d):
+    """A store that ends before CUT, brought up to date by one run with a backfill date: the scores of the events it finds."""
+    _, verdict, terciles, _ = published(spark, d)
+    obs = written(tables.obs_daily(spark, d), "obs")
+    home = new_path(spark, "home")
+    last = str(obs.agg(F.max("date")).first()[0])
+    cut = F.to_date(F.lit(CUT))
+    store.write_version(obs.where(F.col("date") < cut), f"{home}/days", 0)
+    swap_parquet(events(spark, d).where(F.col("event_date") < cut).select("ticker", "event_date"), f"{home}/known")
+    live.run_day(spark, home, obs, last, verdict, terciles, backfill=CUT, send=lambda batch: batch.write.mode("append").parquet(f"{home}/sent"))
+    out = spark.read.parquet(f"{home}/scores")
+    return rounded(out.select("ticker", "event_date", "tercile_label", "tercile_mean_car5", "tercile_n", "intensity_percentile", "novelty_days"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,18 @@ def price_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("ticker", "date", F.try_divide("s", F.col("n").cast("double")).alias("close"))
 
 
+def wide_by_day(closes: DataFrame, batches: int = 8) -> DataFrame:
+    """date, batch and prices, a map of symbol to close: what bulk downloads of a batch of symbols each bring. Symbols are dealt by
+    hash, so that a row holds one day of one batch, however many symbols there are."""
+    batch = F.pmod(F.xxhash64("ticker"), F.lit(batches)).cast("int").alias("batch")
+    return closes.groupBy("date", batch).agg(F.map_from_entries(F.collect_list(F.struct("ticker", "close"))).alias("prices"))
+
+
+def maps_to_long(wide: DataFrame) -> DataFrame:
+    """ticker, date, close of rows with a map of closes by symbol; unknown ones left out."""
+    return wide.select("date", F.explode("prices").alias("ticker", "close")).where(F.col("close").isNotNull() & ~F.isnan("close")).select("ticker", "date", "close")
+
+
 def wide_to_long(wide: DataFrame, symbols: list[str]) -> DataFrame:
     """ticker, date, close of a table with a day a row and a column of closes for each symbol; unknown ones left out."""
     return wide.unpivot(["date"], symbols, "ticker", "close").where(F.col("close").isNotNull() & ~F.isnan("close")).select("ticker", "date", "close")
@@ -74,7 +87,9 @@ def probe(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     def readable(name: str) -> bool:
         try:
             return not table(spark, sf_dir, name).isEmpty()
-        except Exception:  # whatever the source says
+        except AnalysisException as e:  # anything else, such as a lost cluster, is an error
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return False
 
     return spark.createDataFrame([(x, readable(x)) for x in names], "source string, ok boolean")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +29,34 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once: written as Parquet and read again by all that follows."""
-    path = new_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What written() writes inside is deleted at the end: results have to be collected or stored before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what written() wrote, once nothing reads it any more."""
+    for df in tables:
+        remove(df.sparkSession, df._written_at)
 
 
 def _files(spark: SparkSession, path: str):
@@ -44,6 +70,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def exists_folder(spark: SparkSession, path: str) -> bool:
+    files, at = _files(spark, path)
+    return files.exists(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, at = _files(spark, path)
     files.delete(at, True)
@@ -52,7 +83,8 @@ def remove(spark: SparkSession, path: str) -> None:
 def swap_parquet(df: DataFrame, path: str) -> None:
     """Replaces the Parquet table at path by df, which may read it: written beside it, then put in its place by two renames."""
     spark = df.sparkSession
-    staged, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    parent, _, name = path.rpartition("/")
+    staged, old = (f"{parent}/.{name}.{what}-{uuid.uuid4().hex}" for what in ("staged", "old"))  # hidden from readers of the parent
     df.write.parquet(staged)
     files, at = _files(spark, path)
     to = spark._jvm.org.apache.hadoop.fs.Path

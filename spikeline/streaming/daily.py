@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.incremental import new_events, upsert
-from ..sources.written import exists, remove, swap_parquet
+from ..operators.incremental import new_events
+from ..sources.store import read_store, versions, write_version
+from ..sources.written import exists, swap_parquet
 
 
 def daily_rollup(points: DataFrame, late: str = "1 day") -> DataFrame:
@@ -22,14 +23,9 @@ def daily_rollup(points: DataFrame, late: str = "1 day") -> DataFrame:
     return days.agg(F.sum("vol").alias("v"), F.avg("tone").alias("tone")).select("ticker", F.to_date("w.start").alias("date"), "v", "tone")
 
 
-def _versions(spark: SparkSession, store: str) -> list[int]:
-    files = spark._jvm.org.apache.hadoop.fs.Path(store)
-    found = files.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/version=*/_SUCCESS"))
-    return sorted(int(x.getPath().getParent().getName().partition("=")[2]) for x in found or [])
-
-
 def upsert_stream(stream: DataFrame, store: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, keys: tuple[str, ...] = ("ticker", "date"), sequence: str | None = None, kept: int = 2) -> StreamingQuery:
-    """Upserts rows into versions of a Parquet store, one folder for each batch; `then` sees the whole store.
+    """Upserts rows into versions of a store parted by month, one version a batch, which rewrites the months it touches;
+    `then` gets the store to read what it needs of it.
 
     A checkpoint remembers the version it began on, so that batch n always writes version first + n: a repeated
     batch replaces its own, and a new checkpoint goes on after the versions that are there. A missing earlier
@@ -37,34 +33,20 @@ def upsert_stream(stream: DataFrame, store: str, checkpoint: str, then: Callable
     spark = stream.sparkSession
     base = f"{checkpoint}-first-version"
     if not exists(spark, base):
-        swap_parquet(spark.createDataFrame([(max(_versions(spark, store), default=-1) + 1,)], "first long"), base)
+        swap_parquet(spark.createDataFrame([(max(versions(spark, store), default=-1) + 1,)], "first long"), base)
     first = spark.read.parquet(base).first()["first"]
 
     def batch(rows: DataFrame, number: int) -> None:
-        session = rows.sparkSession
-        version = first + number
-        if version:
-            if not exists(session, f"{store}/version={version - 1}"):
-                raise FileNotFoundError(f"version {version - 1} of {store} is missing")
-            before = session.read.parquet(f"{store}/version={version - 1}")
-        else:
-            before = rows.limit(0)
-        upsert(before, rows, keys, "last", sequence).write.mode("overwrite").parquet(f"{store}/version={version}")
+        write_version(rows, store, first + number, keys, sequence, kept=kept)
         if then:
-            then(session.read.parquet(f"{store}/version={version}"), number)
-        for old in _versions(session, store):
-            if old <= version - kept:
-                remove(session, f"{store}/version={old}")
+            then(read_store(rows.sparkSession, store, first + number), number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stored(spark: SparkSession, store: str) -> DataFrame:
     """The last version that was written whole."""
-    versions = _versions(spark, store)
-    if not versions:
-        raise FileNotFoundError(f"{store} has no version")
-    return spark.read.parquet(f"{store}/version={versions[-1]}")
+    return read_store(spark, store)
 
 
 def on_change(events_of: Callable[[DataFrame], DataFrame], send: Callable[[DataFrame, int], None], known: str) -> Callable[[DataFrame, int], None]:

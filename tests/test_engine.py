@@ -74,18 +74,37 @@ def test_locked_statistic_matches_or_raises(spark, tmp_path, monkeypatch):
     from spikeline.plans import queries
 
     events = lambda car: spark.createDataFrame([(1.0, car), (-1.0, 0.5)], "direction double, CAR_t5 double")
-    spark.conf.set("spark.spikeline.locked", str(tmp_path))
+    told = lambda car: (events(car), queries.t5(events(car), "by_day"))
+    spark.createDataFrame([(-0.125,)], "locked double").write.parquet(f"{tmp_path}/locked")
+    monkeypatch.setattr(queries, "by_day", lambda *_: told(0.25))
+    rows = lambda: {r["off"]: (r["recomputed"], r["stale"]) for r in queries.QUERIES["staleness_check"](spark, "/tables").collect()}
+    assert rows() == {0.0: (-0.125, False), 1e-10: (-0.125, False), 1e-8: (-0.125, True), -1e-8: (-0.125, True)}
+    spark.conf.set("spark.spikeline.locked", f"{tmp_path}/locked")
     try:
-        monkeypatch.setattr(queries, "cars", lambda *_: events(0.25))
-        for _ in range(2):  # the first stores, the second compares
-            assert tuple(queries.QUERIES["staleness_check"](spark, "/tables").first()) == (-0.125, -0.125, False)
-        monkeypatch.setattr(queries, "cars", lambda *_: events(0.25 + 1e-8))
+        assert len(rows()) == 4
+        monkeypatch.setattr(queries, "by_day", lambda *_: told(0.25 + 1e-8))
         monkeypatch.setattr(queries, "nulls", lambda *_: (events(0.25 + 1e-8), None, None))
         for name in ("staleness_check", "power_analysis"):
             with pytest.raises(ValueError, match="locked"):
                 queries.QUERIES[name](spark, "/tables")
+        spark.conf.set("spark.spikeline.locked", f"{tmp_path}/nothing")
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            rows()
     finally:
         spark.conf.unset("spark.spikeline.locked")
+    one = spark.createDataFrame([(0.5,)], "recomputed double")
+    for locked in ([], [(None,)], [(0.5,), (0.5,)]):
+        with pytest.raises(ValueError, match="locked"):
+            inference.require_current(one, spark.createDataFrame(locked, "locked double"))
+
+
+def test_missing_benchmark_stops(spark):
+    from spikeline.operators import audits
+
+    rows = spark.createDataFrame([("A", DAY, 1.0), ("^ALL", DAY, None)], "ticker string, date date, close double")
+    for f in (lambda: audits.sound_prices(rows, "^ALL"), lambda: audits.price_integrity(rows, rows.select("ticker").distinct(), "^ALL")):
+        with pytest.raises(ValueError, match="benchmark"):
+            f()
 
 
 def test_dropped_symbols_dont_enter_returns(spark, monkeypatch):
@@ -130,22 +149,41 @@ def test_unknown_tones_and_tied_edges_are_errors(spark):
     assert tuple(inference.tercile_edges(rows(0.0, 1.0, 2.0, 3.0, NAN, None), "tone_z").first()) == pytest.approx((0, 1, 2, 3))
 
 
-def test_draws_are_the_least_hashes_and_never_too_few(spark):
-    import hashlib
-
-    pool = spark.createDataFrame([("A", i) for i in range(400)] + [("B", i) for i in range(4)], "ticker string, idx long")
-    slots = spark.createDataFrame([("A", i) for i in range(1, 6)] + [("B", i) for i in range(1, 5)], "ticker string, slot int")
-    got = {}
-    for r in inference.draws(pool, slots, 20).collect():
-        got.setdefault((r["perm"], r["ticker"]), {})[r["slot"]] = r["idx"]
-    for (perm, ticker), found in got.items():
-        n, k = (400, 5) if ticker == "A" else (4, 4)
-        order = sorted(range(n), key=lambda i: hashlib.md5(f"42|{perm}|{ticker}|{i}".encode()).hexdigest())
-        assert [found[s] for s in range(1, k + 1)] == order[:k]
-    assert len(got) == 40
-    for few in (pool.where("idx < 4"), pool.where("ticker = 'B'")):
+def test_draws_are_permutations_and_never_too_few(spark):
+    """All slots of a ticker with as many events as days draw each day once; fewer draw a start of the same order."""
+    pool = spark.createDataFrame([("A", 3 * i) for i in range(101)] + [("B", i) for i in range(4)] + [("C", 9)], "ticker string, idx long")
+    slots = lambda *n: spark.createDataFrame([(t, i) for t, k in n for i in range(1, k + 1)], "ticker string, slot int")
+
+    def drawn(numbered):
+        got = {}
+        for r in inference.draws(pool, numbered, 20).collect():
+            got.setdefault((r["perm"], r["ticker"]), {})[r["slot"]] = r["idx"]
+        return got
+
+    whole = drawn(slots(("A", 101), ("B", 4), ("C", 1)))
+    assert len(whole) == 60
+    days = {"A": [3 * i for i in range(101)], "B": list(range(4)), "C": [9]}
+    assert all(sorted(x.values()) == days[t] and sorted(x) == list(range(1, len(x) + 1)) for (_, t), x in whole.items())
+    assert len({tuple(sorted(x.items())) for (_, t), x in whole.items() if t == "A"}) == 20
+    few = drawn(slots(("A", 5)))
+    assert all(x == {s: whole[key][s] for s in range(1, 6)} for key, x in few.items())
+    for bad in (slots(("B", 5)), slots(("D", 1))):
         with pytest.raises(Exception, match="fewer candidate days"):
-            inference.draws(few, slots, 3).collect()
+            inference.draws(pool, bad, 3).collect()
+
+
+def test_draws_are_uniform(spark):
+    """Every day of 10 is drawn first, and second, about as often; so is every pair of days."""
+    rows = spark.range(1, 20_001).select(F.col("id").cast("int").alias("perm"), F.lit("A").alias("ticker"), F.lit(10).cast("long").alias("m"), F.explode(F.expr("array(0L, 1L)")).alias("j"))
+    at = {}
+    for r in inference.permuted(rows).select("perm", "j", "at").collect():
+        at.setdefault(r["perm"], {})[r["j"]] = r["at"]
+    pairs = {}
+    for x in at.values():
+        pairs[x[0], x[1]] = pairs.get((x[0], x[1]), 0) + 1
+    assert len(pairs) == 90 and all(a != b for a, b in pairs)
+    chi = sum((n - 20_000 / 90) ** 2 / (20_000 / 90) for n in pairs.values())
+    assert chi < 89 + 5 * (2 * 89) ** 0.5
 
 
 def test_declustering_counts_all_events(spark):
@@ -203,6 +241,7 @@ def test_sinks_and_scans(spark, tmp_path):
     for _ in range(2):
         assert written.load_or_bootstrap(spark, f"{tmp_path}/store", make).count() == 3
     written.swap_parquet(spark.read.parquet(f"{tmp_path}/store").where("k > 1"), f"{tmp_path}/store")
+    assert not list(tmp_path.glob(".store*"))
     assert calls == [1] and spark.read.parquet(f"{tmp_path}/store").count() == 2 and {x.name for x in tmp_path.iterdir()} >= {"store"} and not list(tmp_path.glob("store.*"))
     wide = spark.createDataFrame([(DAY, 1.0, None), (DAY + dt.timedelta(1), NAN, 2.0)], "date date, X double, Y double")
     assert sorted(r["ticker"] for r in tables.wide_to_long(wide, ["X", "Y"]).collect()) == ["X", "Y"]
@@ -227,10 +266,10 @@ def test_stream_upserts_late_rows_and_goes_on(spark, tmp_path):
     assert run("one") == {("A", 1): 7.0}  # nothing new
     put(("A", at(1, 9), 3.0, 0.0, 1), ("B", at(2, 0), 8.0, 0.0, 1))
     assert run("one") == {("A", 1): 3.0, ("B", 2): 8.0}
-    assert [x for x in sent if x] == [[7.0], [8.0]] and len(list((tmp_path / "store").glob("version=*"))) == 2
+    assert [x for x in sent if x] == [[7.0], [8.0]] and len(list((tmp_path / "store" / "versions").glob("version=*"))) == 2
     put(("C", at(3, 0), 1.0, 0.0, 1))
     assert run("two")["C", 3] == 1.0  # a new checkpoint goes on after what is there
-    for old in (tmp_path / "store").glob("version=*"):
+    for old in (tmp_path / "store" / "versions").glob("version=*"):
         old.rename(tmp_path / f"gone-{old.name}")
     put(("D", at(4, 0), 1.0, 0.0, 1))
     with pytest.raises(Exception, match="missing"):
