@@ -253,4 +253,16 @@ def op3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_near": op3_near}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    # every pair that shares a shingle, counted: exact, where the operator's banding has a recall
+    "op3_near": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {GRAM} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {GRAM - 2}), lambda i: array_to_string(w[i:i + {GRAM - 1}], ' '))) END AS g FROM w),
+x AS MATERIALIZED (SELECT doc_id, unnest(g) AS gram FROM g),
+common AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM x p JOIN x q ON p.gram = q.gram AND p.doc_id <> q.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b, c = len(p.g) AND c = len(q.g) AS equal FROM common JOIN g p ON p.doc_id = a JOIN g q ON q.doc_id = b WHERE c >= {THRESHOLD}::DOUBLE * (len(p.g) + len(q.g) - c) - 1e-9
+    UNION ALL SELECT p.doc_id, q.doc_id, TRUE FROM g p JOIN g q ON len(p.g) = 0 AND len(q.g) = 0 AND p.doc_id <> q.doc_id),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, least(doc_id, (SELECT min(b) FROM reach WHERE a = doc_id)) AS class_id, least(doc_id, (SELECT min(b) FROM links WHERE a = doc_id AND equal)) AS copies_id,
+    (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM g"""
+}

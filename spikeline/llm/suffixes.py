@@ -349,4 +349,17 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_suffixes": op2_suffixes}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    # every string of 50 bytes as 100 hexadecimal digits
+    "op2_suffixes": """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM t)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, TRUE) AS begins FROM w JOIN f USING (s) WHERE first < doc_id),
+e AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(CAST(begins AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r) GROUP BY doc_id, k),
+cuts AS (SELECT doc_id, a, b FROM e UNION ALL SELECT doc_id, n, n FROM t),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * begin + 1, 2 * (a - begin)), '' ORDER BY a) AS kept FROM
+    (SELECT doc_id, a, coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM cuts) JOIN t USING (doc_id) WHERE a >= begin GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM t JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans FROM e GROUP BY doc_id) USING (doc_id)"""
+}
