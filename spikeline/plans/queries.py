@@ -9,7 +9,7 @@ from ..functions import normal
 from ..functions.text import alert_message, counted, query_string, signed_percent
 from ..operators import audits, eventstudy, incremental, inference, scoring, signals
 from ..sources import staged, store, tables
-from ..sources.written import load_or_bootstrap, new_path, swap_parquet, write_csv, write_json, write_raw, written
+from ..sources.written import load_or_bootstrap, new_path, scratch, swap_parquet, write_csv, write_json, write_raw, written
 from ..streaming import daily, outbox, spikes
 from . import live
 
@@ -159,15 +159,12 @@ def entered(spark: SparkSession, d: str, sound: DataFrame | None = None) -> Data
     return written(eventstudy.entries(written(events(spark, d), "events"), days), "entered")
 
 
-def entered_and_returns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    sound = prices(spark, d)
-    return entered(spark, d, sound), rets(spark, d, sound)
-
-
-def entered_and_days(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def entered_and_days(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """(events with entries, returns, what each day would be as an entry), all written."""
-    e, r = entered_and_returns(spark, d)
-    return e, r, written(eventstudy.day_table(r), "days")
+    with scratch(spark) as keep:
+        sound = prices(spark, d)
+        e, r = entered(spark, d, sound), rets(spark, d, sound)
+        return keep(e, r, written(eventstudy.day_table(r), "days"))
 
 
 def cars_of(e: DataFrame, days: DataFrame) -> DataFrame:
@@ -175,21 +172,24 @@ def cars_of(e: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def cars(spark: SparkSession, d: str) -> DataFrame:
-    e, _, days = entered_and_days(spark, d)
-    return cars_of(e, days)
+    with scratch(spark) as keep:
+        e, _, days = entered_and_days(spark, d)
+        return keep(cars_of(e, days))[0]
 
 
-def study(spark: SparkSession, d: str):
+def study(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """(cars, days, slots, pool); each computed once."""
-    e, _, days = entered_and_days(spark, d)
-    c = cars_of(e, days)
-    return c, days, written(inference.slots(c), "slots"), written(inference.candidate_pool(days.select("ticker", "idx", "date"), c), "pool")
+    with scratch(spark) as keep:
+        e, _, days = entered_and_days(spark, d)
+        c = cars_of(e, days)
+        return keep(c, days, written(inference.slots(c), "slots"), written(inference.candidate_pool(days.select("ticker", "idx", "date"), c), "pool"))
 
 
-def nulls(spark: SparkSession, d: str):
+def nulls(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """(cars, slots, the null distribution, written: a row a permutation)."""
-    c, days, numbered, pool = study(spark, d)
-    return c, numbered, null_of(days, numbered, pool)
+    with scratch(spark) as keep:
+        c, days, numbered, pool = study(spark, d)
+        return keep(c, numbered, null_of(days, numbered, pool))
 
 
 def null_of(days: DataFrame, numbered: DataFrame, pool: DataFrame) -> DataFrame:
@@ -203,8 +203,9 @@ def observed_of(c: DataFrame, numbered: DataFrame) -> DataFrame:
 
 
 def p_of(spark: SparkSession, d: str) -> DataFrame:
-    c, numbered, null = nulls(spark, d)
-    return inference.p_values(null, observed_of(c, numbered))
+    with scratch(spark) as keep:
+        c, numbered, null = nulls(spark, d)
+        return keep(written(inference.p_values(null, observed_of(c, numbered)), "p-values"))[0]
 
 
 def documents(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -492,10 +493,12 @@ def locked_statistic(spark: SparkSession, d: str) -> DataFrame | None:
 
 def by_day(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(cars, the T5 statistic by the long way: every abnormal return of every event, added up)."""
-    e, r, days = entered_and_days(spark, d)
-    models = eventstudy.market_models(e, days)
-    five = eventstudy.abnormal(models, r).where("d <= 5").groupBy("ticker", "event_date").agg(F.when(F.count("ar") == 5, F.sum("ar")).alias("CAR_t5"))
-    return cars_of(e, days), t5(models.select("ticker", "event_date", "direction").join(five, ["ticker", "event_date"]), "by_day")
+    with scratch(spark) as keep:
+        e, r, days = entered_and_days(spark, d)
+        models = eventstudy.market_models(e, days)
+        five = eventstudy.abnormal(models, r).where("d <= 5").groupBy("ticker", "event_date").agg(F.when(F.count("ar") == 5, F.sum("ar")).alias("CAR_t5"))
+        long_way = t5(models.select("ticker", "event_date", "direction").join(five, ["ticker", "event_date"]), "by_day")
+        return keep(cars_of(e, days), written(long_way, "by-day"))
 
 
 Z = {0.5: 0.0, 0.8: 0.8416212335729143, 0.9: 1.2815515655446004, 0.95: 1.6448536269514722}  # quantiles of the normal distribution: fixed values
@@ -542,11 +545,12 @@ SCORED = """SELECT e.ticker, event_date, t.tercile_label, round(tercile_mean_car
 
 def published(spark: SparkSession, d: str):
     """(cars, the verdict, tercile reference, all events), written, after the guard: without a NULL verdict there are no scores."""
-    c, days, numbered, pool = study(spark, d)
-    null = null_of(days, numbered, pool)
-    verdict = written(inference.verdict(inference.p_values(null, observed_of(c, numbered))), "verdict")
-    scoring.guard(verdict)
-    return c, verdict, written(scoring.tercile_reference(c), "reference"), written(events(spark, d), "events")
+    with scratch(spark) as keep:
+        c, days, numbered, pool = study(spark, d)
+        null = null_of(days, numbered, pool)
+        verdict = written(inference.verdict(inference.p_values(null, observed_of(c, numbered))), "verdict")
+        scoring.guard(verdict)
+        return keep(c, verdict, written(scoring.tercile_reference(c), "reference"), written(events(spark, d), "events"))
 
 
 @query("calibration_attach", "ev", "reference", select=SCORED)

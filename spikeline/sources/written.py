@@ -43,11 +43,20 @@ _scopes: list[list[str]] = []
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """What written() writes inside is deleted at the end: results have to be collected or stored before."""
+def scratch(spark: SparkSession) -> Iterator[Callable[..., tuple[DataFrame, ...]]]:
+    """What written() writes inside is deleted at the end, but for the tables given to the function that this yields: those go over
+    to the scope around it, or stay. Results that are read from the others have to be written or collected before."""
     _scopes.append([])
+
+    def keep(*tables: DataFrame) -> tuple[DataFrame, ...]:
+        for df in tables:
+            _scopes[-1].remove(df._written_at)
+            if len(_scopes) > 1:
+                _scopes[-2].append(df._written_at)
+        return tables
+
     try:
-        yield
+        yield keep
     finally:
         for path in _scopes.pop():
             remove(spark, path)
@@ -57,6 +66,9 @@ def discard(*tables: DataFrame) -> None:
     """Deletes what written() wrote, once nothing reads it any more."""
     for df in tables:
         remove(df.sparkSession, df._written_at)
+        for scope in _scopes:
+            if df._written_at in scope:
+                scope.remove(df._written_at)
 
 
 def _files(spark: SparkSession, path: str):

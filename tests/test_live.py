@@ -33,9 +33,8 @@ def test_queries_that_score_ask_for_the_verdict(spark, monkeypatch):
     from spikeline.plans import queries
 
     monkeypatch.setattr(queries, "study", lambda *_: (None, None, None, None))
-    monkeypatch.setattr(queries, "null_of", lambda *_: None)
-    monkeypatch.setattr(queries, "observed_of", lambda *_: None)
-    monkeypatch.setattr(queries.inference, "p_values", lambda *_: None)
+    for module, name in ((queries, "null_of"), (queries, "observed_of"), (queries.inference, "p_values")):
+        monkeypatch.setattr(module, name, lambda *_: None)
     monkeypatch.setattr(queries.inference, "verdict", lambda *_: spark.createDataFrame([("SIGNAL",)], "verdict string"))
     for name in ("calibration_attach", "score_new_events", "scores_attached", "daily_run"):
         with pytest.raises(ValueError, match="SIGNAL"):
@@ -227,6 +226,8 @@ def test_maps_of_prices_by_day(spark):
 
 def test_scratch_is_cleared(spark):
     with written.scratch(spark):
-        kept = written.written(spark.range(3), "numbers")
-        assert kept.count() == 3 and written.exists(spark, kept._written_at)
+        with written.scratch(spark) as keep:
+            gone, kept = (written.written(spark.range(3), "numbers") for _ in range(2))
+            assert gone.count() == 3 and keep(kept) == (kept,)
+        assert not written.exists_folder(spark, gone._written_at) and kept.count() == 3
     assert not written.exists_folder(spark, kept._written_at)
