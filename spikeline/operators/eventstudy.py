@@ -16,9 +16,9 @@ def calendar(prices: DataFrame, benchmark: str) -> DataFrame:
     return running(days, "date", F.lit(1).cast("long"), "n").select("date", (F.col("n") - 1).alias("idx"))
 
 
-def returns(prices: DataFrame, benchmark: str) -> DataFrame:
-    """ticker, idx, date, r (log return on the calendar; null after a missing day) and m, the benchmark's."""
-    days = calendar(prices, benchmark)
+def returns(prices: DataFrame, benchmark: str, days: DataFrame | None = None) -> DataFrame:
+    """ticker, idx, date, r (log return on the calendar; null after a missing day) and m, the benchmark's. days: its calendar, if there is one already."""
+    days = calendar(prices, benchmark) if days is None else days
     grid = prices.select("ticker").distinct().crossJoin(F.broadcast(days))  # a calendar's days
     r = F.ln(F.try_divide(F.col("close"), F.lag("close").over(Window.partitionBy("ticker").orderBy("idx"))))
     own = grid.join(prices, ["ticker", "date"], "left").select("ticker", "idx", "date", r.alias("r"))
@@ -35,9 +35,9 @@ def entries(events: DataFrame, days: DataFrame, by: tuple[str, ...] = ()) -> Dat
     """events with entry_idx and entry_date, the first calendar day strictly after; null after the last.
 
     by: columns that tell calendars apart, where events and days have several. Days of events and of
-    calendars go in one order, events after the calendar's own; a row a day, whatever the number of events."""
+    calendars go in one order, events after the calendar's own; a row a day, whatever the number of events. Both are read several times."""
     both = days.select(*by, "date", "idx", F.lit(0).alias("kind")).unionByName(events.select(*by, F.col("event_date").alias("date"), F.lit(None).cast("long").alias("idx"), F.lit(1).alias("kind")).distinct())
-    found = following(both, "date", "kind", F.col("kind") == 0, {"entry_idx": F.col("idx"), "entry_date": F.col("date")}, by)
+    found = following(both, "date", "kind", F.col("kind") == 0, {"entry_idx": F.col("idx"), "entry_date": F.col("date")}, by, n=days.count() + events.count())
     return events.join(found.where("kind = 1").select(*by, F.col("date").alias("event_date"), "entry_idx", "entry_date"), [*by, "event_date"])
 
 

@@ -25,11 +25,11 @@ def _number(key: str, kind: str) -> Column:
     return F.unix_micros(F.col(key).cast("timestamp")).cast("double") if kind.startswith("timestamp") else F.col(key).cast("double")
 
 
-def with_range(df: DataFrame, key: str, rows: int = ROWS) -> DataFrame | None:
+def with_range(df: DataFrame, key: str, rows: int = ROWS, n: int | None = None) -> DataFrame | None:
     """df with `_range`, a number that grows with the key (a number, date or time): about `rows` rows each; null keys are in
-    the first. None where one range holds them all."""
+    the first. None where one range holds them all. n: how many rows df has at most, where that is known."""
     number = _number(key, dict(df.dtypes)[key])
-    wanted = min(MOST_RANGES, -(-df.count() // rows))
+    wanted = min(MOST_RANGES, -(-(df.count() if n is None else n) // rows))
     if wanted < 2:
         return None
     shares = F.array(*[F.lit(i / wanted) for i in range(1, wanted)])
@@ -59,13 +59,13 @@ def running(df: DataFrame, key: str, value: Column, out: str, by: tuple[str, ...
     return ranged.withColumn(out, local).join(offsets, [*by, "_range"]).withColumn(out, F.coalesce("_before", F.lit(0)) + F.col(out)).drop("_range", "_value", "_before")
 
 
-def following(df: DataFrame, key: str, second: str, known: Column, columns: dict[str, Column], by: tuple[str, ...] = (), rows: int = ROWS) -> DataFrame:
+def following(df: DataFrame, key: str, second: str, known: Column, columns: dict[str, Column], by: tuple[str, ...] = (), rows: int = ROWS, n: int | None = None) -> DataFrame:
     """df with columns: their values in the first later row (by key, then second) of the same `by` that is known; null after
     the last. Rows of equal key and second take each other's in any order."""
     value = F.when(known, F.struct(F.col(key).alias("_key"), F.col(second).alias("_second"), *[v.alias(k) for k, v in columns.items()]))
     # from the last row to the first, so that "the next" is the last seen: a frame that only grows
     back = lambda *part: Window.partitionBy(*part).orderBy(F.col(key).desc(), F.col(second).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranged = with_range(df, key, rows)
+    ranged = with_range(df, key, rows, n)
     if ranged is None:
         return df.withColumn("_next", F.last(value, True).over(back(*by))).select(*df.columns, *[F.col("_next")[k].alias(k) for k in columns])
     ranged = ranged.withColumn("_known", value)

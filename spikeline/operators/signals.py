@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.written import written
+
 TIMELINE = "timeline array<struct<series:string,data:array<struct<date:string,value:double>>>>"
 
 
@@ -80,8 +82,10 @@ def spike_events(scored: DataFrame, vol_z: float = 3.0, v: float = 5.0) -> DataF
 
 
 def gated_events(scored: DataFrame, gate: int = 150, strict: tuple = (3.0, 5.0), loose: tuple = (2.0, 3.0)) -> DataFrame:
-    """The strict events, or the loose ones instead of all of them if the strict are fewer than `gate`."""
+    """The strict events, or the loose ones instead of all of them if the strict are fewer than `gate`. Both are found in one
+    pass and written, before they are counted."""
     found = _run_starts(scored, _strict=_flag(*strict), _loose=_flag(*loose)).where("_strict OR _loose")
+    found = written(found, "flagged")
     few = found.agg((F.count_if("_strict") < gate).alias("_few"))
     return found.crossJoin(F.broadcast(few)).where(F.when(F.col("_few"), F.col("_loose")).otherwise(F.col("_strict"))).select(*_event_columns())  # one row
 

@@ -9,7 +9,7 @@ from ..functions import normal
 from ..functions.text import alert_message, counted, query_string, signed_percent
 from ..operators import audits, eventstudy, incremental, inference, scoring, signals
 from ..sources import staged, store, tables
-from ..sources.written import load_or_bootstrap, new_path, scratch, swap_parquet, write_csv, write_json, write_raw, written
+from ..sources.written import discard, load_or_bootstrap, new_path, scratch, swap_parquet, write_csv, write_json, write_raw, written
 from ..streaming import daily, outbox, spikes
 from . import live
 
@@ -145,26 +145,34 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, d: str) -> DataFrame:
-    """The price panel of symbols that pass price_integrity."""
-    return audits.sound_prices(panel(spark, d), tables.BENCHMARK)
+    """The price panel of symbols that pass price_integrity, written: the gate is asked once."""
+    with scratch(spark) as keep:
+        return keep(written(audits.sound_prices(panel(spark, d), tables.BENCHMARK), "prices"))[0]
+
 
+def rets(spark: SparkSession, d: str) -> DataFrame:
+    with scratch(spark) as keep:
+        return keep(written(eventstudy.returns(prices(spark, d), tables.BENCHMARK), "returns"))[0]
 
-def rets(spark: SparkSession, d: str, sound: DataFrame | None = None) -> DataFrame:
-    return written(eventstudy.returns(prices(spark, d) if sound is None else sound, tables.BENCHMARK), "returns")
+
+def entered_of(spark: SparkSession, d: str, days: DataFrame) -> DataFrame:
+    """Events with their entry days in a calendar, written."""
+    with scratch(spark) as keep:
+        return keep(written(eventstudy.entries(written(events(spark, d), "events"), days), "entered"))[0]
 
 
-def entered(spark: SparkSession, d: str, sound: DataFrame | None = None) -> DataFrame:
-    """Events with their entry days; a table of its own, read by all that follows."""
-    days = eventstudy.calendar(prices(spark, d) if sound is None else sound, tables.BENCHMARK)
-    return written(eventstudy.entries(written(events(spark, d), "events"), days), "entered")
+def entered(spark: SparkSession, d: str) -> DataFrame:
+    with scratch(spark) as keep:
+        return keep(entered_of(spark, d, written(eventstudy.calendar(prices(spark, d), tables.BENCHMARK), "calendar")))[0]
 
 
 def entered_and_days(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """(events with entries, returns, what each day would be as an entry), all written."""
     with scratch(spark) as keep:
         sound = prices(spark, d)
-        e, r = entered(spark, d, sound), rets(spark, d, sound)
-        return keep(e, r, written(eventstudy.day_table(r), "days"))
+        calendar = written(eventstudy.calendar(sound, tables.BENCHMARK), "calendar")
+        r = written(eventstudy.returns(sound, tables.BENCHMARK, calendar), "returns")
+        return keep(entered_of(spark, d, calendar), r, written(eventstudy.day_table(r), "days"))
 
 
 def cars_of(e: DataFrame, days: DataFrame) -> DataFrame:
@@ -182,7 +190,11 @@ def study(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     with scratch(spark) as keep:
         e, _, days = entered_and_days(spark, d)
         c = cars_of(e, days)
-        return keep(c, days, written(inference.slots(c), "slots"), written(inference.candidate_pool(days.select("ticker", "idx", "date"), c), "pool"))
+        return keep(c, days, written(inference.slots(c), "slots"), pool_of(c, days))
+
+
+def pool_of(c: DataFrame, days: DataFrame) -> DataFrame:
+    return written(inference.candidate_pool(days.select("ticker", "idx", "date"), c), "pool")
 
 
 def nulls(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
@@ -408,7 +420,9 @@ def _(spark, d):
 
 @query("candidate_pool", "pool", select="SELECT ticker, idx FROM pool")
 def _(spark, d):
-    return study(spark, d)[3]
+    with scratch(spark) as keep:
+        e, _, days = entered_and_days(spark, d)
+        return keep(pool_of(cars_of(e, days), days))[0]
 
 
 @query("permutation_draws", "drawn", select="SELECT ticker, slot, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx_sum, CAST(sum(idx * perm) AS BIGINT) AS check_sum FROM drawn GROUP BY ALL")
@@ -561,8 +575,10 @@ def _(spark, d):
 
 
 def intensities(spark: SparkSession, d: str) -> DataFrame:
-    z = scored(spark, d)
-    return scoring.intensity(signals.gated_events(z), signals.spike_events(z, 2.0, 3.0))
+    z = written(scored(spark, d), "scored")
+    out = scoring.intensity(signals.gated_events(z), signals.spike_events(z, 2.0, 3.0))
+    discard(z)  # both sides are written by now
+    return out
 
 
 @query("intensity_percentile", "intensities", select="SELECT ticker, event_date, round(intensity_percentile, 6) AS intensity_percentile FROM intensities")
