@@ -124,7 +124,7 @@ def test_scans_in_ranges_equal_one_order(spark):
 
 
 def test_entries_of_entities_with_calendars_of_their_own(spark, monkeypatch):
-    monkeypatch.setattr(ordered.following, "__defaults__", ((), 20))
+    monkeypatch.setattr(ordered.following, "__defaults__", ((), 20, None))
     days = spark.createDataFrame([(x, DAY + dt.timedelta(i), i // (1 if x == "N" else 2)) for x in "NS" for i in range(0, 60, 1 if x == "N" else 2)], "place string, date date, idx long")
     events = spark.createDataFrame([("N", "A", DAY), ("S", "B", DAY), ("S", "C", DAY + dt.timedelta(1)), ("S", "D", DAY + dt.timedelta(58)), ("N", "E", DAY + dt.timedelta(58)), ("N", "F", DAY)], "place string, ticker string, event_date date")
     got = {x["ticker"]: (x["entry_idx"], x["entry_date"] and (x["entry_date"] - DAY).days) for x in eventstudy.entries(events, days, ("place",)).collect()}
