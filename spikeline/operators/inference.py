@@ -21,8 +21,8 @@ def tercile_edges(df: DataFrame, column: str) -> DataFrame:
 
 
 def tercile(column: str) -> Column:
-    """Right-closed bins by inner edges; a null or NaN has none."""
-    return F.when(F.col(column).isNull() | F.isnan(column), None).when(F.col(column) <= F.col("e1"), "bottom").when(F.col(column) <= F.col("e2"), "mid").otherwise("top")
+    """Right-closed bins by inner edges; a null or NaN has none, and none has one where the edges are unknown."""
+    return F.when(F.col(column).isNull() | F.isnan(column) | F.col("e1").isNull(), None).when(F.col(column) <= F.col("e1"), "bottom").when(F.col(column) <= F.col("e2"), "mid").otherwise("top")
 
 
 def candidate_pool(days: DataFrame, events: DataFrame) -> DataFrame:
