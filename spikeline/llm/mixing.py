@@ -2,12 +2,19 @@
 
 Each source's target may ask for a multiple of its words. The whole part of
 target / size is allocated to every document as certain copies. For the rest,
-documents carry an inclusion probability p (the fractional part, which differs
-between sources) and a seeded uniform u; they are ranked by the odds of u divided
-by the odds of p (Pareto order sampling), and the sample is fixed in words: the
-longest prefix of that ranking that fits what is left of the target. Two more
-rounds rank the documents that still fit the remainder, so that one long
-document at the edge doesn't leave a hole.
+documents carry an inclusion probability p and a seeded uniform u; they are ranked
+by the odds of u divided by the odds of p (Pareto order sampling), and the sample
+is fixed in words: the longest prefix of that ranking that fits what is left of the
+target. Two more rounds rank the documents that still fit the remainder. Last, of
+all documents below `most` copies, one more copy of that one is taken that brings
+the source nearest to its target, if any brings it nearer. The rounds and the last
+copy favour short documents by some long document's words a source: noticeable where
+a source has tens of documents, not where it has thousands.
+
+p falls with a document's length, so that what is repeated in part is spread over
+many texts. With c the fractional part, p = c + c (1 - c) t, where t in (-1, 1) is
+1 / (1 + size / mean size), in 1024ths, less its mean over the source's words. Each p
+is in (0, 1), and as the sizes times t add up to 0, the expected words are c of the source's.
 
 The prefix is found without sorting a source in one task: words are summed in
 4096 bins of the rank, only the bin where the budget ends is cut again, and only
@@ -28,17 +35,18 @@ MOST = 3  # copies of a document
 WEIGHTS = 3  # sources weigh 1, 2, ... up to this, again and again
 BINS = 4096
 ROUNDS = 3
+EDGE = 2.0**-52  # nearest that a probability comes to 0 or 1, against rounding
 SALTS = 64  # parts of a source where sources are too many to broadcast
 
 
 def targets(rows: DataFrame, most: int = MOST, weights: int = WEIGHTS) -> DataFrame:
-    """One row per source: source, source_size, target.
+    """One row per source: source, source_size, documents (its rows), target.
 
     Targets share all words by weight, but none exceeds `most` times its source.
     Ordered by cap / weight, the sources that reach their cap come first; the
     level is the first at which the next source stays below its own.
     """
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))  # one row a source
     ranked = sums.withColumn("weight", (F.pmod(place - 1, F.lit(weights)) + 1).cast("double")).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
     order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
@@ -48,9 +56,10 @@ def targets(rows: DataFrame, most: int = MOST, weights: int = WEIGHTS) -> DataFr
     level = ranked.select(
         "*",
         ((F.sum("source_size").over(everything).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)).alias("level"),
+        F.row_number().over(order).alias("turn"),
     )
-    fits = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(everything)
-    return level.select("source", "source_size", F.least("cap", F.coalesce(fits["level"], F.lit(0.0)) * F.col("weight")).alias("target"))
+    fits = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("turn", "level"))).over(everything)
+    return level.select("source", "source_size", "documents", F.least("cap", F.coalesce(fits["level"], F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
 def uniform(*key: str, seed: int) -> Column:
@@ -95,6 +104,18 @@ def stops(rows: DataFrame) -> DataFrame:
     return out
 
 
+def shortness() -> Column:
+    """1024 / (1 + size / mean size of the source), rounded down: whole numbers, whose sums don't depend on an order."""
+    return F.expr("(1024 * source_size) div greatest(1, source_size + documents * size)")
+
+
+def inclusion() -> Column:
+    """Inclusion probability of a row in what its source's whole copies leave, from chance, shortness and short_words."""
+    t = (shortness().cast("double") - F.col("short_words").cast("double") / F.col("source_size").cast("double")) / 1024.0
+    p = F.col("chance") + F.col("chance") * (1.0 - F.col("chance")) * t
+    return F.least(F.greatest(p, F.lit(EDGE)), F.lit(1.0 - EDGE))
+
+
 def mix(rows: DataFrame, key: str, seed: int = 42, most: int = MOST, weights: int = WEIGHTS) -> DataFrame:
     """rows: key, source, size; equal rows may repeat. Adds copy (numbers equal
     rows), source_size, target and copies, the times the mix takes the row."""
@@ -104,12 +125,19 @@ def mix(rows: DataFrame, key: str, seed: int = 42, most: int = MOST, weights: in
     whole = F.floor(ratio).cast("long")
     budget = F.floor(F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")).cast("long")  # sizes are whole numbers
     goal = targets(rows, most, weights).select("*", whole.alias("whole"), (ratio - whole).alias("chance"))
-    state = materialize(goal.select("*", budget.alias("budget0")), "sources")
-    u = uniform("key", "source", "copy", seed=seed)
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance")))
-    drawn = _with_source(numbered, state.select("source", "chance")).withColumn("u", u)
-    rank = F.when(F.col("chance") > 0, odds / (1 + odds))
-    pool = materialize(drawn.select("key", "source", "size", "copy", rank.alias("rank")), "drawn")
+    pool = materialize(numbered.withColumn("u", uniform("key", "source", "copy", seed=seed)), "drawn")
+    begun = materialize(goal.select("*", budget.alias("budget0")), "sources")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    short = _with_source(pool, begun).groupBy(F.col("source").alias("_source")).agg(F.sum(F.col("size") * shortness()).alias("short_words"))
+    state = materialize(begun.join(short, same, "left").drop("_source"), "sources")
+    discard(begun)
+    odds = (F.col("u") / (1.0 - F.col("u"))) / (F.col("p") / (1.0 - F.col("p")))
+    rank = F.when(F.col("chance") > 0, odds / (1.0 + odds))
+
+    def ranked() -> DataFrame:
+        p = F.when(F.col("chance") > 0, inclusion())
+        return _with_source(pool, state).withColumn("p", p).withColumn("rank", rank)
+
     place = F.struct("rank", "key", "copy", "size")
     taken = F.lit(False)
     for i in range(ROUNDS):
@@ -117,16 +145,28 @@ def mix(rows: DataFrame, key: str, seed: int = 42, most: int = MOST, weights: in
         left = F.col("rank").isNotNull() & (F.col("budget0") > 0) & ~taken
         if i:
             left &= F.coalesce(F.col("size") <= b, F.lit(False))
-        rest = _with_source(pool, state).where(left).select("key", "source", "size", "copy", "rank", place.alias("place"), b.alias("budget"))
+        rest = ranked().where(left).select("key", "source", "size", "copy", "rank", place.alias("place"), b.alias("budget"))
         found = stops(rest)
-        same = F.col("source").eqNullSafe(F.col("_source"))
         ends = found.select(F.col("source").alias("_source"), F.col("stop").alias(f"stop{i}"), F.col("rest").alias(f"budget{i + 1}"))
         later = materialize(state.join(ends, same, "left").drop("_source"), "sources")
         discard(state, found)
         state = later
         taken |= left & F.coalesce(place < stop, F.lit(True))
-    out = _with_source(pool, state)
-    return out.select(F.col("key").alias(key), "source", "size", "copy", "source_size", "target", (F.col("whole") + taken.cast("long")).alias("copies"))
+    words = F.coalesce(F.sum(F.when(taken, F.col("size"))), F.lit(0))
+    held = materialize(ranked().groupBy(F.col("source").alias("_source")).agg(words.alias("held")), "held")
+    later = materialize(state.join(held, same, "left").drop("_source"), "sources")
+    discard(state, held)
+    state = later
+    copies, over = F.col("whole") + taken.cast("long"), F.abs(F.col("size") - F.col("lacking"))
+    nearer = F.col("rank").isNotNull() & (copies < most) & (over < F.col("lacking"))
+    lacking = ranked().withColumn("lacking", F.col("budget0") - F.col("held")).where(nearer)
+    edge = lacking.groupBy(F.col("source").alias("_source")).agg(F.min(F.struct(over.alias("over"), taken.alias("again"), place.alias("place"))).alias("edge"))
+    edge = materialize(edge.select("_source", F.col("edge.place").alias("edge")), "edge")
+    later = materialize(state.join(edge, same, "left").drop("_source"), "sources")
+    discard(state, edge)
+    state = later
+    copies += (F.col("edge").isNotNull() & place.eqNullSafe(F.col("edge"))).cast("long")
+    return ranked().select(F.col("key").alias(key), "source", "size", "copy", "source_size", "target", copies.alias("copies"))
 
 
 def mix_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
@@ -167,20 +207,26 @@ ORACLE = {
     "op5_mixing": f"""
 WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) AS copy FROM sized),
-sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS documents FROM sized GROUP BY source),
 ranked AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {WEIGHTS} + 1 AS DOUBLE) AS weight, {MOST}.0::DOUBLE * source_size AS cap FROM sums),
 levels AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked),
-goal AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, cap / weight) FROM levels WHERE level <= cap / weight), 0.0) * weight) AS target FROM levels),
-joined AS (SELECT n.*, source_size, target, coalesce(target / nullif(CAST(source_size AS DOUBLE), 0), 0.0) AS ratio,
+goal AS (SELECT source, source_size, documents, least(cap, coalesce((SELECT level FROM levels WHERE level <= cap / weight ORDER BY cap / weight, source NULLS LAST LIMIT 1), 0.0) * weight) AS target FROM levels),
+joined AS (SELECT n.*, source_size, target, (1024 * source_size) // greatest(1, source_size + documents * size) AS shortness, coalesce(target / nullif(CAST(source_size AS DOUBLE), 0), 0.0) AS ratio,
     (CAST('0x' || substr(md5(concat_ws('|', '42', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(n.source, ''), CAST(copy AS VARCHAR))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
     FROM numbered n JOIN goal g ON n.source IS NOT DISTINCT FROM g.source),
-split AS (SELECT *, CAST(floor(ratio) AS BIGINT) AS whole, ratio - floor(ratio) AS chance FROM joined),
-drawn AS (SELECT *, CASE WHEN chance > 0 THEN (u / (1 - u)) / (chance / (1 - chance)) END AS odds FROM split),
-pool AS (SELECT *, row_number() OVER () AS row, odds / (1 + odds) AS rank, target - CAST(whole * source_size AS DOUBLE) AS budget FROM drawn),
-{", ".join(_round_sql(i) for i in range(ROUNDS))}
-SELECT doc_id, size, source_size, target, (whole + CASE WHEN row IN (SELECT row FROM taken0 UNION ALL SELECT row FROM taken1 UNION ALL SELECT row FROM taken2) THEN 1 ELSE 0 END) * size AS taken,
-    source, whole + CASE WHEN row IN (SELECT row FROM taken0 UNION ALL SELECT row FROM taken1 UNION ALL SELECT row FROM taken2) THEN 1 ELSE 0 END AS copies
-FROM pool"""
+split AS (SELECT *, CAST(floor(ratio) AS BIGINT) AS whole, ratio - floor(ratio) AS chance,
+    (CAST(shortness AS DOUBLE) - CAST(sum(size * shortness) OVER (PARTITION BY source) AS DOUBLE) / CAST(source_size AS DOUBLE)) / 1024.0::DOUBLE AS t FROM joined),
+odd AS (SELECT *, CASE WHEN chance > 0 THEN least(greatest(chance + chance * (1.0::DOUBLE - chance) * t, '{EDGE!r}'::DOUBLE), '{1 - EDGE!r}'::DOUBLE) END AS p FROM split),
+drawn AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS odds FROM odd),
+pool AS (SELECT *, row_number() OVER () AS row, odds / (1 + odds) AS rank, floor(target - CAST(whole * source_size AS DOUBLE)) AS budget FROM drawn),
+{", ".join(_round_sql(i) for i in range(ROUNDS))},
+took AS (SELECT row FROM taken0 UNION ALL SELECT row FROM taken1 UNION ALL SELECT row FROM taken2),
+held AS (SELECT *, row IN (SELECT row FROM took) AS taken FROM pool),
+lack AS (SELECT *, whole + CAST(taken AS BIGINT) AS n, budget - coalesce(sum(CASE WHEN taken THEN size END) OVER (PARTITION BY source), 0) AS lacking FROM held),
+edge AS (SELECT row, row_number() OVER (PARTITION BY source ORDER BY abs(size - lacking), taken, rank, doc_id NULLS FIRST, copy, size) AS place
+    FROM lack WHERE rank IS NOT NULL AND n < {MOST} AND abs(size - lacking) < lacking),
+copied AS (SELECT *, n + CASE WHEN row IN (SELECT row FROM edge WHERE place = 1) THEN 1 ELSE 0 END AS copies FROM lack)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM copied"""
 }
 QUERIES = {"op5_mixing": op5_mixing}

@@ -326,14 +326,28 @@ def test_mixing_nears_its_targets(spark, rows):
         goal[r["source"]], own[r["source"]] = r["target"], r["source_size"]
     assert abs(sum(goal.values()) - sum(own.values())) < 1e-6
     for s, t in goal.items():
-        assert t <= 3 * own[s] + 1e-6 and taken[s] <= t + 1e-6
+        assert t <= 3 * own[s] + 1e-6
+        below = [r["size"] for r in out if r["source"] == s and r["copies"] < 3 and r["size"]]
+        assert taken[s] <= t or all(taken[s] - t <= t - taken[s] + n for n in below)  # over only by less than it was under
     again = mixing.mix(light.repartition(7), "doc_id").collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
+def brute_chances(sizes, ratio):
+    """Inclusion probabilities of a source's documents in what its whole copies leave."""
+    chance, total = ratio - math.floor(ratio), sum(sizes)
+    if not chance:
+        return [None] * len(sizes)
+    short = [1024 * total // (total + len(sizes) * n) for n in sizes]
+    mean = sum(n * g for n, g in zip(sizes, short)) / total
+    return [chance + chance * (1.0 - chance) * ((g - mean) / 1024.0) for g in short]
+
+
 def brute_prefixes(rows, rounds=mixing.ROUNDS):
-    """Copies of rows (key, source, size, copy, rank, whole, budget), each round's longest prefix found by walking it."""
+    """Copies of rows (key, source, size, copy, rank, whole, budget): each round's longest prefix is
+    found by walking it, and a last copy goes to the row that brings the source nearest to its budget."""
     took = set()
+    extra = []
     for source in {r[1] for r in rows}:
         mine = sorted((r for r in rows if r[1] == source and r[4] is not None), key=lambda r: (r[4], r[0], r[3], r[2]))
         left = mine[0][6] if mine else 0
@@ -344,21 +358,27 @@ def brute_prefixes(rows, rounds=mixing.ROUNDS):
                     break
                 left -= r[2]
                 took.add(r)
-    return Counter({r[:4]: r[5] + (r in took) for r in rows})
+        near = [(abs(r[2] - left), r in took, r[4], r[0], r[3], r[2], r) for r in mine if r[5] + (r in took) < mixing.MOST and abs(r[2] - left) < left]
+        extra += [min(near)[-1]] if near else []
+    return Counter({r[:4]: r[5] + (r in took) + (r in extra) for r in rows})
 
 
 def test_mixing_equals_walked_prefixes(spark):
     sizes = [(i % 37, None if i % 5 == 0 else f"s{min(i % 7, 3)}", (i * 7919) % 400 if i % 11 else 0) for i in range(900)]
-    light = spark.createDataFrame([*sizes, *sizes[:40], (None, None, 9), (None, "lone", 1000)], "doc_id long, source string, size long")
+    light = spark.createDataFrame([*sizes, *sizes[:40], (None, None, 9), (None, "lone", 1000), (1, "two", 5000), (2, "two", 4000)], "doc_id long, source string, size long")
     seen = mixing.mix(light, "doc_id")
     got = Counter({(r["doc_id"], r["source"], r["size"], r["copy"]): r["copies"] for r in seen.collect()})
     rows = []
+    by_source = defaultdict(list)
     for r in seen.withColumn("u", mixing.uniform("doc_id", "source", "copy", seed=42)).collect():
-        ratio = r["target"] / r["source_size"] if r["source_size"] else 0.0
-        whole = math.floor(ratio)
-        odds = (r["u"] / (1 - r["u"])) / ((ratio - whole) / (1 - ratio + whole)) if ratio > whole else None
-        rank = None if odds is None else odds / (1 + odds)
-        rows.append((-1 if r["doc_id"] is None else r["doc_id"], r["source"], r["size"], r["copy"], rank, whole, r["target"] - whole * r["source_size"]))
+        by_source[r["source"]].append(r)
+    for mine in by_source.values():
+        ratio = mine[0]["target"] / mine[0]["source_size"] if mine[0]["source_size"] else 0.0
+        for r, p in zip(mine, brute_chances([r["size"] for r in mine], ratio)):
+            whole = math.floor(ratio)
+            odds = (r["u"] / (1 - r["u"])) / (p / (1 - p)) if p else None
+            rank = None if odds is None else odds / (1 + odds)
+            rows.append((-1 if r["doc_id"] is None else r["doc_id"], r["source"], r["size"], r["copy"], rank, whole, math.floor(r["target"] - whole * r["source_size"])))
     want = Counter({(None if k == -1 else k, s, n, c): v for (k, s, n, c), v in brute_prefixes(rows).items()})
     assert got == want
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -370,6 +390,35 @@ def test_mixing_equals_walked_prefixes(spark):
     assert again == got
 
 
+def test_targets_of_sources_alike(spark):
+    """Sources of one size and weight get one target, and all targets add up to all words."""
+    light = spark.createDataFrame([(s, f"s{s:02d}", 100) for s in range(9)] + [(9, "s09", 1)], "doc_id long, source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(light).collect()}
+    assert abs(sum(got.values()) - 901) < 1e-9 and got["s09"] == min(3.0, got["s00"])
+    assert all(abs(got[f"s{s:02d}"] - (s % 3 + 1) * 898 / 18) < 1e-9 for s in range(9))
+
+
+def test_mixing_includes_by_odds(spark):
+    """Over many sources of the same sizes, documents are taken as often as their inclusion probability says: short ones more."""
+    sizes = [20 + 3 * (i % 10) + 400 * (i % 3 == 0) for i in range(600)]
+    light = spark.createDataFrame([(600 * s + i, f"s{s:03d}", n) for s in range(40) for i, n in enumerate(sizes)], "doc_id long, source string, size long")
+    seen = mixing.mix(light, "doc_id", weights=2).collect()
+    for kind, ratio in ((0, 2 / 3), (1, 4 / 3)):
+        chances = brute_chances(sizes, ratio)
+        assert min(chances) > 0 and max(chances) < 1
+        assert abs(sum(p * n for p, n in zip(chances, sizes)) / sum(sizes) - ratio % 1) < 1e-9
+        drawn = {True: [0.0, 0.0, 0], False: [0.0, 0.0, 0]}
+        for r in seen:
+            if int(r["source"][1:]) % 2 == kind:
+                cell = drawn[r["size"] < 100]
+                cell[0] += r["copies"] - math.floor(ratio)
+                cell[1] += chances[r["doc_id"] % 600]
+                cell[2] += 1
+        rates = {short: (took / n, p / n) for short, (took, p, n) in drawn.items()}
+        assert all(abs(took - p) < 0.03 for took, p in rates.values()), rates
+        assert rates[True][0] > rates[False][0] + 0.1
+
+
 def brute_shuffle(rows, shards):
     """Where the law `rows` lets records be: every (shard, slot) once, shards in equal parts."""
     edges = [s * len(rows) // shards for s in range(shards + 1)]
