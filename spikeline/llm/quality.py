@@ -124,9 +124,9 @@ def drawn_labels(labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """Statistics and label of the documents of drawn_labels(): only theirs are computed."""
+    """Statistics and label of the documents of drawn_labels(), one row a doc_id (of unlike texts under it the least): only theirs are computed."""
     known = F.broadcast(drawn_labels(labels, most).withColumnRenamed("doc_id", "_id"))  # `most` rows
-    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id"))
+    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return statistics(rows.select("doc_id", "label", "text")).select("label", "doc_id", *[f"s_{n}" for n in STATISTICS])
 
 
@@ -140,6 +140,7 @@ def fit(train: DataFrame) -> RuleModel:
     train = train.select("label", array_to_vector(F.array(*[f"s_{n}" for n in STATISTICS])).alias("x"), *[f"s_{n}" for n in STATISTICS]).cache()
     counts = dict(train.groupBy("label").count().collect())
     if len(counts) < 2:
+        train.unpersist()
         return RuleModel(constant=float(next(iter(counts), 0.5)))
     # the rarer class counts as much as the other while trees look for splits
     weight = F.when(F.col("label") == 1, F.lit(1.0 / counts[1.0])).otherwise(F.lit(1.0 / counts[0.0])) * float(sum(counts.values()))
