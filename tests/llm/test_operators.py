@@ -537,3 +537,12 @@ def test_word_ids_of_plain_words_are_the_tokenizers():
     assert fast.plain
     whole.plain = False
     assert [w for w in words if fast[w] != whole[w]] == []
+
+
+def test_a_labelled_document_trains_once(spark):
+    a, b = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    docs = spark.createDataFrame([(a, "b c"), (a, "a long text"), (a, None), (a, "b c"), (b, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, 1), (b, 0)], "doc_id long, quality int")
+    seen = sorted(quality.training_rows(docs, labels).collect())
+    assert sorted((r["doc_id"], r["label"]) for r in seen) == [(a, 1.0), (b, 0.0)]
+    assert seen == sorted(quality.training_rows(docs.dropDuplicates().repartition(3), labels).collect())
