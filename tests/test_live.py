@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spikeline.operators import audits, incremental, scoring, signals
+from spikeline.operators import audits, eventstudy, incremental, scoring, signals
 from spikeline.plans import live
 from spikeline.sources import staged, store, tables, written
 from spikeline.streaming import outbox, spikes
@@ -231,3 +231,38 @@ def test_scratch_is_cleared(spark):
             assert gone.count() == 3 and keep(kept) == (kept,)
         assert not written.exists_folder(spark, gone._written_at) and kept.count() == 3
     assert not written.exists_folder(spark, kept._written_at)
+
+
+@pytest.fixture
+def restless(spark, monkeypatch):
+    """The labels that queries should give over a daily series that comes out otherwise whenever it is computed anew; the verdict is NULL."""
+    from spikeline.plans import queries
+
+    pick, first = random.Random(3), dt.date(1996, 1, 1)
+    days = [first + dt.timedelta(i) for i in range(500)]
+    series = spark.createDataFrame([(t, x, 30.0 if i % 23 == k else float(pick.randint(0, 4)), pick.gauss(0, 1)) for k, t in enumerate("ABC") for i, x in enumerate(days)], DAYS)
+    closes = spark.createDataFrame([(t, x, pick.uniform(90, 110)) for t in ("A", "B", "C", tables.BENCHMARK) for x in days], "ticker string, date date, close double")
+    asked = []
+
+    def obs_daily(*_):
+        asked.append(None)
+        return series if len(asked) == 1 else series.withColumn("tone", -F.col("tone"))
+
+    monkeypatch.setattr(tables, "obs_daily", obs_daily)
+    monkeypatch.setattr(queries, "prices", lambda *_: written.written(closes, "prices"))
+    for module, name in ((queries, "null_of"), (queries, "observed_of"), (queries.inference, "p_values")):
+        monkeypatch.setattr(module, name, lambda *_: None)
+    monkeypatch.setattr(queries.inference, "verdict", lambda *_: spark.createDataFrame([("NULL",)], "verdict string"))
+    events = signals.gated_events(signals.with_zscores(series))
+    e = eventstudy.entries(events, eventstudy.calendar(closes, tables.BENCHMARK))
+    table = eventstudy.day_table(eventstudy.returns(closes, tables.BENCHMARK))
+    cars = written.written(eventstudy.cars(eventstudy.market_models(e, table), table), "cars")
+    found = scoring.calibrate(events, scoring.tercile_reference(cars)).collect()
+    return {(r["ticker"], r["event_date"]): r["tercile_label"] for r in found}
+
+
+def test_calibration_sees_one_series(spark, restless):
+    from spikeline.plans import queries
+
+    got = queries.QUERIES["calibration_attach"](spark, "/tables").collect()
+    assert {(r["ticker"], r["event_date"]): r["tercile_label"] for r in got} == restless and len(set(restless.values())) == 3
