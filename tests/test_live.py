@@ -266,3 +266,10 @@ def test_calibration_sees_one_series(spark, restless):
 
     got = queries.QUERIES["calibration_attach"](spark, "/tables").collect()
     assert {(r["ticker"], r["event_date"]): r["tercile_label"] for r in got} == restless and len(set(restless.values())) == 3
+
+
+def test_daily_run_sees_the_series_of_its_terciles(spark, restless):
+    from spikeline.plans import queries
+
+    got = queries.QUERIES["daily_run"](spark, "/tables").collect()
+    assert {(r["ticker"], r["event_date"]): r["tercile_label"] for r in got} == {k: v for k, v in restless.items() if k[1] >= dt.date(1997, 1, 1)} and len(got) > 9
